@@ -144,6 +144,11 @@ def color_code(a: Column, b: Column, c: Column, n: int) -> Column:
     return a * n * n + b * n + c
 
 
+def unit_ratio(value: Column, top: Column) -> Column:
+    """value / top clipped to 1; when top is 0 a positive value counts as 1 and a zero stays 0."""
+    return F.when(top > 0, F.least(F.lit(1.0), value / F.nullif(top, F.lit(0.0)))).when(value > 0, 1.0).otherwise(0.0)
+
+
 def to_byte(unit: Column) -> Column:
     """0..1 to 0..255, truncating."""
     return (unit * 255).cast("int")

@@ -21,7 +21,7 @@ def scale_by_quantile(image: DataFrame, channels: list[str], p: float, keys: tup
         *[F.max(F.when(F.col("ch") == c, F.col("q"))).alias(f"_q_{c}") for c in channels]
     )
     return image.join(tops, k).withColumns({
-        c: F.coalesce(F.least(F.lit(1.0), F.col(c) / F.nullif(F.col(f"_q_{c}"), F.lit(0.0))), F.lit(0.0))
+        c: S.unit_ratio(F.col(c), F.col(f"_q_{c}"))
         for c in channels
     }).drop(*[f"_q_{c}" for c in channels])
 

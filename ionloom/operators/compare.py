@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ionloom.functions import geometry as G
+from ionloom.functions import spectrum as S
 from ionloom.functions.order_stats import exact_quantiles, running_before
 from ionloom.operators.aggregates import axis_of, region_percentile_spectrum, roi_mean_ratio
 from ionloom.operators.normalize import ion_max_norm
 from ionloom.operators.peaks import find_peaks, top_n_mz_pixel, union_peaks
-from ionloom.session import bounded_rows
+from ionloom.session import bounded_rows, cut_lineage
 
 # Fixed value: two-sided 5 % limit of the normal distribution
 Z_LIMIT = 1.959963984540054
@@ -66,13 +67,10 @@ def pairwise_u(ions: DataFrame, members: DataFrame, n_mz: int, peaks: DataFrame
         F.sum(F.col("ca") * (F.col("o.earlier") + F.col("o.own") / 2)).alias("s"),
         F.sum(3 * F.col("ca") * F.col("o.own") * (F.col("ca") + F.col("o.own"))).alias("cross_ties"),
     )
-    singles = ranked.groupBy("region", "mz_index").agg(
+    singles = counted.groupBy("region", "mz_index").agg(
         *[F.sum(c).alias(f"m{i}") for i, c in enumerate(counts)],
         *[F.sum(_cube(F.col(c))).alias(f"t{i}") for i, c in enumerate(counts)],
-    )
-    sums = tagged.groupBy("region", "mz_index").agg(
-        *[F.sum(F.when(F.col("code") == code, F.col("intensity")).otherwise(0.0)).alias(f"v{i}")
-          for i, code in enumerate(codes)]
+        *[F.sum(F.col(c) * F.col("intensity")).alias(f"v{i}") for i, c in enumerate(counts)],
     )
     wide_sizes = sizes.groupBy("region").agg(
         F.array(*[F.coalesce(F.max(F.when(F.col("code") == code, F.col("n"))), F.lit(0)) for code in codes]).alias("n")
@@ -82,13 +80,12 @@ def pairwise_u(ions: DataFrame, members: DataFrame, n_mz: int, peaks: DataFrame
         axis = peaks.select("region", "mz_index").distinct().join(wide_sizes, "region")
     else:
         axis = axis_of(wide_sizes, n_mz)
-    stats = singles.join(sums, ["region", "mz_index"])
     zero = F.lit(0).cast("long")
 
     def gather(prefix, fill):
         return F.array(*[F.coalesce(F.col(f"{prefix}{i}"), fill) for i in range(k)]).alias(prefix)
 
-    base = axis.join(stats, ["region", "mz_index"], "left").select(
+    base = axis.join(singles, ["region", "mz_index"], "left").select(
         "region", "mz_index", "n", gather("m", zero), gather("t", zero), gather("v", F.lit(0.0))
     )
     per_group = F.arrays_zip(F.col("n"), F.col("m"), F.col("t"), F.col("v"))
@@ -136,7 +133,7 @@ def mask_peaks(ions: DataFrame, masks: DataFrame, n_mz: int, height: float = 0.0
 def region_vs_region(ions: DataFrame, masks: DataFrame, n_mz: int, height: float = 0.0,
                      method: str = "U-Test") -> DataFrame:
     """m/z that separate side 0 from side 1: (region, mz_index, score, ...)."""
-    peaks = mask_peaks(ions, masks, n_mz, height)
+    peaks = cut_lineage(mask_peaks(ions, masks, n_mz, height))  # a few rows per region, read three times below
     if method != "U-Test":
         return roi_mean_ratio(ions, masks, peaks)
     return mann_whitney_u(ions, masks, n_mz, peaks).where(F.col("z") > Z_LIMIT).select(
@@ -198,7 +195,7 @@ def point_vs_disc(spectra: DataFrame, ions: DataFrame, y: int, x: int, n_mz: int
     sides = near.select(
         "region", "pixel_id", F.when((F.col("y") == y) & (F.col("x") == x), 0).otherwise(1).alias("side")
     )
-    return mann_whitney_u(ions, sides, n_mz, mask_peaks(ions, sides, n_mz)).select(
+    return mann_whitney_u(ions, sides, n_mz, cut_lineage(mask_peaks(ions, sides, n_mz))).select(
         "region", "mz_index", F.col("auc").alias("score"), "z"
     )
 
@@ -245,7 +242,7 @@ def ion_image(ions: DataFrame, pixels: DataFrame, sizes: DataFrame, mz_index: in
         top, "region", "left"
     ).select(
         "region", "y", "x", "pixel_id",
-        F.coalesce(F.least(F.lit(1.0), F.col("intensity") / F.nullif(F.col("q"), F.lit(0.0))), F.lit(0.0)).alias("value"),
+        S.unit_ratio(F.coalesce("intensity", F.lit(0.0)), F.coalesce("q", F.lit(0.0))).alias("value"),
     )
 
 
@@ -263,9 +260,8 @@ def aggregated_ion_image(
         listed, "region"
     ).select("region", "y", "x", "pixel_id", (F.coalesce("_s", F.lit(0.0)) / F.col("_k")).alias("_v"))
     top = exact_quantiles(mean, ["region"], "_v", {"q": p})
-    unit = F.least(F.lit(1.0), F.col("_v") / F.nullif(F.col("q"), F.lit(0.0)))
     return mean.join(top, "region").select(
-        "region", "y", "x", "pixel_id", F.coalesce((unit * 255).cast("int"), F.lit(0)).alias("value")
+        "region", "y", "x", "pixel_id", S.to_byte(S.unit_ratio(F.col("_v"), F.col("q"))).alias("value")
     )
 
 

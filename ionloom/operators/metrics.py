@@ -11,17 +11,22 @@ from ionloom.functions import color as C
 from ionloom.functions import spectrum as S
 from ionloom.functions.order_stats import exact_quantiles, ordered_position
 from ionloom.operators.neighbors import distance_matrix, stack
+from ionloom.operators.normalize import stack_channels
 from ionloom.operators.peaks import rank_average
 from ionloom.operators.sampling import random_sample
-from ionloom.session import bounded_rows
+from ionloom.session import bounded_rows, cut_lineage
 
+MEASURES = ["cosine", "maxabs", "output"]
 DELTAS = (0.1, 0.2, 0.3)
 GAMMAS = (0.0, 2.0)
 SAMPLE_LIMIT = 30000
 
 
 def pair_distances(pairs: DataFrame, spectra: DataFrame, image: DataFrame) -> DataFrame:
-    """L2, cosine and maximum distance of the spectra, L2 in LAB of the picture (c0, c1, c2) for each pair."""
+    """L2, cosine and maximum distance of the spectra, L2 in LAB of the picture (c0, c1, c2) for each pair.
+
+    Written out once: the sampled pairs are few and every score reads them several times.
+    """
     lightness, a, b = C.lab_to_byte(*C.rgb_to_lab(F.col("c0"), F.col("c1"), F.col("c2")))
     lab = image.select("region", "pixel_id", F.array(lightness, a, b).alias("lab"))
     sides = spectra.select("region", "pixel_id", "spectrum").join(lab, ["region", "pixel_id"])
@@ -33,21 +38,26 @@ def pair_distances(pairs: DataFrame, spectra: DataFrame, image: DataFrame) -> Da
             ["region", f"pixel_{side}"],
         )
     a, b = F.col("_sa"), F.col("_sb")
-    return out.select(
+    return cut_lineage(out.select(
         "region", "pair", "pixel_a", "pixel_b",
         S.l2_distance(a, b).alias("l2"), S.cosine_distance(a, b).alias("cosine"),
         S.chebyshev_distance(a, b).alias("maxabs"), S.l2_distance(F.col("_la"), F.col("_lb")).alias("output"),
-    )
+    ))
 
 
 def pair_ranks(distances: DataFrame) -> DataFrame:
     """0-based ranks over all pairs of a region: cosine, max of cosine and L-infinity, output."""
-    ranked = distances
-    for name in ("cosine", "maxabs", "output"):
-        ranked = ordered_position(ranked, ["region"], name, "pair", f"{name}_rank")
-    return ranked.withColumn("max_rank", F.greatest("cosine_rank", "maxabs_rank")).withColumnRenamed(
-        "output_rank", "result_rank"
+    tall = stack_channels(distances, ["region", "pair"], MEASURES)
+    ranked = ordered_position(tall, ["region", "ch"], "level", "pair", "_rank")
+    wide = _spread(ranked, "_rank").select(
+        "region", "pair", F.col("cosine").alias("cosine_rank"), F.col("maxabs").alias("maxabs_rank"),
+        F.col("output").alias("result_rank"),
     )
+    return distances.join(wide, ["region", "pair"]).withColumn("max_rank", F.greatest("cosine_rank", "maxabs_rank"))
+
+
+def _spread(tall: DataFrame, value: str) -> DataFrame:
+    return tall.groupBy("region", "pair").agg(*[F.max(F.when(F.col("ch") == m, F.col(value))).alias(m) for m in MEASURES])
 
 
 def _share(hit, weight):
@@ -86,12 +96,10 @@ def pearson(distances: DataFrame) -> DataFrame:
 
 
 def spearman(distances: DataFrame) -> DataFrame:
-    ranked = distances
-    for name in ("cosine", "maxabs", "output"):
-        ranked = rank_average(ranked, ["region"], name, f"_r_{name}")
+    tall = stack_channels(distances, ["region", "pair"], MEASURES)
+    ranked = _spread(rank_average(tall, ["region", "ch"], "level", "_rank"), "_rank")
     return ranked.groupBy("region").agg(
-        F.corr("_r_cosine", "_r_output").alias("spearman_cosine"),
-        F.corr("_r_maxabs", "_r_output").alias("spearman_maxabs"),
+        F.corr("cosine", "output").alias("spearman_cosine"), F.corr("maxabs", "output").alias("spearman_maxabs")
     )
 
 
@@ -229,7 +237,7 @@ def outlier_score(spectra: DataFrame, n_reference: int = 100, seed: int = 0) ->
     sample = random_sample(spectra, n_reference, seed).where(S.is_foreground(F.col("spectrum")))
     scored = nearest_reference(spectra, sample.select("region", "pixel_id", "spectrum"))
     high = exact_quantiles(scored, ["region"], "_d", {"hi": 0.999}, neighbours=False)
-    unit = scored.join(high, "region").withColumn("_d", F.least(F.lit(1.0), F.col("_d") / F.col("hi"))).drop("hi")
+    unit = scored.join(high, "region").withColumn("_d", S.unit_ratio(F.col("_d"), F.col("hi"))).drop("hi")
     low = exact_quantiles(unit, ["region"], "_d", {"lo": 0.0001})
     return unit.join(low, "region").select(
         "region", "y", "x", "pixel_id", F.greatest(F.col("_d") - F.col("lo"), F.lit(0.0)).alias("score")

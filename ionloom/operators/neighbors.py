@@ -57,7 +57,9 @@ def knn(points: DataFrame, k: int, metric: str = "euclidean", vector: str = "vec
     base = points.select("region", "pixel_id", F.col(vector).alias("v"))
     if metric == "cosine":
         length = F.sqrt(S.dot(F.col("v"), F.col("v")))
-        base = base.withColumn("v", S.scaled(F.col("v"), F.when(length > 0, length).otherwise(F.lit(1.0))))
+        base = base.withColumn("v", S.scaled(F.col("v"), F.when(length > 0, length).otherwise(
+            F.raise_error(F.lit("cosine neighbours need non-zero spectra: drop the background first"))
+        )))
     inner = _bound_metric(metric)
     order = Window.partitionBy("region", "_s").orderBy("_o")
     sampled = base.withColumn("_o", hash_order(7, "region", "pixel_id")).withColumn("_s", F.substring("_o", 1, 2))

@@ -121,16 +121,14 @@ def hist_equalize(
         F.lead("_bin").over(group.orderBy("_bin")).alias("_next_bin"),
         F.lead("_c").over(group.orderBy("_bin")).alias("_next_c"),
     ).select(
-        *k, "_bin",
-        ((bins - 1) * F.col("_upto") / F.col("_all_c")).alias("_here"),
-        ((bins - 1) * F.when(F.col("_next_bin") == F.col("_bin") + 1, F.col("_next_c")).otherwise(F.lit(0))
-         / F.col("_all_c")).alias("_step"),
-    )
-    equalized = F.when(F.col("_bin") >= bins - 1, F.col("_here")).otherwise(
-        F.col("_here") + F.col("_step") * (F.col("_at") - F.col("_bin"))
+        *k, "_bin", "_upto", "_all_c",
+        F.when((F.col("_bin") < bins - 1) & (F.col("_next_bin") == F.col("_bin") + 1), F.col("_next_c")).otherwise(
+            F.lit(0)
+        ).alias("_step"),
     )
+    equalized = (F.col("_upto") + F.col("_step") * (F.col("_at") - F.col("_bin"))) / F.col("_all_c") * (bins - 1)
     return placed.join(share, [*k, "_bin"]).withColumn(out or channel, equalized).drop(
-        "_a", "_z", "_at", "_bin", "_here", "_step"
+        "_a", "_z", "_at", "_bin", "_upto", "_all_c", "_step"
     )
 
 

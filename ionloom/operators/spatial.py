@@ -142,9 +142,8 @@ def spot_detect(spectra: DataFrame, n_mz: int, peak_multiply: float = 1000.0) ->
         "region", "y", "x", "pixel_id", score.alias("_s")
     )
     top = exact_quantiles(pixels, ["region"], "_s", {"p99": 0.99})
-    unit = F.least(F.lit(1.0), F.col("_s") / F.nullif(F.col("p99"), F.lit(0.0)))
     scored = pixels.join(top, "region").select(
-        "region", "y", "x", "pixel_id", F.coalesce(S.to_byte(unit), F.lit(0)).alias("_v")
+        "region", "y", "x", "pixel_id", S.to_byte(S.unit_ratio(F.col("_s"), F.col("p99"))).alias("_v")
     )
     return local_min(scored, "_v", "_min").select(
         "region", "y", "x", "pixel_id", F.when(F.col("_v") > F.col("_min"), 255).otherwise(0).alias("value")

@@ -406,10 +406,10 @@ def equalize_sql(source, bins, keys, out):
     k = ", ".join(keys)
     return f"""
 , span AS (SELECT {k}, CASE WHEN max(v) > min(v) THEN min(v) ELSE min(v) - 0.5 END AS a, CASE WHEN max(v) > min(v) THEN max(v) ELSE max(v) + 0.5 END AS z FROM {source} GROUP BY {k})
-, placed AS (SELECT {source}.*, (v - a) / (z - a) * {bins} AS at, CAST(least(floor((v - a) / (z - a) * {bins}), {bins} - 1) AS INTEGER) AS bin FROM {source} JOIN span USING ({k}))
+, placed AS (SELECT {source}.*, (v - a) / (z - a) * {bins} AS pos, CAST(least(floor((v - a) / (z - a) * {bins}), {bins} - 1) AS INTEGER) AS bin FROM {source} JOIN span USING ({k}))
 , cnt AS (SELECT {k}, bin, count(*) AS c FROM placed GROUP BY {k}, bin)
 , cdf AS (SELECT {k}, bin, sum(c) OVER (PARTITION BY {k} ORDER BY bin) AS upto, sum(c) OVER (PARTITION BY {k}) AS total FROM cnt)
-, {out} AS (SELECT p.*, ({bins} - 1) * (c0.upto / c0.total + CASE WHEN p.bin >= {bins} - 1 OR c1.bin IS NULL THEN 0 ELSE (p.at - p.bin) * (c1.upto - c0.upto) / c0.total END) AS eq
+, {out} AS (SELECT p.*, (c0.upto + CASE WHEN p.bin >= {bins} - 1 OR c1.bin IS NULL THEN 0 ELSE (c1.upto - c0.upto) * (p.pos - p.bin) END) / c0.total * ({bins} - 1) AS eq
   FROM placed p JOIN cdf c0 USING ({k}, bin) LEFT JOIN cdf c1 ON {' AND '.join(f'c1.{x} = p.{x}' for x in keys)} AND c1.bin = p.bin + 1)
 """
 
@@ -436,7 +436,7 @@ def equalize_channels(spark, sf):
 SELECT region, pixel_id, mz_index, CAST(trunc(v / top * 255) AS INTEGER) AS level FROM ions JOIN sums USING (region, pixel_id) WHERE top > 0 AND v <> 0"""))
 def to_uint8(spark, sf):
     inside = filters.drop_background(I.spectra(spark, sf))
-    unit = inside.withColumn("spectrum", S.scaled(F.col("spectrum"), F.array_max("spectrum")))
+    unit = inside.withColumn("spectrum", S.scaled(F.col("spectrum"), F.nullif(F.array_max("spectrum"), F.lit(0.0))))
     return to_ions(unit).select(
         "region", "pixel_id", "mz_index", S.to_byte(F.col("intensity")).alias("level")
     )
