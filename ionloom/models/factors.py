@@ -10,7 +10,6 @@ from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ionloom.functions import spectrum as S
 from ionloom.models.pictures import component_argmax, component_normalize, image_of
@@ -18,6 +17,8 @@ from ionloom.operators.neighbors import stack
 from ionloom.operators.spatial import ellipse_offsets, erode, median_blur3
 
 FEATURES = "features"
+PLACE = ["region", "y", "x", "pixel_id"]
+SCORES_SCHEMA = "region int, y int, x int, pixel_id long, scores array<double>"
 
 
 def featured(spectra: DataFrame, column: str = "spectrum") -> DataFrame:
@@ -96,11 +97,12 @@ def nmf_transform(spectra: DataFrame, h: np.ndarray) -> DataFrame:
     """Weights of every pixel for fixed components: (region, y, x, pixel_id, scores). No shuffle."""
     shared = spectra.sparkSession.sparkContext.broadcast(h)
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def weights(values: pd.Series) -> pd.Series:
-        return pd.Series(list(solve_weights(stack(values), shared.value)))
+    def weights(batches):
+        for pdf in batches:
+            if len(pdf):
+                yield pdf.drop(columns="spectrum").assign(scores=list(solve_weights(stack(pdf["spectrum"]), shared.value)))
 
-    return spectra.select("region", "y", "x", "pixel_id", weights("spectrum").alias("scores"))
+    return spectra.select(*PLACE, "spectrum").mapInPandas(weights, SCORES_SCHEMA)
 
 
 def components_table(spectra: DataFrame, h: np.ndarray, region: int = 0) -> DataFrame:
@@ -134,7 +136,7 @@ def nested_segment(spectra: DataFrame, h: np.ndarray, radius: int = 2) -> DataFr
         F.floor(F.col("region") / k).cast("int").alias("region"), "pixel_id",
         F.pmod("region", F.lit(k)).cast("int").alias("label"),
     )
-    inner = spectra.join(clean, ["region", "pixel_id"]).select(
+    inner = spectra.select(*PLACE, "spectrum").join(clean, ["region", "pixel_id"]).select(
         (F.col("region") * k + F.col("label")).cast("int").alias("region"), "y", "x", "pixel_id",
         S.median_norm(F.col("spectrum")).alias("spectrum"),
     )
@@ -159,15 +161,15 @@ def kmeans_scores(spectra: DataFrame, centers: np.ndarray) -> DataFrame:
     unit = centers / np.maximum(np.linalg.norm(centers, axis=1, keepdims=True), 1e-12)
     shared = spectra.sparkSession.sparkContext.broadcast(unit)
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def cosine(values: pd.Series) -> pd.Series:
-        x = stack(values)
-        norm = np.linalg.norm(x, axis=1, keepdims=True)
-        return pd.Series(list((x @ shared.value.T) / np.where(norm > 0, norm, 1.0)))
+    def cosine(batches):
+        for pdf in batches:
+            if len(pdf):
+                x = stack(pdf["spectrum"])
+                norm = np.linalg.norm(x, axis=1, keepdims=True)
+                yield pdf.drop(columns="spectrum").assign(scores=list((x @ shared.value.T) / np.where(norm > 0, norm, 1.0)))
 
-    return spectra.select("region", "y", "x", "pixel_id", cosine("spectrum").alias("_c")).select(
-        "region", "y", "x", "pixel_id", S.sharp_softmax(F.col("_c")).alias("scores")
-    )
+    similarity = spectra.select(*PLACE, "spectrum").mapInPandas(cosine, SCORES_SCHEMA)
+    return similarity.withColumn("scores", S.sharp_softmax(F.col("scores")))
 
 
 def kmeans_segment(spectra: DataFrame, k: int) -> DataFrame:

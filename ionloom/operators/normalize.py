@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ionloom.functions import spectrum as S
 from ionloom.functions.order_stats import exact_quantiles
-from ionloom.model import grid_sizes, to_ions
+from ionloom.model import to_ions
 
 
 def tic(spectra: DataFrame) -> DataFrame:
@@ -26,13 +26,27 @@ def tic_ions(ions: DataFrame) -> DataFrame:
     ).drop("_t")
 
 
+def quantile_spectrum(spectra: DataFrame, p: float) -> DataFrame:
+    """(region, q ARRAY): quantile of each m/z over all pixels of a region, zeros included; one row per region."""
+    sizes = spectra.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("spectrum")).alias("_bins"))
+    found = exact_quantiles(to_ions(spectra), ["region", "mz_index"], "intensity", {"q": p}, sizes.drop("_bins"))
+    axis = sizes.select("region", F.explode(F.sequence(F.lit(0), F.col("_bins") - 1)).alias("mz_index"))
+    entries = axis.join(found, ["region", "mz_index"], "left").select(
+        "region", F.struct("mz_index", F.coalesce("q", F.lit(0.0)).alias("q")).alias("_e")
+    )
+    return entries.groupBy("region").agg(F.transform(F.sort_array(F.collect_list("_e")), lambda e: e["q"]).alias("q"))
+
+
 def spatial_tic(spectra: DataFrame) -> DataFrame:
-    """TIC, then each m/z over its 99th percentile across pixels (zeros included), clipped to 1. Long layout."""
-    ions = to_ions(tic(spectra))
-    p99 = exact_quantiles(ions, ["region", "mz_index"], "intensity", {"p99": 0.99}, grid_sizes(spectra))
-    return ions.join(p99, ["region", "mz_index"]).withColumn(
-        "intensity", F.least(F.lit(1.0), F.col("intensity") / (F.col("p99") + S.TIC_EPSILON))
-    ).drop("p99")
+    """TIC, then each m/z over its 99th percentile across pixels, clipped to 1.
+
+    The percentiles of a region are one array (one m/z axis), so spectra stay arrays and are joined per region.
+    """
+    normed = tic(spectra)
+    return normed.join(quantile_spectrum(normed, 0.99), "region").withColumn(
+        "spectrum",
+        F.zip_with("spectrum", "q", lambda v, q: F.least(F.lit(1.0), v / (q + S.TIC_EPSILON))),
+    ).drop("q")
 
 
 def ion_max_norm(ions: DataFrame) -> DataFrame:

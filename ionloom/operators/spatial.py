@@ -74,47 +74,30 @@ def median_blur3(mask: DataFrame, column: str = "value", keys: tuple[str, ...] =
     return local_median(mask, column, column, keys)
 
 
-def cube_filters(ions: DataFrame, extent: DataFrame, n_mz: int) -> DataFrame:
-    """3 x 3 x 3 maximum and median over (y, x, m/z) at every non-zero cell, border reflected.
+def cube_filters(spectra: DataFrame, block: int = 256) -> DataFrame:
+    """3 x 3 x 3 maximum and median over (y, x, m/z), border reflected.
 
-    Only non-zero cells are sent to their neighbours; cells without a row are zeros. With non-negative
-    intensities the maximum is the largest received value, and the median of 27 is the 14th smallest:
-    ``27 - received`` zeros come first. A reflected border cell counts once per way it is reached, so the
-    copy carries that multiplicity.
+    Returns (region, y, x, pixel_id, block, cells ARRAY<STRUCT<own, local_max, local_median>>) with ``block``
+    m/z bins per row. Blocks overlap by one bin, so a row sees its m/z neighbours; the two line passes bring in
+    the pixel neighbours. Every spectrum is shuffled twice, no cell is copied to its 26 neighbours, and the
+    window over a line holds one block of bins only.
     """
-    sized = ions.join(extent, "region")
-
-    def targets(coordinate: str, size: Column) -> Column:
-        """Neighbours that see this cell, with multiplicity 2 where the border reflects it onto itself."""
-        c = F.col(coordinate)
-        edge = (c == 0).cast("int") + (c == size - 1).cast("int")
-        options = F.array(
-            F.struct((c - 1).alias("to"), F.lit(1).alias("m")),
-            F.struct(c.alias("to"), (F.lit(1) + edge).alias("m")),
-            F.struct((c + 1).alias("to"), F.lit(1).alias("m")),
-        )
-        return F.filter(options, lambda o: (o["to"] >= 0) & (o["to"] < size))
-
-    sent = sized.select(
-        "region", "intensity", F.explode(targets("y", F.col("height"))).alias("_y"),
-        "x", "width", "mz_index",
-    ).select(
-        "region", "intensity", "_y", F.explode(targets("x", F.col("width"))).alias("_x"), "mz_index",
-    ).select(
-        "region", "intensity", "_y", "_x", F.explode(targets("mz_index", F.lit(n_mz))).alias("_z")
-    ).select(
-        "region", F.col("_y.to").alias("y"), F.col("_x.to").alias("x"), F.col("_z.to").alias("mz_index"),
-        F.col("intensity"), (F.col("_y.m") * F.col("_x.m") * F.col("_z.m")).alias("m"),
-    )
-    cell = ["region", "y", "x", "mz_index"]
-    around = sent.groupBy(*cell).agg(
-        F.sum("m").alias("_seen"), F.max("intensity").alias("local_max"),
-        F.sort_array(F.flatten(F.collect_list(F.array_repeat("intensity", F.col("m").cast("int"))))).alias("_vals"),
-    )
-    zeros = 27 - F.col("_seen")
-    median = F.when(zeros >= 14, F.lit(0.0)).otherwise(F.try_element_at("_vals", (14 - zeros).cast("int")))
-    return ions.join(
-        around.select(*cell, "local_max", median.alias("local_median")), cell
+    padded = F.concat(F.slice("spectrum", 1, 1), F.col("spectrum"), F.slice("spectrum", -1, 1))
+    starts = F.sequence(F.lit(0), F.ceil(F.size("spectrum") / block).cast("int") - 1)
+    cut = S.let(padded, lambda p: F.transform(starts, lambda b: F.slice(p, b * block + 1, F.lit(block + 2))))
+    rows = spectra.select("region", "y", "x", "pixel_id", F.posexplode(cut).alias("block", "_own"))
+    nine = _window3(rows, "_own", ["region", "block"])
+
+    def cell(i):
+        around = F.sort_array(F.flatten(F.transform("_nine", lambda s: F.slice(s, i, F.lit(3)))))
+        return S.let(around, lambda v: F.struct(
+            F.element_at("_own", i + 1).alias("own"), F.element_at(v, 27).alias("local_max"),
+            F.element_at(v, 14).alias("local_median"),
+        ))
+
+    return nine.select(
+        "region", "y", "x", "pixel_id", "block",
+        F.transform(F.sequence(F.lit(1), F.size("_own") - 2), cell).alias("cells"),
     )
 
 
@@ -125,13 +108,10 @@ def spot_detect(spectra: DataFrame, n_mz: int, peak_multiply: float = 1000.0) ->
     A pixel scores the 99th percentile of its cells over m/z, scaled by the 99th percentile over pixels;
     it is kept when it is above the smallest score around it.
     """
-    extent = spectra.groupBy("region").agg(
-        (F.max("y") + 1).alias("height"), (F.max("x") + 1).alias("width")
+    is_spot = lambda c: (c["local_max"] == c["own"]) & (c["local_max"] > c["local_median"] * peak_multiply)
+    hits = cube_filters(spatial_tic(spectra)).groupBy("region", "pixel_id").agg(
+        F.sum(F.size(F.filter("cells", is_spot))).alias("_hits")
     )
-    cells = cube_filters(spatial_tic(spectra), extent, n_mz)
-    hits = cells.where(
-        (F.col("local_max") == F.col("intensity")) & (F.col("local_max") > F.col("local_median") * peak_multiply)
-    ).groupBy("region", "pixel_id").agg(F.count(F.lit(1)).alias("_hits"))
     # 0/1 cells: the interpolated 99th percentile over m/z follows from the number of ones
     h = (n_mz - 1) * 0.99
     low = int(h)

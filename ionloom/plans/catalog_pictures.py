@@ -425,9 +425,12 @@ def cube_filters(spark, sf):
     from ionloom.operators.normalize import spatial_tic
 
     pixels = I.spectra(spark, sf)
-    extent = pixels.groupBy("region").agg((F.max("y") + 1).alias("height"), (F.max("x") + 1).alias("width"))
-    return X.cube_filters(spatial_tic(pixels), extent, I.N_MZ).select(
-        "region", "pixel_id", "mz_index", r6("local_max", "local_max"), r6("local_median", "local_median")
+    cells = X.cube_filters(spatial_tic(pixels), 24).select(
+        "region", "pixel_id", "block", F.posexplode("cells").alias("_i", "c")
+    ).where(F.col("c.own") != 0)
+    return cells.select(
+        "region", "pixel_id", (F.col("block") * 24 + F.col("_i")).alias("mz_index"),
+        r6("c.local_max", "local_max"), r6("c.local_median", "local_median"),
     )
 
 

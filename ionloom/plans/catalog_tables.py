@@ -352,7 +352,7 @@ SPATIAL = """
 
 @query("spatial_tic", sql("tic", then=SPATIAL + "SELECT region, pixel_id, mz_index, round(v, 6) AS intensity FROM spatial WHERE v <> 0"))
 def spatial_tic(spark, sf):
-    return normalize.spatial_tic(I.spectra(spark, sf)).select("region", "pixel_id", "mz_index", r6("intensity", "intensity"))
+    return to_ions(normalize.spatial_tic(I.spectra(spark, sf))).select("region", "pixel_id", "mz_index", r6("intensity", "intensity"))
 
 
 @query("ion_max_norm", sql("ions", then="""

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import os
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ionloom.session import bounded_rows
+
 MANIFEST_SCHEMA = (
     "folder string, path string, start_mz double, end_mz double, bins int, nonzero boolean, "
     "mzs array<double>, id string"
@@ -24,6 +29,32 @@ def read_cube(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/spectra")
 
 
+def write_npy(spectra: DataFrame, path: str) -> None:
+    """``<region>.npy`` cubes in a shared POSIX folder.
+
+    The driver writes the file headers only; every task fills in the pixels it holds, so no cube is ever in
+    one process. A repeated task writes the same bytes again.
+    """
+    os.makedirs(path, exist_ok=True)
+    shapes = spectra.groupBy("region").agg(
+        F.max("y") + 1, F.max("x") + 1, F.max(F.size("spectrum"))
+    )
+    for region, *shape in bounded_rows(shapes, 100_000, "regions"):
+        np.lib.format.open_memmap(f"{path}/{region}.npy", mode="w+", dtype="float32", shape=tuple(shape)).flush()
+
+    def fill(rows):
+        cubes = {}
+        for row in rows:
+            cube = cubes.get(row.region)
+            if cube is None:
+                cube = cubes[row.region] = np.load(f"{path}/{row.region}.npy", mmap_mode="r+")
+            cube[row.y, row.x] = row.spectrum
+        for cube in cubes.values():
+            cube.flush()
+
+    spectra.select("region", "y", "x", "spectrum").foreachPartition(fill)
+
+
 def write_ions(ions: DataFrame, path: str) -> None:
     """Long layout, sorted by m/z inside each file so that an m/z predicate skips row groups."""
     ions.repartition("region", F.floor(F.col("pixel_id") / 65536)).sortWithinPartitions(
