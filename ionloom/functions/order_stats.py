@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ionloom.session import small_side
+
 BUCKETS_PER_OCTAVE = 64
 TIE_BLOCK = 65536
 
@@ -94,8 +96,8 @@ def exact_quantiles(
     ``df``; values must then be non-negative. A group without any row is absent from the result: its
     quantiles are 0.
 
-    Three narrow passes: a histogram over order buckets, the one or two buckets each quantile falls in,
-    and the distinct values of just those buckets. ``neighbours`` also returns the two values around each
+    A histogram over order buckets tells the one or two buckets each quantile falls in (two rows per quantile,
+    materialized and broadcast when small); a second pass over the rows keeps just those buckets. ``neighbours`` also returns the two values around each
     quantile and the weight of the upper one (``<q>_a``, ``<q>_b``, ``<q>_f``).
     """
     rows, k = _keyed(_usable(df, value), keys)
@@ -113,7 +115,7 @@ def exact_quantiles(
     else:
         shared = [c for c in population.columns if c != "n"]
         sized = population.withColumnRenamed("n", "_n")
-        hist = hist.join(sized, shared) if shared else hist.crossJoin(sized)
+        hist = hist.join(sized, shared)
     wanted = []
     for name, p in probs.items():
         h = (F.col("_n") - 1) * F.lit(float(p))
@@ -132,9 +134,10 @@ def exact_quantiles(
     ).where(
         (~F.col("_zero") & F.col("_pos").between(0, F.col("_c") - 1)) | (F.col("_zero") & (F.col("_before") == 0))
     )
+    need = small_side(need)
     inside = Window.partitionBy(*k, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
     candidates = (
-        rows.join(need.where(~F.col("_zero")).select(*k, "_b").distinct(), [*k, "_b"], "left_semi")
+        rows.join(need.where(~F.col("_zero")).select(*k, "_b"), [*k, "_b"], "left_semi")
         .groupBy(*k, "_b", "_v").agg(F.count(F.lit(1)).alias("_m"))
         .withColumn("_first", F.coalesce(F.sum("_m").over(inside), F.lit(0)))
     )

@@ -22,6 +22,18 @@ def to_ions(spectra: DataFrame, *extra: str, column: str = "spectrum") -> DataFr
     ).where(F.col("intensity") != 0)
 
 
+def tagged_ions(source: DataFrame, members: DataFrame, tag: str) -> DataFrame:
+    """Ions of the pixels listed in members(region, pixel_id, <tag>).
+
+    From ``spectra`` the pixels are chosen before they are unfolded, so the join moves whole spectra, not ions.
+    """
+    listed = members.select("region", "pixel_id", tag)
+    if "spectrum" in source.columns:
+        chosen = source.select("region", "y", "x", "pixel_id", "spectrum").join(listed, ["region", "pixel_id"])
+        return to_ions(chosen, tag)
+    return source.select("region", "pixel_id", "mz_index", "intensity").join(listed, ["region", "pixel_id"])
+
+
 def grid_sizes(spectra: DataFrame, *keys: str) -> DataFrame:
     """Number of pixels per group: the denominator that puts the implicit zeros back."""
     return spectra.groupBy(*(keys or ("region",))).agg(F.count(F.lit(1)).alias("n"))

@@ -9,7 +9,8 @@ from ionloom.functions import color as C
 from ionloom.functions import spectrum as S
 from ionloom.functions.order_stats import exact_quantiles
 from ionloom.operators.normalize import hist_equalize, stack_channels, stretch, stretch_gray
-from ionloom.operators.peaks import sort_percentile_pick, top3_intensity
+from ionloom.operators.peaks import RATIO_PERCENTS, sort_percentile_pick, top3_intensity
+from ionloom.session import cut_lineage, small_side
 
 PLACE = ["region", "y", "x", "pixel_id"]
 
@@ -17,10 +18,11 @@ PLACE = ["region", "y", "x", "pixel_id"]
 def scale_by_quantile(image: DataFrame, channels: list[str], p: float, keys: tuple[str, ...] = ("region",)) -> DataFrame:
     """Each channel over its quantile, clipped to 1; one quantile pass for all channels."""
     k = list(keys)
+    image = cut_lineage(image)  # a few numbers per pixel; the spectra behind them are read once
     tops = exact_quantiles(stack_channels(image, k, channels), [*k, "ch"], "level", {"q": p}).groupBy(*k).agg(
         *[F.max(F.when(F.col("ch") == c, F.col("q"))).alias(f"_q_{c}") for c in channels]
     )
-    return image.join(tops, k).withColumns({
+    return image.join(small_side(tops), k).withColumns({
         c: S.unit_ratio(F.col(c), F.col(f"_q_{c}"))
         for c in channels
     }).drop(*[f"_q_{c}" for c in channels])
@@ -50,11 +52,11 @@ def top3_rgb(spectra: DataFrame, power: float = 1.0) -> DataFrame:
 
 def percentile_ratio_levels(spectra: DataFrame, p: float = 0.999) -> DataFrame:
     """Three ratios of sorted-spectrum picks as 0..255 levels."""
-    picks = sort_percentile_pick(spectra).select(
-        *PLACE, *[(F.col(f"p{2 * i}") / (F.col(f"p{2 * i + 1}") + S.RATIO_EPSILON)).alias(f"r{i}") for i in range(3)]
+    picks = sort_percentile_pick(spectra, RATIO_PERCENTS, S.is_foreground(F.col("spectrum")).alias("_in")).select(
+        *PLACE, *[(F.col(f"p{2 * i}") / (F.col(f"p{2 * i + 1}") + S.RATIO_EPSILON)).alias(f"r{i}") for i in range(3)],
+        (~F.col("_in")).alias("empty"),
     )
-    empty = spectra.select("region", "pixel_id", (~S.is_foreground(F.col("spectrum"))).alias("empty"))
-    return scale_by_quantile(picks, ["r0", "r1", "r2"], p).join(empty, ["region", "pixel_id"]).select(
+    return scale_by_quantile(picks, ["r0", "r1", "r2"], p).select(
         *PLACE, *[S.to_byte(F.col(f"r{i}")).alias(f"c{i}") for i in range(3)], "empty"
     )
 
@@ -77,7 +79,7 @@ def image_of(embedding: DataFrame, spectra: DataFrame, channels: list[str], lab:
     placed = embedding.join(inside, ["region", "pixel_id"])
     if lab:
         placed = placed.withColumns({c: F.when(F.col("_in"), F.col(c)).otherwise(F.lit(0.0)) for c in channels})
-    levels = stretch(placed, channels).select(
+    levels = stretch(cut_lineage(placed), channels).select(
         *PLACE, (~F.col("_in")).alias("empty"),
         *[S.to_byte(F.coalesce(F.col(c), F.lit(0.0))).alias(f"c{i}") for i, c in enumerate(channels)],
     )
@@ -96,18 +98,18 @@ def component_normalize(pixels: DataFrame, column: str = "scores", method: str =
     of all components together. Dividing by a positive number keeps the order, so the percentile of the
     sum-normalized scores is the percentile of the scores over the same sum: both come from one pass.
     """
-    tall = component_scores(pixels, column)
+    tall = component_scores(cut_lineage(pixels.select(*PLACE, column)), column)
     if method == "spatial_norm":
         keys = ["region", "component"]
         sums = tall.groupBy(*keys).agg(F.sum("score").alias("_s"))
         tops = exact_quantiles(tall, keys, "score", {"_q": 0.99})
         whole = F.col("_s") + S.TIC_EPSILON
-        scaled = tall.join(sums.join(tops, keys), keys).withColumn(
+        scaled = tall.join(small_side(sums.join(tops, keys)), keys).withColumn(
             "score", F.col("score") / whole / (F.col("_q") / whole + S.TIC_EPSILON)
         ).drop("_s", "_q")
     else:
         tops = exact_quantiles(tall, ["region"], "score", {"_q": 0.99})
-        scaled = tall.join(tops, "region").withColumn(
+        scaled = tall.join(small_side(tops), "region").withColumn(
             "score", F.col("score") / F.nullif(F.col("_q"), F.lit(0.0))
         ).drop("_q")
     if factors:
@@ -138,6 +140,7 @@ def subsegment(guided: DataFrame, n: int = 5, bins: int = 2048, low: float = 0.0
 
     guided(region, y, x, pixel_id, label, value). The stretch sees the whole image with 0 outside the segment.
     """
+    guided = cut_lineage(guided)
     sizes = guided.groupBy("region").agg(F.count(F.lit(1)).alias("n"))
     keys = ("region", "label")
     stretched = stretch_gray(guided, ["value"], low, high, keys, sizes)
@@ -148,7 +151,7 @@ def subsegment(guided: DataFrame, n: int = 5, bins: int = 2048, low: float = 0.0
 def guided_segment_color(guided: DataFrame, schemes: DataFrame, lut: DataFrame, bins: int = 2048) -> DataFrame:
     """Grey guiding picture (0..1) stretched inside each segment, coloured by the scheme of the segment."""
     keys = ("region", "label")
-    level = hist_equalize(stretch_gray(guided, ["value"], keys=keys), "value", bins, keys)
+    level = hist_equalize(stretch_gray(cut_lineage(guided), ["value"], keys=keys), "value", bins, keys)
     placed = level.withColumn("level", S.to_byte(F.col("value") / (bins - 1))).join(schemes, "label")
     return C.apply_color_scheme(placed, lut).select(*PLACE, "label", "r", "g", "b")
 
@@ -193,7 +196,7 @@ def component_match(components: DataFrame, centers: DataFrame) -> DataFrame:
 def component_drop(normalized: DataFrame, matched: DataFrame, noise_center: int) -> DataFrame:
     """Zero the component matched to the noise centre."""
     noise = matched.where(F.col("center") == noise_center).select("region", "component", F.lit(True).alias("_noise"))
-    return normalized.join(noise, ["region", "component"], "left").withColumn(
+    return normalized.join(small_side(noise), ["region", "component"], "left").withColumn(
         "score", F.when(F.col("_noise"), F.lit(0.0)).otherwise(F.col("score"))
     ).drop("_noise")
 
@@ -203,8 +206,9 @@ def center_similarity(spectra: DataFrame, center: DataFrame, mask: DataFrame) ->
     scored = spectra.join(mask.select("region", "pixel_id"), ["region", "pixel_id"], "left_semi").join(
         center, "region"
     ).select(*PLACE, (1 - S.cosine_similarity(F.col("spectrum"), F.col("center"))).alias("_v"))
+    scored = cut_lineage(scored)
     top = scored.groupBy("region").agg(F.max("_v").alias("_m"))
-    return scored.join(top, "region").select(
+    return scored.join(small_side(top), "region").select(
         *PLACE, S.to_byte(F.col("_v") / F.nullif(F.col("_m"), F.lit(0.0))).alias("value")
     )
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ionloom.functions import spectrum as S
 from ionloom.functions.order_stats import exact_quantiles
 from ionloom.operators.normalize import ion_max_norm
+from ionloom.session import small_side
 
 
 def axis_of(sizes: DataFrame, n_mz: int) -> DataFrame:
@@ -37,7 +38,8 @@ def region_percentile_spectrum(ions: DataFrame, sizes: DataFrame, n_mz: int, p:
 
 def roi_mean_ratio(ions: DataFrame, masks: DataFrame, peaks: DataFrame) -> DataFrame:
     """Mean of A over mean of B per peak m/z, ions scaled by their own maximum, divided by the best score."""
-    scaled = ion_max_norm(ions).join(peaks.select("region", "mz_index").distinct(), ["region", "mz_index"], "left_semi")
+    listed = peaks.select("region", "mz_index").distinct()
+    scaled = ion_max_norm(ions.join(small_side(listed), ["region", "mz_index"], "left_semi"))
     sizes = masks.groupBy("region").agg(
         F.sum((F.col("side") == 0).cast("long")).alias("_na"), F.sum((F.col("side") == 1).cast("long")).alias("_nb")
     )
@@ -47,7 +49,7 @@ def roi_mean_ratio(ions: DataFrame, masks: DataFrame, peaks: DataFrame) -> DataF
         F.sum(F.when(F.col("side") == 0, F.col("intensity")).otherwise(0.0)).alias("_a"),
         F.sum(F.when(F.col("side") == 1, F.col("intensity")).otherwise(0.0)).alias("_b"),
     )
-    ratios = sums.join(sizes, "region").select(
+    ratios = sums.join(small_side(sizes), "region").select(
         "region", "mz_index",
         ((F.col("_a") / F.col("_na")) / (F.lit(S.RATIO_EPSILON) + F.col("_b") / F.col("_nb"))).alias("score"),
     )

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ionloom.session import small_side
+
 PIXEL_XY = ["region", "y", "x"]
 
 
@@ -35,7 +37,7 @@ def auto_range(peaks: DataFrame) -> DataFrame:
 
 def bin_auto_range(peaks: DataFrame, bins_per_mz: int) -> DataFrame:
     """Grid taken from the data of each region; the range table has one row per region."""
-    binned = peaks.join(auto_range(peaks), "region").withColumn(
+    binned = peaks.join(small_side(auto_range(peaks)), "region").withColumn(
         "mz_index",
         F.rint((F.col("mz").cast("float").cast("double") - F.col("min_mz")) * bins_per_mz).cast("int"),
     ).where(F.col("mz_index").between(0, F.col("n_units") * bins_per_mz - 1))
@@ -57,7 +59,7 @@ def nonzero_axis(peaks: DataFrame, bins_per_mz: int) -> DataFrame:
 def bin_nonzero(peaks: DataFrame, bins_per_mz: int) -> DataFrame:
     """Keep only m/z values that occur. Sums first, so the axis join moves binned rows instead of raw peaks."""
     quantized = peaks.withColumn("q", F.rint(F.col("mz").cast("float").cast("double") * bins_per_mz).cast("long"))
-    return _sum_bins(quantized, "q").join(nonzero_axis(peaks, bins_per_mz), ["region", "q"]).select(
+    return _sum_bins(quantized, "q").join(small_side(nonzero_axis(peaks, bins_per_mz)), ["region", "q"]).select(
         *PIXEL_XY, "mz_index", "mz", "intensity"
     )
 
@@ -115,7 +117,7 @@ def coord_rebase(pixels: DataFrame) -> DataFrame:
         F.min("y").alias("_y0"), F.min("x").alias("_x0"),
         (F.max("y") - F.min("y") + 1).alias("height"), (F.max("x") - F.min("x") + 1).alias("width"),
     )
-    return pixels.join(extent, "region").withColumn("y", F.col("y") - F.col("_y0")).withColumn(
+    return pixels.join(small_side(extent), "region").withColumn("y", F.col("y") - F.col("_y0")).withColumn(
         "x", F.col("x") - F.col("_x0")
     ).drop("_y0", "_x0")
 

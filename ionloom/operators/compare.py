@@ -12,10 +12,11 @@ from pyspark.sql import types as T
 from ionloom.functions import geometry as G
 from ionloom.functions import spectrum as S
 from ionloom.functions.order_stats import exact_quantiles, running_before
+from ionloom.model import tagged_ions, to_ions
 from ionloom.operators.aggregates import axis_of, region_percentile_spectrum, roi_mean_ratio
 from ionloom.operators.normalize import ion_max_norm
 from ionloom.operators.peaks import find_peaks, top_n_mz_pixel, union_peaks
-from ionloom.session import bounded_rows, cut_lineage
+from ionloom.session import bounded_rows, cut_lineage, small_side
 
 # Fixed value: two-sided 5 % limit of the normal distribution
 Z_LIMIT = 1.959963984540054
@@ -32,10 +33,10 @@ def _cube(c: Column) -> Column:
     return c * c * c - c
 
 
-def pairwise_u(ions: DataFrame, members: DataFrame, n_mz: int, peaks: DataFrame | None = None) -> DataFrame:
+def pairwise_u(source: DataFrame, members: DataFrame, n_mz: int, peaks: DataFrame | None = None) -> DataFrame:
     """Mann-Whitney U of every pair of groups (a < b) for every m/z of a region, zeros included.
 
-    members(region, pixel_id, code) with small integer codes. Returns (region, mz_index, a, b, u, auc, z,
+    ``source`` is spectra or ions; members(region, pixel_id, code) has small integer codes. Returns (region, mz_index, a, b, u, auc, z,
     mean_a, mean_b).
 
     Equal intensities are merged into one row with a count per group (a map-side combine), earlier counts
@@ -45,10 +46,10 @@ def pairwise_u(ions: DataFrame, members: DataFrame, n_mz: int, peaks: DataFrame
     """
     sizes = members.groupBy("region", "code").agg(F.count(F.lit(1)).alias("n"))
     codes = sorted(r["code"] for r in bounded_rows(members.select("code").distinct(), MAX_CATEGORIES, "categories"))
-    picked = ions.select("region", "pixel_id", "mz_index", "intensity")
+    tagged = tagged_ions(source, members, "code")
     if peaks is not None:
-        picked = picked.join(peaks.select("region", "mz_index").distinct(), ["region", "mz_index"], "left_semi")
-    tagged = picked.join(members.select("region", "pixel_id", "code"), ["region", "pixel_id"])
+        peaks = small_side(peaks.select("region", "mz_index").distinct())
+        tagged = tagged.join(peaks, ["region", "mz_index"], "left_semi")
     counts = [f"c{i}" for i in range(len(codes))]
     counted = tagged.groupBy("region", "mz_index", "intensity").agg(
         *[F.sum((F.col("code") == code).cast("long")).alias(c) for c, code in zip(counts, codes)]
@@ -77,7 +78,7 @@ def pairwise_u(ions: DataFrame, members: DataFrame, n_mz: int, peaks: DataFrame
     )
     k = len(codes)
     if peaks is not None:
-        axis = peaks.select("region", "mz_index").distinct().join(wide_sizes, "region")
+        axis = peaks.join(wide_sizes, "region")
     else:
         axis = axis_of(wide_sizes, n_mz)
     zero = F.lit(0).cast("long")
@@ -114,29 +115,26 @@ def pairwise_u(ions: DataFrame, members: DataFrame, n_mz: int, peaks: DataFrame
     )
 
 
-def mann_whitney_u(ions: DataFrame, masks: DataFrame, n_mz: int, peaks: DataFrame | None = None) -> DataFrame:
+def mann_whitney_u(source: DataFrame, masks: DataFrame, n_mz: int, peaks: DataFrame | None = None) -> DataFrame:
     """Side 0 against side 1 of masks(region, pixel_id, side)."""
     members = masks.select("region", "pixel_id", F.col("side").alias("code"))
-    return pairwise_u(ions, members, n_mz, peaks).drop("a", "b")
+    return pairwise_u(source, members, n_mz, peaks).drop("a", "b")
 
 
-def mask_peaks(ions: DataFrame, masks: DataFrame, n_mz: int, height: float = 0.0) -> DataFrame:
+def mask_peaks(source: DataFrame, masks: DataFrame, n_mz: int, height: float = 0.0) -> DataFrame:
     """Union of the peaks of the 30th percentile spectra of both sides."""
     sizes = masks.groupBy("region", "side").agg(F.count(F.lit(1)).alias("n"))
-    sided = ions.select("region", "pixel_id", "mz_index", "intensity").join(
-        masks.select("region", "pixel_id", "side"), ["region", "pixel_id"]
-    )
-    curves = region_percentile_spectrum(sided, sizes, n_mz, 0.3)
+    curves = region_percentile_spectrum(tagged_ions(source, masks, "side"), sizes, n_mz, 0.3)
     return union_peaks(find_peaks(curves, ["region", "side"], "q", height))
 
 
-def region_vs_region(ions: DataFrame, masks: DataFrame, n_mz: int, height: float = 0.0,
+def region_vs_region(source: DataFrame, masks: DataFrame, n_mz: int, height: float = 0.0,
                      method: str = "U-Test") -> DataFrame:
-    """m/z that separate side 0 from side 1: (region, mz_index, score, ...)."""
-    peaks = cut_lineage(mask_peaks(ions, masks, n_mz, height))  # a few rows per region, read three times below
+    """m/z that separate side 0 from side 1: (region, mz_index, score, ...). ``source`` is spectra or ions."""
+    peaks = cut_lineage(mask_peaks(source, masks, n_mz, height))  # a few rows per region
     if method != "U-Test":
-        return roi_mean_ratio(ions, masks, peaks)
-    return mann_whitney_u(ions, masks, n_mz, peaks).where(F.col("z") > Z_LIMIT).select(
+        return roi_mean_ratio(to_ions(source) if "spectrum" in source.columns else source, masks, peaks)
+    return mann_whitney_u(source, masks, n_mz, peaks).where(F.col("z") > Z_LIMIT).select(
         "region", "mz_index", F.col("auc").alias("score"), "u", "z"
     )
 
@@ -149,11 +147,11 @@ def mask_complement(spectra: DataFrame, mask: DataFrame, thin: int = 3) -> DataF
     )
 
 
-def region_vs_rest(spectra: DataFrame, ions: DataFrame, mask: DataFrame, n_mz: int, height: float = 0.0) -> DataFrame:
+def region_vs_rest(spectra: DataFrame, source: DataFrame, mask: DataFrame, n_mz: int, height: float = 0.0) -> DataFrame:
     sides = mask.select("region", "pixel_id", F.lit(0).alias("side")).unionByName(
         mask_complement(spectra, mask).select("region", "pixel_id", F.lit(1).alias("side"))
     )
-    return region_vs_region(ions, sides, n_mz, height)
+    return region_vs_region(source, sides, n_mz, height)
 
 
 def point_vs_point(spectra: DataFrame, ions: DataFrame, points: DataFrame, top: int = 200) -> DataFrame:
@@ -189,20 +187,20 @@ def point_vs_point(spectra: DataFrame, ions: DataFrame, points: DataFrame, top:
     )
 
 
-def point_vs_disc(spectra: DataFrame, ions: DataFrame, y: int, x: int, n_mz: int, radius: int = 3) -> DataFrame:
+def point_vs_disc(spectra: DataFrame, source: DataFrame, y: int, x: int, n_mz: int, radius: int = 3) -> DataFrame:
     """AUC of one pixel against the disc around it, for the peaks of either."""
     near = spectra.where(G.in_disc(F.col("x"), F.col("y"), x, y, radius))
     sides = near.select(
         "region", "pixel_id", F.when((F.col("y") == y) & (F.col("x") == x), 0).otherwise(1).alias("side")
     )
-    return mann_whitney_u(ions, sides, n_mz, cut_lineage(mask_peaks(ions, sides, n_mz))).select(
+    return mann_whitney_u(source, sides, n_mz, cut_lineage(mask_peaks(source, sides, n_mz))).select(
         "region", "mz_index", F.col("auc").alias("score"), "z"
     )
 
 
-def category_separation(ions: DataFrame, members: DataFrame, n_mz: int) -> DataFrame:
+def category_separation(source: DataFrame, members: DataFrame, n_mz: int) -> DataFrame:
     """Edges (a, b, mz_index, score, means): a is higher with AUC above 0.6, swapped when below 0.4."""
-    tested = pairwise_u(ions, members, n_mz).where(F.col("z") > Z_LIMIT)
+    tested = cut_lineage(pairwise_u(source, members, n_mz).where(F.col("z") > Z_LIMIT))
     higher = tested.where(F.col("auc") > 0.6).select(
         "region", F.col("a").alias("category_a"), F.col("b").alias("category_b"), "mz_index",
         F.col("auc").alias("score"), "z", "mean_a", "mean_b",
@@ -239,7 +237,7 @@ def ion_image(ions: DataFrame, pixels: DataFrame, sizes: DataFrame, mz_index: in
     one = ions.where(F.col("mz_index") == mz_index).select("region", "pixel_id", "intensity")
     top = exact_quantiles(one, ["region"], "intensity", {"q": p}, sizes)
     return pixels.select("region", "y", "x", "pixel_id").join(one, ["region", "pixel_id"], "left").join(
-        top, "region", "left"
+        small_side(top), "region", "left"
     ).select(
         "region", "y", "x", "pixel_id",
         S.unit_ratio(F.coalesce("intensity", F.lit(0.0)), F.coalesce("q", F.lit(0.0))).alias("value"),
@@ -252,24 +250,25 @@ def aggregated_ion_image(
     """Mean of the max-scaled images of the n best m/z, scaled by its percentile, clipped, 0..255."""
     order = Window.partitionBy("region").orderBy(F.desc("score"), F.desc("mz_index"))
     best = stats.withColumn("_r", F.row_number().over(order)).where((F.col("_r") <= n) & (F.col("score") != 0))
-    best = best.select("region", "mz_index")
+    best = small_side(best.select("region", "mz_index"))
     listed = best.groupBy("region").agg(F.count(F.lit(1)).alias("_k"))
     scaled = ion_max_norm(ions.join(best, ["region", "mz_index"], "left_semi"))
     sums = scaled.groupBy("region", "pixel_id").agg(F.sum("intensity").alias("_s"))
     mean = pixels.select("region", "y", "x", "pixel_id").join(sums, ["region", "pixel_id"], "left").join(
-        listed, "region"
+        small_side(listed), "region"
     ).select("region", "y", "x", "pixel_id", (F.coalesce("_s", F.lit(0.0)) / F.col("_k")).alias("_v"))
+    mean = cut_lineage(mean)
     top = exact_quantiles(mean, ["region"], "_v", {"q": p})
-    return mean.join(top, "region").select(
+    return mean.join(small_side(top), "region").select(
         "region", "y", "x", "pixel_id", S.to_byte(S.unit_ratio(F.col("_v"), F.col("q"))).alias("value")
     )
 
 
 def mean_ion_image(images: DataFrame) -> DataFrame:
     """Mean of several ion images (region, y, x, value), divided by the maximum of the region, 0..255."""
-    mean = images.groupBy("region", "y", "x").agg(F.avg("value").alias("_v"))
+    mean = cut_lineage(images.groupBy("region", "y", "x").agg(F.avg("value").alias("_v")))
     top = mean.groupBy("region").agg(F.max("_v").alias("_m"))
-    return mean.join(top, "region").select(
+    return mean.join(small_side(top), "region").select(
         "region", "y", "x", (F.col("_v") / F.col("_m") * 255).cast("int").alias("value")
     )
 
@@ -285,7 +284,7 @@ def overlay_blend(first: DataFrame, second: DataFrame, gain: float = 1.4) -> Dat
         "region", "y", "x", *[F.rint(F.col(c) * 0.5 + F.col(f"_{c}") * 0.5).alias(c) for c in channels]
     )
     top = mixed.groupBy("region").agg(F.max(F.greatest(*channels)).alias("_m"))
-    return mixed.join(top, "region").select(
+    return mixed.join(small_side(top), "region").select(
         "region", "y", "x",
         *[
             F.least(F.lit(255), (F.floor(F.col(c) / F.nullif(F.col("_m"), F.lit(0.0)) * 255) * gain).cast("int")).alias(c)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ionloom.functions import spectrum as S
+from ionloom.session import small_side
 
 # Names used by the annotation convention
 EMPTY_CATEGORY = "artefact"
@@ -43,7 +44,7 @@ def mask_filter(pixels: DataFrame, mask: DataFrame) -> DataFrame:
 def rotate90(pixels: DataFrame) -> DataFrame:
     """(y, x) -> (width - 1 - x, y); the width per region is a tiny aggregate, not a window over the region."""
     width = pixels.groupBy("region").agg(F.max("x").alias("_last"))
-    turned = pixels.join(width, "region")
+    turned = pixels.join(small_side(width), "region")
     others = [c for c in pixels.columns if c not in ("y", "x")]
     return turned.select(*others, (F.col("_last") - F.col("x")).alias("y"), F.col("y").alias("x"))
 

@@ -14,7 +14,7 @@ from ionloom.operators.neighbors import distance_matrix, stack
 from ionloom.operators.normalize import stack_channels
 from ionloom.operators.peaks import rank_average
 from ionloom.operators.sampling import random_sample
-from ionloom.session import bounded_rows, cut_lineage
+from ionloom.session import bounded_rows, cut_lineage, small_side
 
 MEASURES = ["cosine", "maxabs", "output"]
 DELTAS = (0.1, 0.2, 0.3)
@@ -68,7 +68,7 @@ def saliency_smoothness(distances: DataFrame) -> DataFrame:
     """The 16 saliency and smoothness scores per region, as (region, metric, value)."""
     ranked = pair_ranks(distances)
     sizes = ranked.groupBy("region").agg(F.count(F.lit(1)).alias("_n"))
-    ranked = ranked.join(sizes, "region")
+    ranked = ranked.join(small_side(sizes), "region")
     n, top, own, cos = F.col("_n"), F.col("max_rank"), F.col("result_rank"), F.col("cosine_rank")
     columns, names = [], []
     for gamma in GAMMAS:
@@ -126,7 +126,7 @@ def correlation_curve(distances: DataFrame, metric: str = "cosine") -> DataFrame
     limits = placed.select("region", F.col("_pos").cast("int").alias("_at"), F.col(metric).alias("limit")).join(
         marks, ["region", "_at"]
     ).groupBy("region").agg(F.collect_list(F.struct("_at", "limit", "_n")).alias("_limits"))
-    spread = distances.join(limits, "region").withColumn("_e", F.explode("_limits")).where(
+    spread = distances.join(small_side(limits), "region").withColumn("_e", F.explode("_limits")).where(
         F.col(metric) < F.col("_e.limit")
     )
     return spread.groupBy(
@@ -138,7 +138,7 @@ def metric_sample(spectra: DataFrame, limit: int = SAMPLE_LIMIT, seed: int = 0)
     """All foreground pixels of a region, or a fifth of ``limit`` of them when there are more than ``limit``."""
     inside = spectra.where(S.is_foreground(F.col("spectrum")))
     sizes = inside.groupBy("region").agg(F.count(F.lit(1)).alias("_n"))
-    sized = inside.join(sizes, "region")
+    sized = inside.join(small_side(sizes), "region")
     few = sized.where(F.col("_n") <= limit).drop("_n")
     many = random_sample(sized.where(F.col("_n") > limit).drop("_n"), limit // 5, seed).drop("sample_index")
     return few.unionByName(many)
@@ -235,11 +235,11 @@ def outlier_score(spectra: DataFrame, n_reference: int = 100, seed: int = 0) ->
     check; beyond the limit the caller splits regions. Pixels stream past it in Arrow batches.
     """
     sample = random_sample(spectra, n_reference, seed).where(S.is_foreground(F.col("spectrum")))
-    scored = nearest_reference(spectra, sample.select("region", "pixel_id", "spectrum"))
-    high = exact_quantiles(scored, ["region"], "_d", {"hi": 0.999}, neighbours=False)
-    unit = scored.join(high, "region").withColumn("_d", S.unit_ratio(F.col("_d"), F.col("hi"))).drop("hi")
+    scored = cut_lineage(nearest_reference(spectra, sample.select("region", "pixel_id", "spectrum")))
+    high = exact_quantiles(scored, ["region"], "_d", {"hi": 0.999})
+    unit = scored.join(small_side(high), "region").withColumn("_d", S.unit_ratio(F.col("_d"), F.col("hi"))).drop("hi")
     low = exact_quantiles(unit, ["region"], "_d", {"lo": 0.0001})
-    return unit.join(low, "region").select(
+    return unit.join(small_side(low), "region").select(
         "region", "y", "x", "pixel_id", F.greatest(F.col("_d") - F.col("lo"), F.lit(0.0)).alias("score")
     )
 

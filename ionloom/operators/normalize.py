@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ionloom.functions import spectrum as S
 from ionloom.functions.order_stats import exact_quantiles
 from ionloom.model import to_ions
+from ionloom.session import cut_lineage, small_side
 
 
 def tic(spectra: DataFrame) -> DataFrame:
@@ -43,7 +44,7 @@ def spatial_tic(spectra: DataFrame) -> DataFrame:
     The percentiles of a region are one array (one m/z axis), so spectra stay arrays and are joined per region.
     """
     normed = tic(spectra)
-    return normed.join(quantile_spectrum(normed, 0.99), "region").withColumn(
+    return normed.join(small_side(quantile_spectrum(normed, 0.99), 1000), "region").withColumn(
         "spectrum",
         F.zip_with("spectrum", "q", lambda v, q: F.least(F.lit(1.0), v / (q + S.TIC_EPSILON))),
     ).drop("q")
@@ -51,7 +52,9 @@ def spatial_tic(spectra: DataFrame) -> DataFrame:
 
 def ion_max_norm(ions: DataFrame) -> DataFrame:
     top = ions.groupBy("region", "mz_index").agg(F.max("intensity").alias("_m"))
-    return ions.join(top, ["region", "mz_index"]).withColumn("intensity", F.col("intensity") / F.col("_m")).drop("_m")
+    return ions.join(small_side(top), ["region", "mz_index"]).withColumn(
+        "intensity", F.col("intensity") / F.col("_m")
+    ).drop("_m")
 
 
 def _clip(unit):
@@ -98,7 +101,7 @@ def stretch(
         gap = F.col(c) - F.col(f"_lo_{c}")
         gap = F.greatest(gap, F.lit(0.0)) if floor_first else gap
         stretched[c] = _clip(gap / F.nullif(F.col(f"_top_{c}") + F.lit(epsilon), F.lit(0.0)))
-    return image.join(wide, k).withColumns(stretched).drop(*[f"_{e}_{c}" for c in channels for e in ("lo", "top")])
+    return image.join(small_side(wide), k).withColumns(stretched).drop(*[f"_{e}_{c}" for c in channels for e in ("lo", "top")])
 
 
 def stretch_gray(image: DataFrame, channels: list[str], low: float = 0.001, high: float = 0.999,
@@ -124,7 +127,7 @@ def hist_equalize(
         F.when(F.col("_z") > F.col("_a"), F.col("_a")).otherwise(F.col("_a") - 0.5).alias("_a"),
         F.when(F.col("_z") > F.col("_a"), F.col("_z")).otherwise(F.col("_z") + 0.5).alias("_z"),
     )
-    placed = image.join(span, k).withColumn("_at", (F.col(channel) - F.col("_a")) / (F.col("_z") - F.col("_a")) * bins)
+    placed = image.join(small_side(span), k).withColumn("_at", (F.col(channel) - F.col("_a")) / (F.col("_z") - F.col("_a")) * bins)
     placed = placed.withColumn("_bin", F.least(F.floor("_at"), F.lit(bins - 1)).cast("int"))
     counts = placed.groupBy(*k, "_bin").agg(F.count(F.lit(1)).alias("_c"))
     group = Window.partitionBy(*k)
@@ -141,7 +144,7 @@ def hist_equalize(
         ).alias("_step"),
     )
     equalized = (F.col("_upto") + F.col("_step") * (F.col("_at") - F.col("_bin"))) / F.col("_all_c") * (bins - 1)
-    return placed.join(share, [*k, "_bin"]).withColumn(out or channel, equalized).drop(
+    return placed.join(small_side(share), [*k, "_bin"]).withColumn(out or channel, equalized).drop(
         "_a", "_z", "_at", "_bin", "_upto", "_all_c", "_step"
     )
 
@@ -160,7 +163,8 @@ def equalize_channels(image: DataFrame, channels: list[str], keys: tuple[str, ..
             F.rint((F.col("_u") - F.col("_f")) * 255.0 / (F.col("_n") - F.col("_f")))
         ).cast("int").alias("_to"),
     )
+    lut = cut_lineage(lut)
     for c in channels:
         one = lut.where(F.col("ch") == c).select(*k, F.col("level").alias(c), F.col("_to").alias(f"_{c}"))
-        image = image.join(one, [*k, c]).withColumn(c, F.col(f"_{c}")).drop(f"_{c}")
+        image = image.join(small_side(one), [*k, c]).withColumn(c, F.col(f"_{c}")).drop(f"_{c}")
     return image

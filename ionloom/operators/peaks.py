@@ -97,12 +97,12 @@ def top3_intensity(spectra: DataFrame) -> DataFrame:
 RATIO_PERCENTS = (99.99, 99.9, 99.9, 99.0, 98.0, 85.0)
 
 
-def sort_percentile_pick(spectra: DataFrame, percents: tuple[float, ...] = RATIO_PERCENTS) -> DataFrame:
-    """Element of the sorted spectrum at each percent mark."""
+def sort_percentile_pick(spectra: DataFrame, percents: tuple[float, ...] = RATIO_PERCENTS, *extra) -> DataFrame:
+    """Element of the sorted spectrum at each percent mark; ``extra`` columns are carried along."""
     ordered = spectra.withColumn("_sorted", F.sort_array("spectrum"))
     return ordered.select(
         "region", "y", "x", "pixel_id",
-        *[S.pick_by_percent(F.col("_sorted"), p).alias(f"p{i}") for i, p in enumerate(percents)],
+        *[S.pick_by_percent(F.col("_sorted"), p).alias(f"p{i}") for i, p in enumerate(percents)], *extra,
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ionloom.functions import spectrum as S
+from ionloom.session import cut_lineage, small_side
 
 
 def hash_order(seed: int, *ids: str) -> Column:
@@ -74,11 +75,12 @@ def coreset_probability(spectra: DataFrame) -> DataFrame:
     mean = n_and_mean.groupBy("region").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("i", "u"))), lambda e: e["u"]).alias("_mean")
     )
-    gap = spectra.join(mean, "region").withColumn(
+    gap = spectra.join(small_side(mean, 1000), "region").withColumn(
         "d2", S.total(F.zip_with("spectrum", "_mean", lambda a, b: (a - b) * (a - b)))
-    ).drop("_mean")
+    ).select("region", "pixel_id", "d2")
+    gap = cut_lineage(gap)  # one number per pixel
     whole = gap.groupBy("region").agg(F.sum("d2").alias("_sum"), F.count(F.lit(1)).alias("_n"))
-    return gap.join(whole, "region").withColumn(
+    return gap.join(small_side(whole), "region").withColumn(
         "q", (F.col("d2") / F.col("_sum") + F.lit(1.0) / F.col("_n")) * 0.5
     ).drop("_sum", "_n")
 

@@ -9,7 +9,7 @@ from ionloom.functions import geometry as G
 from ionloom.functions import spectrum as S
 from ionloom.functions.order_stats import exact_quantiles
 from ionloom.operators.normalize import spatial_tic
-from ionloom.session import cut_lineage
+from ionloom.session import cut_lineage, small_side
 
 
 def rgb_segment(image: DataFrame, n: int = 5, channels: tuple[str, str, str] = ("c0", "c1", "c2")) -> DataFrame:
@@ -118,11 +118,11 @@ def spot_detect(spectra: DataFrame, n_mz: int, peak_multiply: float = 1000.0) ->
     ones_from = n_mz - F.coalesce(F.col("_hits"), F.lit(0))
     at = lambda i: F.when(F.lit(i) >= ones_from, 1.0).otherwise(0.0)
     score = at(low) + (at(min(low + 1, n_mz - 1)) - at(low)) * (h - low)
-    pixels = spectra.select("region", "y", "x", "pixel_id").join(hits, ["region", "pixel_id"], "left").select(
+    pixels = cut_lineage(spectra.select("region", "y", "x", "pixel_id").join(hits, ["region", "pixel_id"], "left").select(
         "region", "y", "x", "pixel_id", score.alias("_s")
-    )
+    ))
     top = exact_quantiles(pixels, ["region"], "_s", {"p99": 0.99})
-    scored = pixels.join(top, "region").select(
+    scored = pixels.join(small_side(top), "region").select(
         "region", "y", "x", "pixel_id", S.to_byte(S.unit_ratio(F.col("_s"), F.col("p99"))).alias("_v")
     )
     return local_min(scored, "_v", "_min").select(
@@ -169,7 +169,7 @@ def erode(mask: DataFrame, offsets: list[tuple[int, int]]) -> DataFrame:
         ((y + dy >= 0) & (y + dy <= F.col("_ym")) & (x + dx >= 0) & (x + dx <= F.col("_xm"))).cast("int")
         for dy, dx in offsets
     )
-    return mask.join(_reach(mask, offsets), ["region", "y", "x"], "left").join(extent, "region").withColumn(
+    return mask.join(_reach(mask, offsets), ["region", "y", "x"], "left").join(small_side(extent), "region").withColumn(
         "value", F.when(F.col("_set") == needed, 1).otherwise(0)
     ).drop("_set", "_ym", "_xm")
 

@@ -65,10 +65,6 @@ def p30_sql(source, members="sides"):
 LIMIT = "1.959963984540054"
 
 
-def tic_ions(spark, sf):
-    return to_ions(normalize.tic(I.spectra(spark, sf)), "label")
-
-
 def label_sizes(pixels):
     return pixels.groupBy("region", "label").agg(F.count(F.lit(1)).alias("n"))
 
@@ -100,7 +96,7 @@ def region_percentile_spectrum(spark, sf):
 SELECT region, mz_index, round(score / max(score) OVER (PARTITION BY region), 6) AS score FROM ra"""))
 def roi_mean_ratio(spark, sf):
     pixels = I.spectra(spark, sf)
-    return C.region_vs_region(to_ions(pixels), I.masks(pixels), I.N_MZ, method="ROI-MEANS").select(
+    return C.region_vs_region(pixels, I.masks(pixels), I.N_MZ, method="ROI-MEANS").select(
         "region", "mz_index", r6("score", "score")
     )
 
@@ -376,14 +372,14 @@ def component_top_peaks(spark, sf):
 SELECT region, mz_index, round(u, 4) AS u, round(auc, 6) AS auc, round(z, 6) AS z, round(mean_a, 6) AS mean_a, round(mean_b, 6) AS mean_b FROM tested"""))
 def mann_whitney_u(spark, sf):
     pixels = I.spectra(spark, sf)
-    tested = C.mann_whitney_u(to_ions(pixels), I.masks(pixels), I.N_MZ)
+    tested = C.mann_whitney_u(pixels, I.masks(pixels), I.N_MZ)
     return tested.select("region", "mz_index", r6("u", "u", 4), *[r6(c, c) for c in ("auc", "z", "mean_a", "mean_b")])
 
 
 @query("union_peaks", sql("tic", "spectra", then=SIDES + p30_sql("tic") + "SELECT region, mz_index FROM upk"))
 def union_peaks(spark, sf):
     pixels = I.spectra(spark, sf)
-    return C.mask_peaks(tic_ions(spark, sf), I.masks(pixels), I.N_MZ)
+    return C.mask_peaks(normalize.tic(pixels), I.masks(pixels), I.N_MZ)
 
 
 @query("region_vs_region", sql("tic", "spectra", then=SIDES + p30_sql("tic") + u_sql("tic", "sides") + f"""
@@ -391,7 +387,7 @@ SELECT region, mz_index, round(auc, 6) AS score, round(u, 4) AS u, round(z, 6) A
 def region_vs_region(spark, sf):
     """Flagship: TIC, p30 spectra of both sides, peaks, rank test on the union of the peaks."""
     pixels = I.spectra(spark, sf)
-    found = C.region_vs_region(tic_ions(spark, sf), I.masks(pixels), I.N_MZ)
+    found = C.region_vs_region(normalize.tic(pixels), I.masks(pixels), I.N_MZ)
     return found.select("region", "mz_index", r6("score", "score"), r6("u", "u", 4), r6("z", "z"))
 
 
@@ -412,7 +408,7 @@ def mask_complement(spark, sf):
 SELECT region, mz_index, round(auc, 6) AS score, round(z, 6) AS z FROM tested JOIN upk USING (region, mz_index) WHERE z > {LIMIT}"""))
 def region_vs_rest(spark, sf):
     pixels = I.spectra(spark, sf)
-    return C.region_vs_rest(pixels, tic_ions(spark, sf), pixels.where("label = 0"), I.N_MZ).select(
+    return C.region_vs_rest(pixels, normalize.tic(pixels), pixels.where("label = 0"), I.N_MZ).select(
         "region", "mz_index", r6("score", "score"), r6("z", "z")
     )
 
@@ -438,7 +434,7 @@ def point_vs_point(spark, sf):
 SELECT region, mz_index, round(auc, 6) AS score, round(z, 6) AS z FROM tested JOIN upk USING (region, mz_index)"""))
 def point_vs_disc(spark, sf):
     pixels = I.spectra(spark, sf)
-    return C.point_vs_disc(pixels, to_ions(pixels), 5, 12, I.N_MZ).select("region", "mz_index", r6("score", "score"), r6("z", "z"))
+    return C.point_vs_disc(pixels, pixels, 5, 12, I.N_MZ).select("region", "mz_index", r6("score", "score"), r6("z", "z"))
 
 
 ALL_SIDES = ", sides AS (SELECT region, pixel_id, label AS code FROM spectra)"
@@ -449,7 +445,7 @@ SEPARATION = f"""
 
 
 def separation(pixels):
-    return C.category_separation(to_ions(pixels), pixels.select("region", "pixel_id", F.col("label").alias("code")), I.N_MZ)
+    return C.category_separation(pixels, pixels.select("region", "pixel_id", F.col("label").alias("code")), I.N_MZ)
 
 
 @query("category_separation", sql("ions", then=ALL_SIDES + u_sql("ions", "sides") + SEPARATION + """

@@ -8,6 +8,7 @@ import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "ionloom") -> SparkSession:
@@ -47,6 +48,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_side(df: DataFrame, row_limit: int = 200_000) -> DataFrame:
+    """Materialize a summary table and broadcast it only if its measured size allows.
+
+    Summaries (extents, quantiles, peak lists) meet tables of pixels or ions on keys such as the region, where one
+    key may hold a third of all rows. Broadcast, the large side is not shuffled at all; above ``row_limit`` rows the
+    join stays a shuffled one, which adaptive execution splits at hot keys.
+    """
+    done = cut_lineage(df)
+    return F.broadcast(done) if done.limit(row_limit + 1).count() <= row_limit else done
+
+
 def scratch_folder(spark: SparkSession, name: str) -> str:
     """A new folder inside the shared checkpoint folder for a table that is written and read back."""
     ensure_checkpoint_dir(spark)
