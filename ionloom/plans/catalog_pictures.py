@@ -412,10 +412,13 @@ def local_filters(spark, sf):
 CUBE = """
 , ext AS (SELECT region, max(y) AS ym, max(x) AS xm FROM spectra GROUP BY region)
 , off(o) AS (VALUES (-1), (0), (1))
-, cube AS (SELECT a.region, a.y, a.x, a.pixel_id, a.mz_index, a.v AS own, max(b.v) AS mx, list_sort(list(b.v))[14] AS md
-  FROM spatial a JOIN ext e ON e.region = a.region, off oy, off ox, off oz, spatial b
-  WHERE a.v <> 0 AND b.region = a.region AND b.y = least(greatest(a.y + oy.o, 0), ym) AND b.x = least(greatest(a.x + ox.o, 0), xm)
-    AND b.mz_index = least(greatest(a.mz_index + oz.o, 0), 63) GROUP BY ALL)
+, np AS (SELECT a.region, a.pixel_id AS p, b.pixel_id AS q FROM spectra a JOIN ext e ON e.region = a.region CROSS JOIN off oy CROSS JOIN off ox
+  JOIN spectra b ON b.region = a.region AND b.y = least(greatest(a.y + oy.o, 0), ym) AND b.x = least(greatest(a.x + ox.o, 0), xm))
+, nm AS (SELECT CAST(i AS INTEGER) AS m, CAST(least(greatest(i + o, 0), 63) AS INTEGER) AS mm FROM range(64) t(i), off)
+, sp AS MATERIALIZED (SELECT *, (region * 250 + pixel_id) * 64 + mz_index AS cell FROM spatial)
+, nb AS MATERIALIZED (SELECT (region * 250 + p) * 64 + m AS cell, (region * 250 + q) * 64 + mm AS other FROM np, nm)
+, around AS (SELECT nb.cell, max(b.v) AS mx, list_sort(list(b.v))[14] AS md FROM nb JOIN sp b ON b.cell = nb.other GROUP BY nb.cell)
+, cube AS (SELECT region, y, x, pixel_id, mz_index, v AS own, mx, md FROM sp JOIN around USING (cell) WHERE v <> 0)
 """
 
 
