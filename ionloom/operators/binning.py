@@ -68,23 +68,21 @@ def window_join(peaks: DataFrame, targets: DataFrame, tolerance: float) -> DataF
     """Range join: peaks with every target at most ``tolerance`` away.
 
     Both sides get a cell of width ``2 * tolerance``; a target is listed in the cells its window touches
-    (two or three), a peak only in its own, so the equi-join meets each match exactly once. A crowded m/z is
-    spread by the pixel row in the cell key of the peaks and the same small fan-out of the targets.
+    (two or three), a peak only in its own, so the equi-join meets each match exactly once. A target list that
+    measures small is broadcast, so peaks stay where they are even when one m/z is crowded; a longer list is a
+    shuffled join whose hot cells adaptive execution splits.
     """
     width = 2.0 * tolerance
-    fan = 8
     cells = targets.withColumn(
         "_cell",
         F.explode(F.sequence(
             F.floor((F.col("target_mz") - tolerance) / width), F.floor((F.col("target_mz") + tolerance) / width)
         )),
-    ).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(fan - 1))))
-    keyed = peaks.withColumn("_cell", F.floor(F.col("mz") / width)).withColumn(
-        "_salt", F.pmod(F.hash("y", "x"), F.lit(fan))
     )
-    return keyed.join(cells, ["_cell", "_salt"]).where(
+    keyed = peaks.withColumn("_cell", F.floor(F.col("mz") / width))
+    return keyed.join(small_side(cells), "_cell").where(
         (F.col("mz") >= F.col("target_mz") - tolerance) & (F.col("mz") <= F.col("target_mz") + tolerance)
-    ).drop("_cell", "_salt")
+    ).drop("_cell")
 
 
 def match_mz_list(peaks: DataFrame, targets: DataFrame, tolerance: float) -> DataFrame:

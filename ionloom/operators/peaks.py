@@ -42,7 +42,10 @@ def rank_dense_order(df: DataFrame, keys: list[str], value: str, tie: str, out:
 
 
 def rank_average(df: DataFrame, keys: list[str], value: str, out: str = "rank") -> DataFrame:
-    """Every row with its 1-based average rank; joins back on the value, a hot value is split by the id block."""
+    """Every row with its 1-based average rank.
+
+    The join back meets one rank row per distinct value; adaptive execution splits the rows of a hot value.
+    """
     ranks = average_rank(df, keys, value, out).drop("t")
     return df.join(ranks, [*keys, value])
 

@@ -88,7 +88,8 @@ def coreset_probability(spectra: DataFrame) -> DataFrame:
 def coreset_sample(spectra: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """n draws with replacement proportional to q: (region, draw, pixel_id, weight = 1 / (q * n)).
 
-    The cumulative q comes from block offsets; a draw meets only the block its number falls in.
+    The cumulative q comes from block offsets; draws and block starts are put in one line per region (one entry
+    per 4096 pixels), and a draw then meets only the pixels of the block it falls in.
     """
     q = coreset_probability(spectra).select("region", "pixel_id", "q").withColumn("_blk", F.floor(F.col("pixel_id") / 4096))
     blocks = q.groupBy("region", "_blk").agg(F.sum("q").alias("_qb"))
@@ -96,16 +97,20 @@ def coreset_sample(spectra: DataFrame, n: int, seed: int = 0) -> DataFrame:
     edges = blocks.select("region", "_blk", "_qb", F.sum("_qb").over(upto).alias("_end")).withColumn(
         "_start", F.col("_end") - F.col("_qb")
     )
-    whole = edges.groupBy("region").agg(
-        F.sort_array(F.collect_list(F.struct("_start", "_end", "_blk"))).alias("_edges")
+    edges = cut_lineage(edges.select("region", "_blk", "_start", "_end"))  # one row per 4096 pixels
+    draws = edges.groupBy("region").agg(F.max("_end").alias("_all")).select(
+        "region", "_all", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("draw")
+    ).select("region", "draw", (uniform(seed, "region", "draw") * F.col("_all")).alias("_at"))
+    line = edges.select("region", F.col("_start").alias("_at"), "_blk", F.lit(None).cast("int").alias("draw")).unionByName(
+        draws.withColumn("_blk", F.lit(None).cast("long"))
     )
-    draws = whole.select(
-        "region", "_edges", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("draw")
-    ).withColumn("_u", uniform(seed, "region", "draw") * F.element_at("_edges", -1)["_end"])
-    placed = draws.select(
-        "region", "draw", "_u",
-        F.element_at(F.filter("_edges", lambda e: e["_start"] <= F.col("_u")), -1).alias("_e"),
-    ).select("region", "draw", (F.col("_u") - F.col("_e._start")).alias("_u"), F.col("_e._blk").alias("_blk"))
+    so_far = Window.partitionBy("region").orderBy("_at", F.col("draw").isNotNull()).rowsBetween(
+        Window.unboundedPreceding, 0
+    )
+    placed = line.select(
+        "region", "draw", "_at", F.last("_blk", True).over(so_far).alias("_blk"),
+        F.max(F.when(F.col("_blk").isNotNull(), F.col("_at"))).over(so_far).alias("_start"),
+    ).where(F.col("draw").isNotNull()).select("region", "draw", (F.col("_at") - F.col("_start")).alias("_u"), "_blk")
     inside = Window.partitionBy("region", "_blk").orderBy("pixel_id").rowsBetween(Window.unboundedPreceding, 0)
     ranged = q.withColumn("_hi", F.sum("q").over(inside)).withColumn("_lo", F.col("_hi") - F.col("q"))
     last = F.max(F.struct("_lo", "pixel_id", "q"))

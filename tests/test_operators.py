@@ -224,3 +224,17 @@ def test_equalize_single_valued_group(spark):
         cdf = hist.cumsum()
         want = np.interp(values, edges[:-1], 7 * cdf / cdf[-1])
         assert sorted(r["v"] for r in got if r["region"] == region) == pytest.approx(sorted(want))
+
+
+def test_coreset_draws_follow_the_cumulative_probability(spark, monkeypatch):
+    pixels = cube_frame(spark, {0: sparse_cube(np.random.default_rng(9), 9, 8, 3)})
+    q = {r["pixel_id"]: r["q"] for r in sampling.coreset_probability(pixels).collect()}
+    assert sum(q.values()) == pytest.approx(1)
+    edges = np.cumsum([q[i] for i in range(72)])
+    drawn = spark.range(200).select(F.lit(0).alias("region"), F.col("id").cast("int").alias("draw")).select(
+        "draw", sampling.uniform(5, "region", "draw").alias("u")
+    )
+    want = {r["draw"]: int(np.searchsorted(edges, r["u"] * edges[-1], "right")) for r in drawn.collect()}
+    rows = sampling.coreset_sample(pixels, 200, 5).collect()
+    assert {r["draw"]: r["pixel_id"] for r in rows} == want
+    assert all(r["weight"] == pytest.approx(1 / (q[r["pixel_id"]] * 200)) for r in rows)
