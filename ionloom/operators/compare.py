@@ -131,7 +131,7 @@ def mask_peaks(source: DataFrame, masks: DataFrame, n_mz: int, height: float = 0
 def region_vs_region(source: DataFrame, masks: DataFrame, n_mz: int, height: float = 0.0,
                      method: str = "U-Test") -> DataFrame:
     """m/z that separate side 0 from side 1: (region, mz_index, score, ...). ``source`` is spectra or ions."""
-    peaks = cut_lineage(mask_peaks(source, masks, n_mz, height))  # a few rows per region
+    peaks = mask_peaks(source, masks, n_mz, height)
     if method != "U-Test":
         return roi_mean_ratio(to_ions(source) if "spectrum" in source.columns else source, masks, peaks)
     return mann_whitney_u(source, masks, n_mz, peaks).where(F.col("z") > Z_LIMIT).select(
@@ -193,7 +193,7 @@ def point_vs_disc(spectra: DataFrame, source: DataFrame, y: int, x: int, n_mz: i
     sides = near.select(
         "region", "pixel_id", F.when((F.col("y") == y) & (F.col("x") == x), 0).otherwise(1).alias("side")
     )
-    return mann_whitney_u(source, sides, n_mz, cut_lineage(mask_peaks(source, sides, n_mz))).select(
+    return mann_whitney_u(source, sides, n_mz, mask_peaks(source, sides, n_mz)).select(
         "region", "mz_index", F.col("auc").alias("score"), "z"
     )
 

@@ -18,7 +18,7 @@ from ionloom.functions import spectrum as S
 from ionloom.operators.sampling import hash_order
 from ionloom.session import bounded_rows, cut_lineage
 
-MAX_PIVOTS = 1024
+MAX_PIVOT_ROWS = 16384
 
 
 def distance_matrix(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
@@ -52,7 +52,7 @@ def _bound_metric(metric: str) -> str:
 
 
 def knn(points: DataFrame, k: int, metric: str = "euclidean", vector: str = "vector", block: int = 1024,
-        pivots: int = 16) -> DataFrame:
+        pivots: int = 64) -> DataFrame:
     """points(region, pixel_id, vector) -> (region, i, j, distance, rank 1..k), self excluded, ties by id."""
     base = points.select("region", "pixel_id", F.col(vector).alias("v"))
     if metric == "cosine":
@@ -65,9 +65,11 @@ def knn(points: DataFrame, k: int, metric: str = "euclidean", vector: str = "vec
     sampled = base.withColumn("_o", hash_order(7, "region", "pixel_id")).withColumn("_s", F.substring("_o", 1, 2))
     first = sampled.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= 1)
     whole = Window.partitionBy("region").orderBy("_o")
-    chosen = first.withColumn("_r", F.row_number().over(whole)).where(F.col("_r") <= pivots)
+    # one pivot per block of points: a small region is a single cell
+    cells = base.groupBy("region").agg(F.least(F.lit(pivots), F.ceil(F.count(F.lit(1)) / block)).alias("_cells"))
+    chosen = first.withColumn("_r", F.row_number().over(whole)).join(cells, "region").where(F.col("_r") <= F.col("_cells"))
     table: dict[int, np.ndarray] = {}
-    for row in bounded_rows(chosen.select("region", "_r", "v"), MAX_PIVOTS * 64, "pivots"):
+    for row in bounded_rows(chosen.select("region", "_r", "v"), MAX_PIVOT_ROWS, "pivots"):
         table.setdefault(row["region"], []).append((row["_r"], row["v"]))
     table = {r: np.array([v for _, v in sorted(rows)], dtype="float64") for r, rows in table.items()}
     shared = points.sparkSession.sparkContext.broadcast(table)
