@@ -6,7 +6,8 @@ n-gram occurs in the corpus; in each run of ``spread`` neighbouring n-grams of a
 with any ``n + spread - 1`` words in a row left intact holds a seed. Seeds join passages to items, and the local
 alignment of passage and item words, divided by the best score possible for the item, is the score.
 
-Words are runs without ASCII white space, A-Z lower-cased. Null or empty texts and items match nothing, and items of
+Words are in lower case and end at ASCII white space or signs, so a copy in capitals or with other punctuation is a copy.
+Null or empty texts and items match nothing, and items of
 fewer than ``n`` words are too short to be told from chance and match nothing. Repeated items each match; repeated documents
 give repeated hits merged by id. Empty tables give an empty result. Other columns are ignored.
 """
@@ -65,7 +66,7 @@ def _grams(texts: DataFrame, key: str, text: str, n: int, spread: int) -> DataFr
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes, offsets = tb.lower_word_hashes(batch.column(1))
+            hashes, offsets = tb.plain_word_hashes(batch.column(1))
             made, per_item = tb.shingle_hashes(hashes, offsets, n, short=False)
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), tb.list_array(per_item, made.view(np.int64), pa.int64()), tb.binary_array(offsets * 8, hashes.view(np.uint8)),
@@ -97,7 +98,7 @@ def passages(docs: DataFrame, bits: np.ndarray, reach: int, key: str, text: str,
             keys, at = [], 0
             firsts, words, hits = [], [], []
             for part in tb.slices(batch.column(1)):
-                hashes, offsets = tb.lower_word_hashes(part)
+                hashes, offsets = tb.plain_word_hashes(part)
                 made, per_text = tb.shingle_hashes(hashes, offsets, n, short=False)
                 hit = np.flatnonzero(table[made & mask] & table[(made >> np.uint64(32)) & mask])
                 owner = np.searchsorted(per_text, hit, "right") - 1

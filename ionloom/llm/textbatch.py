@@ -134,6 +134,18 @@ def lower_word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return span_hashes(data, starts, ends), per_text
 
 
+_PLAIN = _LOWER.copy()
+_PLAIN[[b for b in range(128) if not chr(b).isalnum()]] = 32
+
+
+def plain_word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """As ``lower_word_hashes`` for words in lower case of any script, where ASCII signs separate words."""
+    data, offsets = utf8_bytes(pc.utf8_lower(column))
+    data = _PLAIN[data]
+    starts, ends, per_text = words(data, offsets)
+    return span_hashes(data, starts, ends), per_text
+
+
 def shingle_hashes(hashes: np.ndarray, offsets: np.ndarray, n: int, short: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of runs of ``n`` words per text. With ``short``, a text of fewer words is one run of all its words.
 
