@@ -82,7 +82,7 @@ def bit_filter(grams: DataFrame) -> np.ndarray:
     spots = F.array(F.col("h").bitwiseAND(mask), F.shiftright("h", 32).bitwiseAND(mask))
     rows = grams.select(F.explode(spots).alias("b")).distinct().groupBy(F.floor(F.col("b") / 65536).alias("page")).agg(F.collect_set("b").alias("bits"))
     out = np.zeros(1 << FILTER_BITS, bool)
-    for row in rows.toLocalIterator():  # at most 256 pages
+    for row in rows.collect():  # at most 256 pages
         out[row.bits] = True
     return out
 

@@ -8,7 +8,8 @@ share one of their first n - ceil(n * num / den) + 1 shingles (their prefixes).
    bit makes an order less good, never a result wrong. A shingle without a bit occurs once and can match nothing.
 2. Documents with the same set are one class; classes with the same prefix and size are one group. Only prefix shingles
    that occur elsewhere are posted, once per group.
-3. Round one: each group meets the smallest group it shares a prefix shingle with, and the classes of a group meet its
+3. Round one: each group meets one group it shares a prefix shingle with, the one with the smallest share of shingles
+   of its own, and the classes of a group meet its
    first class. The pairs are expanded to classes, verified exactly, and give components.
 4. Round two: prefix shingles whose groups are not all in one component yet. Groups outside the main component of a
    shingle meet all groups of that shingle in other components, if size and position allow the similarity. Pairs inside
@@ -125,7 +126,7 @@ def frequency_bits(docs: DataFrame, text: str = "text", n: int = N, bits: int =
     found = docs.select(text).mapInArrow(gather, "range int, frame binary").groupBy("range").applyInArrow(merge, "range int, two binary, many binary")
     page = max(1, width // 8)
     two, many = np.zeros(page << ranges, np.uint8), np.zeros(page << ranges, np.uint8)
-    for row in found.toLocalIterator():  # two arrays of 2^bits bits in all, however many documents there are
+    for row in found.collect():  # two arrays of 2^bits bits in all, however many documents there are
         for target, frame in ((two, row.two), (many, row.many)):
             target[row.range * page : (row.range + 1) * page] = np.frombuffer(zstandard.decompress(frame), np.uint8)
     return two, many
@@ -202,13 +203,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     ))
     sets = classes.select("cls", "n", "members")
     groups = classes.groupBy("grp").agg(F.min("cls").alias("lead"), F.count(F.lit(1)).alias("size"), F.first("n").alias("n"), F.first("at").alias("at"), F.first("posted").alias("posted"))
-    postings = groups.select("grp", "n", F.posexplode("posted").alias("p", "token"), "at").select("grp", "n", "token", (F.col("p") + F.col("at")).alias("at"))
+    # the share of shingles that occur nowhere else; the original of many edited copies has the smallest
+    own = (F.col("at") / F.col("n")).alias("own")
+    postings = groups.select("grp", "n", own, F.posexplode("posted").alias("p", "token"), "at").select(
+        "grp", "n", "own", "token", (F.col("p") + F.col("at")).alias("at")
+    )
     postings = cut_lineage(postings)
-    buckets = postings.groupBy("token").agg(F.min("grp").alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    buckets = postings.groupBy("token").agg(F.min(F.struct("own", "grp")).alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1")
     buckets = cut_lineage(buckets)
 
     # round one
-    stars = postings.join(buckets.select("token", "hub"), "token").where("grp <> hub").groupBy("grp").agg(F.min("hub").alias("hub"))
+    stars = postings.join(buckets.select("token", "hub"), "token").where("grp <> hub.grp").groupBy("grp").agg(F.min("hub").alias("hub")).select("grp", F.col("hub.grp").alias("hub"))
     leads = cut_lineage(groups.select("grp", "lead", "size"))
     star_pairs = stars.join(leads.select("grp", F.col("lead").alias("a")), "grp").join(
         leads.select(F.col("grp").alias("hub"), F.col("lead").alias("b")), "hub"
@@ -236,6 +241,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     pairs = group_pairs.join(placed.select(F.col("grp").alias("g1"), F.col("cls").alias("a"), F.col("comp").alias("ca")), "g1").join(
         placed.select(F.col("grp").alias("g2"), F.col("cls").alias("b"), F.col("comp").alias("cb")), "g2"
     ).where((F.col("ca") != F.col("cb")) & ((F.col("g1") < F.col("g2")) | (F.col("a") < F.col("b")))).select("a", "b")
+    pairs = cut_lineage(pairs)
     more = verified(pairs, sets, num, den)
     comps = components(edges.unionByName(more))
 
