@@ -214,11 +214,12 @@ def component_meta_cluster(components: DataFrame, k: int) -> DataFrame:
 
 
 def lda3(spectra: DataFrame, iterations: int = 10, seed: int = 0) -> DataFrame:
-    """Three topic shares per pixel."""
+    """Three topic shares per pixel; background pixels take no part in the fit and have shares of 0."""
     data = featured(spectra.where(S.is_foreground(F.col("spectrum"))))
     model = LDA(k=3, maxIter=iterations, seed=seed, featuresCol=FEATURES, optimizer="online").fit(data)
     shares = model.transform(data).select("region", "pixel_id", vector_to_array("topicDistribution").alias("_t"))
-    return with_columns_of(shares, "_t", ["t0", "t1", "t2"])
+    named = with_columns_of(shares, "_t", ["t0", "t1", "t2"])
+    return spectra.select("region", "pixel_id").join(named, ["region", "pixel_id"], "left").fillna(0.0, ["t0", "t1", "t2"])
 
 
 # --- linear projections -----------------------------------------------------------------------------------

@@ -49,12 +49,15 @@ def roi_mean_ratio(ions: DataFrame, masks: DataFrame, peaks: DataFrame) -> DataF
         F.sum(F.when(F.col("side") == 0, F.col("intensity")).otherwise(0.0)).alias("_a"),
         F.sum(F.when(F.col("side") == 1, F.col("intensity")).otherwise(0.0)).alias("_b"),
     )
+    def mean(total, n):  # a side without pixels has mean 0
+        return F.coalesce(F.try_divide(F.col(total), F.col(n)), F.lit(0.0))
+
     ratios = sums.join(small_side(sizes), "region").select(
         "region", "mz_index",
-        ((F.col("_a") / F.col("_na")) / (F.lit(S.RATIO_EPSILON) + F.col("_b") / F.col("_nb"))).alias("score"),
+        (mean("_a", "_na") / (F.lit(S.RATIO_EPSILON) + mean("_b", "_nb"))).alias("score"),
     )
     best = F.max("score").over(Window.partitionBy("region"))
-    return ratios.withColumn("score", F.col("score") / best)
+    return ratios.withColumn("score", F.coalesce(F.try_divide(F.col("score"), best), F.lit(0.0)))
 
 
 def max_over_pixels(ions: DataFrame) -> DataFrame:
@@ -107,7 +110,8 @@ def node_weight(edges: DataFrame) -> DataFrame:
     sums = ends.groupBy("region", "category").agg(
         F.sum("confusion").alias("weight"), F.count(F.lit(1)).alias("degree")
     )
-    return sums.withColumn("weight", F.col("weight") / F.max("weight").over(Window.partitionBy("region")))
+    most = F.max("weight").over(Window.partitionBy("region"))
+    return sums.withColumn("weight", F.coalesce(F.try_divide(F.col("weight"), most), F.lit(0.0)))
 
 
 def mean_color(image: DataFrame, channels: tuple[str, ...] = ("c0", "c1", "c2")) -> DataFrame:

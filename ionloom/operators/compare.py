@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import math
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ionloom.functions import geometry as G
 from ionloom.functions import spectrum as S
@@ -23,12 +19,6 @@ Z_LIMIT = 1.959963984540054
 MAX_CATEGORIES = 512
 
 
-@F.pandas_udf(T.DoubleType())
-def two_sided_p(z: pd.Series) -> pd.Series:
-    """p-value of a z score (Spark has no error function); used for display columns only."""
-    return z.map(lambda v: math.erfc(max(v, 0.0) / math.sqrt(2.0)))
-
-
 def _cube(c: Column) -> Column:
     return c * c * c - c
 
@@ -255,8 +245,8 @@ def aggregated_ion_image(
     scaled = ion_max_norm(ions.join(best, ["region", "mz_index"], "left_semi"))
     sums = scaled.groupBy("region", "pixel_id").agg(F.sum("intensity").alias("_s"))
     mean = pixels.select("region", "y", "x", "pixel_id").join(sums, ["region", "pixel_id"], "left").join(
-        small_side(listed), "region"
-    ).select("region", "y", "x", "pixel_id", (F.coalesce("_s", F.lit(0.0)) / F.col("_k")).alias("_v"))
+        small_side(listed), "region", "left"  # a region without a scored m/z is black
+    ).select("region", "y", "x", "pixel_id", F.coalesce(F.try_divide("_s", "_k"), F.lit(0.0)).alias("_v"))
     mean = cut_lineage(mean)
     top = exact_quantiles(mean, ["region"], "_v", {"q": p})
     return mean.join(small_side(top), "region").select(
@@ -269,7 +259,7 @@ def mean_ion_image(images: DataFrame) -> DataFrame:
     mean = cut_lineage(images.groupBy("region", "y", "x").agg(F.avg("value").alias("_v")))
     top = mean.groupBy("region").agg(F.max("_v").alias("_m"))
     return mean.join(small_side(top), "region").select(
-        "region", "y", "x", (F.col("_v") / F.col("_m") * 255).cast("int").alias("value")
+        "region", "y", "x", (F.coalesce(F.try_divide("_v", "_m"), F.lit(0.0)) * 255).cast("int").alias("value")
     )
 
 
@@ -309,5 +299,5 @@ def reversed_scores(stats: DataFrame) -> DataFrame:
 __all__ = [
     "pairwise_u", "mann_whitney_u", "mask_peaks", "region_vs_region", "region_vs_rest", "mask_complement",
     "point_vs_point", "point_vs_disc", "category_separation", "separation_edges", "ion_image",
-    "aggregated_ion_image", "mean_ion_image", "overlay_blend", "spectrum_grid", "reversed_scores", "two_sided_p",
+    "aggregated_ion_image", "mean_ion_image", "overlay_blend", "spectrum_grid", "reversed_scores",
 ]

@@ -19,7 +19,6 @@ from ionloom.session import bounded_rows, cut_lineage, small_side
 MEASURES = ["cosine", "maxabs", "output"]
 DELTAS = (0.1, 0.2, 0.3)
 GAMMAS = (0.0, 2.0)
-SAMPLE_LIMIT = 30000
 
 
 def pair_distances(pairs: DataFrame, spectra: DataFrame, image: DataFrame) -> DataFrame:
@@ -61,7 +60,8 @@ def _spread(tall: DataFrame, value: str) -> DataFrame:
 
 
 def _share(hit, weight):
-    return F.sum(F.when(hit, weight).otherwise(0.0)) / F.sum(weight)
+    """Weighted share; 0 when all weights are 0 (a single pair)."""
+    return F.coalesce(F.try_divide(F.sum(F.when(hit, weight).otherwise(0.0)), F.sum(weight)), F.lit(0.0))
 
 
 def saliency_smoothness(distances: DataFrame) -> DataFrame:
@@ -116,10 +116,10 @@ def correlation_curve(distances: DataFrame, metric: str = "cosine") -> DataFrame
     """
     placed = ordered_position(distances, ["region"], metric, "pair", "_pos")
     sizes = distances.groupBy("region").agg(F.count(F.lit(1)).alias("_n"))
-    step = F.floor(F.col("_n") / 10).cast("int")
+    step = F.greatest(F.floor(F.col("_n") / 10).cast("int"), F.lit(1))
     marks = sizes.withColumn(
         "_at", F.explode(F.array_distinct(F.concat(
-            F.filter(F.sequence(step, F.col("_n").cast("int") - 1, step), lambda i: i < F.col("_n")),
+            F.filter(F.sequence(step, F.greatest(F.col("_n").cast("int") - 1, step), step), lambda i: i < F.col("_n")),
             F.array(F.col("_n").cast("int") - 1),
         )))
     )
@@ -134,14 +134,10 @@ def correlation_curve(distances: DataFrame, metric: str = "cosine") -> DataFrame
     ).agg(F.corr(metric, "output").alias("correlation"))
 
 
-def metric_sample(spectra: DataFrame, limit: int = SAMPLE_LIMIT, seed: int = 0) -> DataFrame:
-    """All foreground pixels of a region, or a fifth of ``limit`` of them when there are more than ``limit``."""
+def metric_sample(spectra: DataFrame, points: int | None = None, seed: int = 0) -> DataFrame:
+    """All foreground pixels, or ``points`` of each region when given: the same rule for regions of any size."""
     inside = spectra.where(S.is_foreground(F.col("spectrum")))
-    sizes = inside.groupBy("region").agg(F.count(F.lit(1)).alias("_n"))
-    sized = inside.join(small_side(sizes), "region")
-    few = sized.where(F.col("_n") <= limit).drop("_n")
-    many = random_sample(sized.where(F.col("_n") > limit).drop("_n"), limit // 5, seed).drop("sample_index")
-    return few.unionByName(many)
+    return inside if points is None else random_sample(inside, points, seed).drop("sample_index")
 
 
 def neighbour_ranks(sample: DataFrame, k: int, metrics: tuple[str, str] = ("euclidean", "euclidean"),
@@ -200,11 +196,11 @@ def neighbour_ranks(sample: DataFrame, k: int, metrics: tuple[str, str] = ("eucl
 
 
 def trustworthiness(ranks: DataFrame, k: int) -> DataFrame:
-    """1 - 2 / (n k (2n - 3k - 1)) * sum over output neighbours of the input rank beyond k."""
+    """1 - 2 / (n k (2n - 3k - 1)) * sum over output neighbours of the input rank beyond k; null where that is undefined."""
     n = F.max("n")
     beyond = F.sum(F.when((F.col("rank_out") <= k) & (F.col("rank_in") > k), F.col("rank_in") - k).otherwise(0))
     return ranks.groupBy("region").agg(
-        (1 - beyond * 2.0 / (n * k * (2 * n - 3 * k - 1))).alias("trustworthiness")
+        (1 - F.try_divide(beyond * 2.0, n * k * (2 * n - 3 * k - 1))).alias("trustworthiness")
     )
 
 
@@ -217,7 +213,7 @@ def mrre(ranks: DataFrame, k: int) -> DataFrame:
     false = F.sum(F.when(F.col("rank_out") <= k, gap / F.col("rank_in")).otherwise(0.0))
     missing = F.sum(F.when(F.col("rank_in") <= k, gap / F.col("rank_out")).otherwise(0.0))
     return ranks.groupBy("region").agg(
-        (1 - false / (norm * n)).alias("mrre_false"), (1 - missing / (norm * n)).alias("mrre_missing")
+        (1 - F.try_divide(false, norm * n)).alias("mrre_false"), (1 - F.try_divide(missing, norm * n)).alias("mrre_missing")
     )
 
 
@@ -225,7 +221,7 @@ def lcmc(ranks: DataFrame, k: int) -> DataFrame:
     """Share of common k nearest neighbours minus its expectation k / (n - 1)."""
     n = F.max("n")
     common = F.sum(((F.col("rank_in") <= k) & (F.col("rank_out") <= k)).cast("long"))
-    return ranks.groupBy("region").agg((common / (n * k) - F.lit(float(k)) / (n - 1)).alias("lcmc"))
+    return ranks.groupBy("region").agg((F.try_divide(common, n * k) - F.try_divide(F.lit(float(k)), n - 1)).alias("lcmc"))
 
 
 def outlier_score(spectra: DataFrame, n_reference: int = 100, seed: int = 0) -> DataFrame:
@@ -266,6 +262,9 @@ def nearest_reference(spectra: DataFrame, sample: DataFrame) -> DataFrame:
     def measure(batches):
         for pdf in batches:
             for region, part in pdf.groupby("region"):
+                if region not in shared.value:  # no foreground pixel in the sample: nothing is an outlier
+                    yield part.drop(columns="spectrum").assign(_d=0.0)
+                    continue
                 ids, matrix = shared.value[region]
                 gaps = distance_matrix(stack(part["spectrum"]), matrix, "chebyshev")
                 gaps[part["pixel_id"].to_numpy()[:, None] == ids[None, :]] = 10000.0
@@ -292,6 +291,10 @@ def reference_ranks(spectra: DataFrame, sample: DataFrame) -> DataFrame:
     def measure(batches):
         for pdf in batches:
             for region, part in pdf.groupby("region"):
+                if region not in shared.value:
+                    none = [[] for _ in range(len(part))]
+                    yield part.drop(columns="spectrum").assign(cosine_rank=none, max_rank=none)
+                    continue
                 _, matrix = shared.value[region]
                 values = stack(part["spectrum"])
                 cosine = rank(np.round(distance_matrix(values, matrix, "cosine"), 12))
@@ -312,6 +315,8 @@ def pixel_reference_distances(spectra: DataFrame, sample: DataFrame) -> DataFram
     def measure(batches):
         for pdf in batches:
             for region, part in pdf.groupby("region"):
+                if region not in shared.value:
+                    continue
                 ids, matrix = shared.value[region]
                 values = stack(part["spectrum"])
                 yield pd.DataFrame({

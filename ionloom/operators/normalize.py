@@ -44,7 +44,7 @@ def spatial_tic(spectra: DataFrame) -> DataFrame:
     The percentiles of a region are one array (one m/z axis), so spectra stay arrays and are joined per region.
     """
     normed = tic(spectra)
-    return normed.join(small_side(quantile_spectrum(normed, 0.99), 1000), "region").withColumn(
+    return normed.join(small_side(quantile_spectrum(normed, 0.99)), "region").withColumn(
         "spectrum",
         F.zip_with("spectrum", "q", lambda v, q: F.least(F.lit(1.0), v / (q + S.TIC_EPSILON))),
     ).drop("q")

@@ -15,24 +15,25 @@ def hash_order(seed: int, *ids: str) -> Column:
 
 
 def uniform(seed: int, *ids) -> Column:
-    """Repeatable uniform number in [0, 1) from the row id."""
-    return F.pmod(F.xxhash64(F.lit(seed), *ids), F.lit(1 << 40)) / float(1 << 40)
+    """Repeatable uniform number in [0, 1) from the row id: the first 48 bits of a digest that SQL engines share."""
+    return F.conv(F.substring(hash_order(seed, *ids), 1, 12), 16, 10).cast("double") / float(1 << 48)
 
 
 def random_sample(pixels: DataFrame, n: int, seed: int = 0, keys: tuple[str, ...] = ("region",)) -> DataFrame:
     """n pixels per region in hash order. Sampling is the feature.
 
-    Each hash prefix keeps its own first n before the final pick, so no task sorts a whole region.
+    Each hash prefix keeps its own first n before the final pick, so no task sorts a whole region. Only ids are
+    sorted; the other columns are fetched for the few drawn rows.
     """
-    ordered = pixels.withColumn("_o", hash_order(seed, "region", "pixel_id")).withColumn(
+    ids = list(dict.fromkeys([*keys, "region", "pixel_id"]))
+    ordered = pixels.select(*ids).withColumn("_o", hash_order(seed, "region", "pixel_id")).withColumn(
         "_s", F.substring("_o", 1, 2)
     )
     part = Window.partitionBy(*keys, "_s").orderBy("_o")
     whole = Window.partitionBy(*keys).orderBy("_o")
     first = ordered.withColumn("_r", F.row_number().over(part)).where(F.col("_r") <= n)
-    return first.withColumn("sample_index", F.row_number().over(whole) - 1).where(
-        F.col("sample_index") < n
-    ).drop("_o", "_s", "_r")
+    drawn = first.withColumn("sample_index", F.row_number().over(whole) - 1).where(F.col("sample_index") < n)
+    return pixels.join(small_side(drawn.select(*ids, "sample_index")), ids).select(*pixels.columns, "sample_index")
 
 
 def enumerate_pixels(pixels: DataFrame, out: str = "position") -> DataFrame:
@@ -75,13 +76,13 @@ def coreset_probability(spectra: DataFrame) -> DataFrame:
     mean = n_and_mean.groupBy("region").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("i", "u"))), lambda e: e["u"]).alias("_mean")
     )
-    gap = spectra.join(small_side(mean, 1000), "region").withColumn(
+    gap = spectra.join(small_side(mean), "region").withColumn(
         "d2", S.total(F.zip_with("spectrum", "_mean", lambda a, b: (a - b) * (a - b)))
     ).select("region", "pixel_id", "d2")
     gap = cut_lineage(gap)  # one number per pixel
     whole = gap.groupBy("region").agg(F.sum("d2").alias("_sum"), F.count(F.lit(1)).alias("_n"))
     return gap.join(small_side(whole), "region").withColumn(
-        "q", (F.col("d2") / F.col("_sum") + F.lit(1.0) / F.col("_n")) * 0.5
+        "q", (F.coalesce(F.try_divide("d2", "_sum"), F.lit(1.0) / F.col("_n")) + F.lit(1.0) / F.col("_n")) * 0.5
     ).drop("_sum", "_n")
 
 

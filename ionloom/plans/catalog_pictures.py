@@ -536,7 +536,15 @@ def training_means(spark, sf):
 # --- sampling and quality ---------------------------------------------------------------------------------
 
 
-@query("sample_pairs")
+@query("sample_pairs", sql("spectra", then="""
+, fg AS (SELECT region, pixel_id, row_number() OVER (PARTITION BY region ORDER BY pixel_id) - 1 AS position FROM spectra WHERE list_max(spectrum) > 0)
+, sizes AS (SELECT region, count(*) AS n FROM fg GROUP BY region)
+, drawn AS (SELECT region, n, unnest(range(0, least(n, 30000))) AS pair FROM sizes)
+, placed AS (SELECT region, pair,
+  CAST(floor(CAST('0x' || substr(md5('0-' || region || '-' || pair), 1, 12) AS BIGINT) / CAST(281474976710656 AS DOUBLE) * n) AS BIGINT) AS pa,
+  CAST(floor(CAST('0x' || substr(md5('1-' || region || '-' || pair), 1, 12) AS BIGINT) / CAST(281474976710656 AS DOUBLE) * n) AS BIGINT) AS pb FROM drawn)
+SELECT p.region, p.pair, a.pixel_id AS pixel_a, b.pixel_id AS pixel_b FROM placed p
+JOIN fg a ON a.region = p.region AND a.position = p.pa JOIN fg b ON b.region = p.region AND b.position = p.pb"""))
 def sample_pairs(spark, sf):
     return sampling.sample_pairs(I.spectra(spark, sf), 30000)
 
@@ -686,7 +694,7 @@ def metric_pixels(spark, sf):
     )
 
 
-def near_sql(expression, k=20):
+def near_sql(expression):
     return f"""
 , fg AS (SELECT s.region, s.pixel_id, spectrum, c0, c1, c2 FROM spectra s JOIN image i USING (region, pixel_id) WHERE list_max(spectrum) > 0)
 , gaps AS (SELECT a.region, a.pixel_id AS i, b.pixel_id AS j, {expression} AS di,
@@ -700,33 +708,33 @@ def near_sql(expression, k=20):
 L2_SQL = "sqrt(list_sum(list_transform(list_zip(a.spectrum, b.spectrum), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))"
 LINF_SQL = "list_max(list_transform(list_zip(a.spectrum, b.spectrum), lambda z: abs(z[1] - z[2])))"
 TRUST_SQL = """
-SELECT region, round(1 - sum(CASE WHEN ro <= 20 AND ri > 20 THEN ri - 20 ELSE 0 END) * CAST(2 AS DOUBLE) / (n * 20 * (2 * n - 61)), 6) AS trustworthiness FROM rk GROUP BY region, n"""
+SELECT region, round(1 - sum(CASE WHEN ro <= 100 AND ri > 100 THEN ri - 100 ELSE 0 END) * CAST(2 AS DOUBLE) / (n * 100 * (2 * n - 301)), 6) AS trustworthiness FROM rk GROUP BY region, n"""
 
 
 @query("trustworthiness", sql("spectra", "image", then=near_sql(L2_SQL) + TRUST_SQL))
 def trustworthiness(spark, sf):
-    return M.trustworthiness(M.neighbour_ranks(metric_pixels(spark, sf), 20), 20).withColumn("trustworthiness", r6("trustworthiness"))
+    return M.trustworthiness(M.neighbour_ranks(metric_pixels(spark, sf), 100), 100).withColumn("trustworthiness", r6("trustworthiness"))
 
 
 @query("trustworthiness_chebyshev", sql("spectra", "image", then=near_sql(LINF_SQL) + TRUST_SQL))
 def trustworthiness_chebyshev(spark, sf):
-    ranks = M.neighbour_ranks(metric_pixels(spark, sf), 20, ("chebyshev", "euclidean"))
-    return M.trustworthiness(ranks, 20).withColumn("trustworthiness", r6("trustworthiness"))
+    ranks = M.neighbour_ranks(metric_pixels(spark, sf), 100, ("chebyshev", "euclidean"))
+    return M.trustworthiness(ranks, 100).withColumn("trustworthiness", r6("trustworthiness"))
 
 
 @query("mrre", sql("spectra", "image", then=near_sql(L2_SQL) + """
-, c AS (SELECT region, n, sum(CASE WHEN ro <= 20 THEN abs(ri - ro) / CAST(ri AS DOUBLE) ELSE 0 END) AS f, sum(CASE WHEN ri <= 20 THEN abs(ri - ro) / CAST(ro AS DOUBLE) ELSE 0 END) AS m FROM rk GROUP BY region, n)
-, w AS (SELECT region, n, f, m, (SELECT sum(abs(c.n - 2 * i + 1) / CAST(i AS DOUBLE)) FROM range(1, 21) t(i)) AS s FROM c)
+, c AS (SELECT region, n, sum(CASE WHEN ro <= 100 THEN abs(ri - ro) / CAST(ri AS DOUBLE) ELSE 0 END) AS f, sum(CASE WHEN ri <= 100 THEN abs(ri - ro) / CAST(ro AS DOUBLE) ELSE 0 END) AS m FROM rk GROUP BY region, n)
+, w AS (SELECT region, n, f, m, (SELECT sum(abs(c.n - 2 * i + 1) / CAST(i AS DOUBLE)) FROM range(1, 101) t(i)) AS s FROM c)
 SELECT region, round(1 - f / (s * n), 6) AS mrre_false, round(1 - m / (s * n), 6) AS mrre_missing FROM w"""))
 def mrre(spark, sf):
-    scores = M.mrre(M.neighbour_ranks(metric_pixels(spark, sf), 20), 20)
+    scores = M.mrre(M.neighbour_ranks(metric_pixels(spark, sf), 100), 100)
     return scores.select("region", r6("mrre_false", "mrre_false"), r6("mrre_missing", "mrre_missing"))
 
 
 @query("lcmc", sql("spectra", "image", then=near_sql(L2_SQL) + """
-SELECT region, round(sum(CASE WHEN ri <= 20 AND ro <= 20 THEN 1 ELSE 0 END) / CAST(n * 20 AS DOUBLE) - CAST(20 AS DOUBLE) / (n - 1), 6) AS lcmc FROM rk GROUP BY region, n"""))
+SELECT region, round(sum(CASE WHEN ri <= 100 AND ro <= 100 THEN 1 ELSE 0 END) / CAST(n * 100 AS DOUBLE) - CAST(100 AS DOUBLE) / (n - 1), 6) AS lcmc FROM rk GROUP BY region, n"""))
 def lcmc(spark, sf):
-    return M.lcmc(M.neighbour_ranks(metric_pixels(spark, sf), 20), 20).withColumn("lcmc", r6("lcmc"))
+    return M.lcmc(M.neighbour_ranks(metric_pixels(spark, sf), 100), 100).withColumn("lcmc", r6("lcmc"))
 
 
 def knn_sql(expression, where="true"):

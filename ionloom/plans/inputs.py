@@ -74,8 +74,8 @@ def peaks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def targets(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "part").where("p_partkey % 50 = 0").select(
-        (F.col("p_partkey") / 50).cast("int").alias("target_index"),
+    return table(spark, sf, "part").select(
+        F.col("p_partkey").cast("int").alias("target_index"),
         (F.lit(300.05) + F.col("p_partkey") * 0.5).alias("target_mz"),
     )
 
@@ -150,8 +150,8 @@ _CTES = {
          CAST(300 AS DOUBLE) + l_partkey * CAST(0.5 AS DOUBLE) + l_discount AS mz, l_extendedprice AS intensity
   FROM lineitem)""",
     "targets": """targets AS (
-  SELECT CAST(p_partkey // 50 AS INTEGER) AS target_index,
-         CAST(300.05 AS DOUBLE) + p_partkey * CAST(0.5 AS DOUBLE) AS target_mz FROM part WHERE p_partkey % 50 = 0)""",
+  SELECT CAST(p_partkey AS INTEGER) AS target_index,
+         CAST(300.05 AS DOUBLE) + p_partkey * CAST(0.5 AS DOUBLE) AS target_mz FROM part)""",
     "frames": """frames AS (
   SELECT o_orderkey AS frame_id, CAST(date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS INTEGER) AS t,
          o_orderstatus AS region FROM orders)""",

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ionloom.models import factors, graph_embed, pictures, rank_embed
 from ionloom.operators import metrics, normalize, sampling
-from ionloom.session import cut_lineage
+from ionloom.session import cut_lineage, small_side
 from ionloom.sources.cubes import run_name
 
 Method = Callable[[DataFrame, int], DataFrame]
@@ -28,9 +28,9 @@ def _umap(k: int, min_dist: float, metric: str, epochs: int) -> Method:
     return run
 
 
-def _saliency(points: int, epochs: int, sampling_name: str) -> Method:
+def _saliency(points: int, epochs: int, sampling_name: str, strength: float = 0.001) -> Method:
     def run(spectra, n_mz):
-        coordinates, _ = rank_embed.saliency_embed(spectra, points, epochs, sampling=sampling_name)
+        coordinates, _ = rank_embed.saliency_embed(spectra, points, epochs, strength, sampling=sampling_name)
         return rank_embed.embedding_image(spectra, coordinates)
 
     return run
@@ -42,12 +42,28 @@ METHODS: dict[str, Method] = {
     "PCA": lambda spectra, n_mz: factors.pca3_image(spectra),
     "NMF": lambda spectra, n_mz: factors.nmf3_image(spectra, n_mz),
     "FastICA": lambda spectra, n_mz: pictures.image_of(factors.fast_ica3(spectra), spectra, ["e0", "e1", "e2"]),
-    "Saliency Optimization": _saliency(500, 200, "coreset"),
-    "Saliency Optimization Random": _saliency(500, 200, "random"),
+    "Saliency Optimization": _saliency(500, 200, "coreset", 0.005),
+    "Saliency Optimization Random": _saliency(500, 200, "random", 0.005),
+}
+# Names under which stored leaderboards hold these methods, and their settings
+METHODS |= {
+    "SALIENCY-OPTIMIZATION1": _saliency(1000, 200, "coreset"),
+    "SALIENCY-OPTIMIZATION2": _saliency(1000, 500, "coreset"),
+    "UMAP min_dist=0.1, n=15, metric=L2": _umap(15, 0.1, "euclidean", 200),
+    "UMAP min_dist=0.1, n=50, metric=L2": _umap(50, 0.1, "euclidean", 200),
+    "UMAP min_dist=0.5, n=15, metric=L2": _umap(15, 0.5, "euclidean", 200),
+    "UMAP min_dist=0.5, n=50, metric=L2": _umap(50, 0.5, "euclidean", 200),
+    "UMAP min_dist=0.9, n=100, metric=L2": _umap(100, 0.9, "euclidean", 200),
+    "UMAP min_dist=0.9, n=300, metric=L2": _umap(300, 0.9, "euclidean", 200),
+    "UMAP min_dist=0.5, n=300, metric=L2": _umap(300, 0.5, "euclidean", 200),
+    "UMAP min_dist=0.1, n=15, metric=L∞": _umap(15, 0.1, "chebyshev", 200),
+    "UMAP min_dist=0.1, n=50, metric=L∞": _umap(50, 0.1, "chebyshev", 200),
+    "UMAP min_dist=0.5, n=15, metric=L∞": _umap(15, 0.5, "chebyshev", 200),
+    "UMAP min_dist=0.5, n=50, metric=L∞": _umap(50, 0.5, "chebyshev", 200),
+    "UMAP min_dist=0.9, n=100, metric=L∞": _umap(100, 0.9, "chebyshev", 200),
+    "UMAP min_dist=0.9, n=300, metric=L∞": _umap(300, 0.9, "chebyshev", 200),
+    "UMAP min_dist=0.5, n=300, metric=L∞": _umap(300, 0.5, "chebyshev", 200),
 }
-for _k, _dist in ((15, 0.1), (50, 0.1), (15, 0.5), (50, 0.5), (100, 0.9), (300, 0.9), (300, 0.5)):
-    for _label, _metric in (("L2", "euclidean"), ("Linf", "chebyshev")):
-        METHODS[f"UMAP min_dist={_dist}, n={_k}, metric={_label}"] = _umap(_k, _dist, _metric, 200)
 
 NORMALIZATIONS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "tic": normalize.tic, "median": normalize.median_norm, "spatial_tic": normalize.spatial_tic, "none": lambda s: s,
@@ -84,7 +100,7 @@ def score_image(spectra: DataFrame, image: DataFrame, pairs: int = 30000, k: int
     gaps = metrics.pair_distances(drawn, spectra, image)
     scores = metrics.saliency_smoothness(gaps)
     out = F.array(*[F.col(c).cast("double") for c in ("c0", "c1", "c2")]).alias("out")
-    sample = metrics.metric_sample(spectra, pairs, seed).join(image.select("region", "pixel_id", out), ["region", "pixel_id"])
+    sample = metrics.metric_sample(spectra, pairs // 5, seed).join(image.select("region", "pixel_id", out), ["region", "pixel_id"])
     # bounded by the sample and read by several scores each
     sample = cut_lineage(sample)
     ranks = cut_lineage(metrics.neighbour_ranks(sample, k))
@@ -102,17 +118,25 @@ def score_image(spectra: DataFrame, image: DataFrame, pairs: int = 30000, k: int
 
 def benchmark(spectra: DataFrame, n_mz: int, names: list[str], done: DataFrame | None = None, pairs: int = 30000,
               k: int = 100) -> DataFrame:
-    """Leaderboard rows (method, region, metric, value) for every method that is not in ``done`` (method) yet."""
-    finished = {r["method"] for r in done.select("method").distinct().collect()} if done is not None else set()
+    """Leaderboard rows (method, region, metric, value) for every method and region that is not in ``done`` yet.
+
+    ``done`` has the columns method and region, or method alone when a method is finished for all regions.
+    """
     board = None
     for name in names:
-        if name in finished:
-            continue
+        left = spectra
+        if done is not None:
+            own = done.where(F.col("method") == name)
+            if "region" in done.columns:
+                left = left.join(small_side(own.select("region").distinct()), "region", "left_anti")
+            elif own.limit(1).count():
+                continue
+            if not left.limit(1).count():
+                continue
         started = time.time()
-        image = METHODS[name](normalize.tic(spectra), n_mz).persist()
-        image.count()
+        image = cut_lineage(METHODS[name](normalize.tic(left), n_mz))
         seconds = time.time() - started
-        rows = score_image(normalize.tic(spectra), image, pairs, k)
+        rows = score_image(normalize.tic(left), image, pairs, k)
         timing = image.select("region").distinct().select("region", F.lit("seconds").alias("metric"), F.lit(seconds).alias("value"))
         rows = rows.unionByName(timing).select(F.lit(name).alias("method"), "region", "metric", "value")
         board = rows if board is None else board.unionByName(rows)

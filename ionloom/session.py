@@ -7,8 +7,9 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "ionloom") -> SparkSession:
@@ -49,15 +50,36 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small_side(df: DataFrame, row_limit: int = 200_000) -> DataFrame:
-    """Materialize a summary table and broadcast it only if its measured size allows.
+def _width(kind: T.DataType, value: Column) -> Column:
+    """Bytes a value takes, about."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)) + 16
+    if isinstance(kind, T.StructType):
+        return sum((_width(f.dataType, value[f.name]) for f in kind.fields), F.lit(8))
+    if isinstance(kind, T.ArrayType):
+        inner = kind.elementType
+        if isinstance(inner, (T.StringType, T.BinaryType, T.ArrayType, T.MapType)):
+            return F.coalesce(F.octet_length(F.to_json(F.struct(value))), F.lit(0)) + 16
+        each = 8 * (1 + len(inner.fields)) if isinstance(inner, T.StructType) else 8
+        return F.greatest(F.size(value), F.lit(0)) * each + 16
+    return F.lit(8)
+
+
+def measured_bytes(df: DataFrame) -> int:
+    """Bytes of all rows, about, from one pass over a materialized table."""
+    row = sum((_width(f.dataType, F.col(f"`{f.name}`")) for f in df.schema.fields), F.lit(16))
+    return df.agg(F.coalesce(F.sum(row.cast("long")), F.lit(0))).first()[0]
+
+
+def small_side(df: DataFrame, byte_limit: int = 32 << 20) -> DataFrame:
+    """Materialize a summary table and broadcast it only if its measured size in bytes allows.
 
     Summaries (extents, quantiles, peak lists) meet tables of pixels or ions on keys such as the region, where one
-    key may hold a third of all rows. Broadcast, the large side is not shuffled at all; above ``row_limit`` rows the
+    key may hold a third of all rows. Broadcast, the large side is not shuffled at all; above ``byte_limit`` the
     join stays a shuffled one, which adaptive execution splits at hot keys.
     """
     done = cut_lineage(df)
-    return F.broadcast(done) if done.limit(row_limit + 1).count() <= row_limit else done
+    return F.broadcast(done) if measured_bytes(done) <= byte_limit else done
 
 
 def scratch_folder(spark: SparkSession, name: str) -> str:

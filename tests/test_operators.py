@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ionloom.functions import geometry as G
 from ionloom.functions import spectrum as S
 from ionloom.model import full_grid, to_ions
-from ionloom.operators import binning, compare, filters, joins, metrics, neighbors, normalize, peaks, sampling, spatial
+from ionloom.operators import aggregates, binning, compare, filters, joins, metrics, neighbors, normalize, peaks, sampling, spatial
 
 
 def test_tic_sums_to_one_and_empty_pixels_stay_zero(spark):
@@ -56,9 +56,50 @@ def test_rank_test_against_pair_counting(spark):
             assert r["z"] == pytest.approx((max(u, 2 * mu - u) - mu - 0.5) / s)
 
 
-def test_p_value(spark):
-    got = spark.createDataFrame([(1.959963984540054,), (0.0,)], "z double").select(compare.two_sided_p("z").alias("p")).collect()
-    assert [r["p"] for r in got] == pytest.approx([0.05, 1.0])
+def test_edge_tables_give_defined_values(spark):
+    flat = cube_frame(spark, {0: np.full((2, 3, 4), 2.0), 1: np.zeros((2, 2, 4))})
+    q = sampling.coreset_probability(flat)
+    assert {round(r.q, 6) for r in q.where("region = 0").collect()} == {round(1 / 6, 6)}
+    scores = {(r.region, r.score) for r in metrics.outlier_score(flat).collect()}
+    assert {region for region, _ in scores} == {0, 1} and (1, 0.0) in scores
+    sample = flat.where("region = 0").select("region", "pixel_id", "spectrum")
+    ranks = metrics.reference_ranks(flat, sample).collect()
+    assert len(ranks) == 10 and all(not r.max_rank for r in ranks if r.region == 1)
+    assert metrics.pixel_reference_distances(flat, sample).select("region").distinct().count() == 1
+
+
+def test_few_pairs_and_single_pixels(spark):
+    for n in (1, 2, 6):
+        gaps = spark.createDataFrame([(0, i, 0.1 * i, 0.2 * i, 1.0 * i) for i in range(n)], "region int, pair int, cosine double, maxabs double, output double")
+        metrics.correlation_curve(gaps).collect()
+        metrics.correlation_curve(gaps, "maxabs").collect()
+        assert metrics.saliency_smoothness(gaps).where("value is null").count() == 0
+    ranks = spark.createDataFrame([(0, 1, 2, 1, 1, 2)], "region int, i long, j long, rank_in long, rank_out long, n long")
+    for found in (metrics.trustworthiness(ranks, 1), metrics.mrre(ranks, 1), metrics.lcmc(ranks, 1)):
+        assert found.count() == 1
+
+
+def test_one_sided_masks_and_regions_without_scores(spark):
+    ions = spark.createDataFrame([(0, 0, 0, 0, 1, 2.0), (1, 0, 0, 0, 1, 3.0)], "region int, y int, x int, pixel_id long, mz_index int, intensity double")
+    masks = spark.createDataFrame([(0, 0, 0), (1, 0, 1)], "region int, pixel_id long, side int")
+    peaks = spark.createDataFrame([(0, 1), (1, 1)], "region int, mz_index int")
+    found = {r.region: r.score for r in aggregates.roi_mean_ratio(ions, masks, peaks).collect()}
+    assert found == {0: 1.0, 1: 0.0}
+    edges = spark.createDataFrame([(0, "a", "b", 0.0)], "region int, category_a string, category_b string, confusion double")
+    assert {r.weight for r in aggregates.node_weight(edges).collect()} == {0.0}
+    stats = spark.createDataFrame([(0, 1, 0.9)], "region int, mz_index int, score double")
+    image = compare.aggregated_ion_image(ions, ions.select("region", "y", "x", "pixel_id"), stats)
+    assert {r.region for r in image.collect()} == {0, 1}
+    black = spark.createDataFrame([(0, 0, 0, 0)], "region int, y int, x int, value int")
+    assert compare.mean_ion_image(black).first().value == 0
+
+
+def test_random_sample_keeps_columns_and_rule(spark):
+    pixels = cube_frame(spark, {0: np.arange(60.0).reshape(5, 4, 3), 1: np.ones((2, 2, 3))})
+    drawn = sampling.random_sample(pixels, 6, 1).collect()
+    assert sorted((r.region, r.sample_index) for r in drawn) == [(0, i) for i in range(6)] + [(1, i) for i in range(4)]
+    assert all(len(r.spectrum) == 3 for r in drawn)
+    assert metrics.metric_sample(pixels, 5).count() == 9 and metrics.metric_sample(pixels).count() == 24
 
 
 def test_rotation_four_times_is_identity(spark):
