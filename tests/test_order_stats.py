@@ -71,8 +71,12 @@ def test_shuffled_join_gives_the_same_as_broadcast(spark, monkeypatch):
     assert small == large
 
 
-def test_small_side_broadcasts_only_below_the_limit(spark):
-    few = session.small_side(spark.range(10), 10)
-    many = session.small_side(spark.range(11), 10)
+def test_small_side_broadcasts_only_below_the_limit_in_bytes(spark):
+    each = session.measured_bytes(spark.range(1))
+    few = session.small_side(spark.range(10), 10 * each)
+    many = session.small_side(spark.range(11), 10 * each)
     assert "broadcast" in few._jdf.queryExecution().toString().lower().split("== physical")[0]
     assert "broadcast" not in many._jdf.queryExecution().toString().lower().split("== physical")[0]
+    wide = spark.range(2).selectExpr("id", "array_repeat(1.0D, 1000) AS v", "struct(id, repeat('x', 500) AS t) AS s", "array(null, 'abc') AS a")
+    assert 2 * 8500 < session.measured_bytes(wide) < 2 * 10000
+    assert session.measured_bytes(spark.range(0)) == 0
