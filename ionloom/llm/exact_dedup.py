@@ -66,6 +66,22 @@ def duplicate_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", p
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", prefix: int = PREFIX_CHARS) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; keys of the table must be unique."""
-    dropped = duplicate_groups(docs, key, text, prefix, with_digest=False).where(~F.col("kept")).select(F.col(key).alias("_dropped"))
-    return docs.join(small_side(dropped), F.col(key).eqNullSafe(F.col("_dropped")), "left_anti")
+    """One row of each group of equal texts, with all its columns.
+
+    Keys may repeat: a row is told by key and digest, and of rows that repeat both the longest stays. Only rows whose key
+    is marked (something to drop, or a repeat) are hashed and grouped; all others pass through one anti-join.
+    """
+    marked = duplicate_groups(docs, key, text, prefix, with_digest=False).where("group_size > 1").groupBy(
+        F.col(key).alias("_k"), F.col("text_sha256").alias("_s")
+    ).agg(F.max("kept").alias("_stays"), F.count(F.lit(1)).alias("_copies")).where("NOT _stays OR _copies > 1")
+    marked = cut_lineage(marked)
+    keys = small_side(marked.select("_k").distinct())
+    same_key = F.col(key).eqNullSafe(F.col("_k"))
+    rest = docs.join(keys, same_key, "left_anti")
+    row = docs.select(F.struct(*docs.columns).alias("_row"), F.col(key).alias("_key"), digest(F.col(text)).alias("_digest"),
+                      F.length(F.coalesce(text, F.lit(""))).alias("_chars"))
+    touched = row.join(keys, F.col("_key").eqNullSafe(F.col("_k")), "left_semi")
+    dropped = small_side(marked.where("NOT _stays").select("_k", "_s"))
+    again = touched.join(dropped, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_digest") == F.col("_s")), "left_anti")
+    again = again.groupBy("_key", "_digest").agg(F.max_by("_row", "_chars").alias("_row")).select("_row.*")
+    return rest.unionByName(again)

@@ -45,6 +45,14 @@ def test_exact_dedup_against_brute_force(spark):
     unique = frame(spark, [r for r in rows if r[0] not in (300, None)])
     assert {r.doc_id for r in exact_dedup.keep_one(unique).collect()} == {k for _, k, _ in brute_groups([r for r in rows if r[0] not in (300, None)])}
     assert exact_dedup.duplicate_groups(df.limit(0)).count() == 0
+    # repeated keys: one row of each text stays, whatever else has its key
+    again = rows + [(0, "another text of this key"), (0, "another  text of this key"), (None, "x" * 300 + "1"), (300, "lone too")]
+    stay = exact_dedup.keep_one(frame(spark, again).withColumn("_row", F.lit(2)).withColumn("kept", F.lit(1)))
+    assert stay.columns == ["doc_id", "text", "_row", "kept"]
+    plain = lambda t: re.sub(r"[\x20\x09-\x0D]", "", t or "")
+    got = sorted(plain(r.text) for r in stay.collect())
+    assert got == sorted({plain(t) for _, t in again})
+    assert exact_dedup.keep_one(frame(spark, [])).count() == 0
 
 
 # n-gram Jaccard join
