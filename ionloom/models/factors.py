@@ -51,13 +51,18 @@ def start_components(spectra: DataFrame, k: int, n_mz: int, seed: int) -> np.nda
     return np.sqrt(max(mean, 1e-12) / k) * np.abs(np.random.default_rng(seed).standard_normal((k, n_mz)))
 
 
-def nmf_fit(spectra: DataFrame, k: int, n_mz: int, iterations: int = 20, seed: int = 0) -> tuple[np.ndarray, list[float]]:
+def nmf_fit(
+    spectra: DataFrame, k: int, n_mz: int, iterations: int = 2000, seed: int = 0, tolerance: float = 1e-4
+) -> tuple[np.ndarray, list[float]]:
     """Components H (k x n_mz) and the squared error after each pass.
 
+    Passes end when one gains less than ``tolerance`` of the first error. The input is worked out once and kept.
+
     Each pass: H travels with the task, a batch solves its own weights and returns only the small sums
     W'W and W'X, added up by a shuffle on (component, column). The driver keeps k x n_mz numbers, never pixels.
     """
-    h = start_components(spectra, k, n_mz, seed)
+    data = spectra.select("spectrum").persist()
+    h = start_components(data, k, n_mz, seed)
     errors: list[float] = []
     for _ in range(iterations):
         shared = spectra.sparkSession.sparkContext.broadcast(h)
@@ -78,11 +83,13 @@ def nmf_fit(spectra: DataFrame, k: int, n_mz: int, iterations: int = 20, seed: i
             yield pd.DataFrame({"i": rows.ravel(), "j": cols.ravel(), "v": both.ravel()})
             yield pd.DataFrame({"i": [-1], "j": [0], "v": [square]})
 
-        total = spectra.select("spectrum").mapInPandas(sums, "i int, j int, v double").groupBy("i", "j").agg(
+        total = data.mapInPandas(sums, "i int, j int, v double").groupBy("i", "j").agg(
             F.sum("v").alias("v")
         ).toPandas()
         shared.unpersist()
         errors.append(float(total.loc[total["i"] == -1, "v"].iloc[0]))
+        if len(errors) > 1 and errors[-2] - errors[-1] < tolerance * errors[0]:
+            break
         body = total[total["i"] >= 0]
         both = np.zeros((k, k + h.shape[1]))
         both[body["i"], body["j"]] = body["v"]
@@ -90,6 +97,7 @@ def nmf_fit(spectra: DataFrame, k: int, n_mz: int, iterations: int = 20, seed: i
         for c in range(k):
             if gram[c, c] > 0:
                 h[c] = np.maximum(h[c] + (cross[c] - gram[c] @ h) / gram[c, c], 0.0)
+    data.unpersist()
     return h, errors
 
 
@@ -112,7 +120,7 @@ def components_table(spectra: DataFrame, h: np.ndarray, region: int = 0) -> Data
     return spectra.sparkSession.createDataFrame(frame, "region int, component int, mz_index int, value double")
 
 
-def nmf3_image(spectra: DataFrame, n_mz: int, iterations: int = 20) -> DataFrame:
+def nmf3_image(spectra: DataFrame, n_mz: int, iterations: int = 2000) -> DataFrame:
     h, _ = nmf_fit(spectra, 3, n_mz, iterations)
     channels = ["w0", "w1", "w2"]
     weights = with_columns_of(nmf_transform(spectra, h).select("region", "pixel_id", "scores"), "scores", channels)

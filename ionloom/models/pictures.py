@@ -10,6 +10,7 @@ from ionloom.functions import spectrum as S
 from ionloom.functions.order_stats import exact_quantiles
 from ionloom.operators.normalize import hist_equalize, stack_channels, stretch, stretch_gray
 from ionloom.operators.peaks import RATIO_PERCENTS, sort_percentile_pick, top3_intensity
+from ionloom.operators.sampling import uniform
 from ionloom.session import cut_lineage, small_side
 
 PLACE = ["region", "y", "x", "pixel_id"]
@@ -167,7 +168,7 @@ def random_color_schemes(labels: DataFrame, low: list[str], high: list[str], rat
 
     def pick(names):
         options = F.array(*[F.lit(n) for n in names])
-        return F.element_at(options, (F.pmod(F.xxhash64(F.lit(seed), "_i"), F.lit(len(names))) + 1).cast("int"))
+        return F.element_at(options, (F.floor(uniform(seed, "_i") * len(names)) + 1).cast("int"))
 
     return numbered.withColumn("_k", k).select(
         "label", "area", F.when(F.col("_i") < F.floor(F.col("_k") * ratio), pick(low)).otherwise(pick(high)).alias("scheme")

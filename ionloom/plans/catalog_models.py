@@ -13,7 +13,7 @@ from ionloom.operators import binning
 from ionloom.operators.normalize import tic
 from ionloom.plans import inputs as I
 from ionloom.plans import methods
-from ionloom.plans.catalog_pictures import label_components
+from ionloom.plans.catalog_pictures import CENTERS, label_components
 from ionloom.plans.catalog_tables import r6
 from ionloom.plans.registry import query
 from ionloom.session import scratch_folder
@@ -37,11 +37,11 @@ def read_cube(spark, sf):
     return back.select("region", "y", "x", "pixel_id", r6(S.total(F.col("spectrum").cast("array<double>")), "total", 4))
 
 
-@query("write_cube", sql("ions", then="SELECT region, pixel_id, round(sum(v), 6) AS total FROM ions WHERE region = 1 GROUP BY ALL"))
+@query("write_cube", sql("ions", then="SELECT region, pixel_id, round(sum(v), 6) AS total FROM ions GROUP BY ALL"))
 def write_cube(spark, sf):
     folder = scratch_folder(spark, "cube")
     cubes.write_cube(I.spectra(spark, sf), folder)
-    return cubes.read_cube(spark, folder).where("region = 1").select(
+    return cubes.read_cube(spark, folder).select(
         "region", "pixel_id", r6(S.total(F.col("spectrum")), "total")
     )
 
@@ -74,13 +74,22 @@ def write_results_csv(spark, sf):
     return cubes.read_results_csv(spark, folder, "method string, path string, seconds double")
 
 
-@query("write_factors")
+@query("write_factors", sql("scores", then=CENTERS + """
+SELECT 'weights' AS part, region, pixel_id AS place, component AS entry, round(score, 6) AS value FROM scores
+UNION ALL SELECT 'components', region, CAST(label AS BIGINT), mz_index, round(v, 6) FROM centers"""))
 def write_factors(spark, sf):
+    """Weights (summed quarters of the axis) and components (mean spectra) are written; every number is read back."""
     folder = scratch_folder(spark, "factors")
-    pixels = tic(I.spectra(spark, sf))
-    h, _ = M.nmf_fit(pixels, 3, I.N_MZ, 4)
-    cubes.write_factors(M.nmf_transform(pixels, h), M.components_table(pixels, h), folder)
-    return spark.read.parquet(f"{folder}/weights").select("region", "pixel_id", F.size("scores").alias("k"))
+    weights = I.block_scores(I.spectra(spark, sf)).select("region", "y", "x", "pixel_id", "scores")
+    cubes.write_factors(weights, label_components(spark, sf), folder)
+    w = spark.read.parquet(f"{folder}/weights").select(
+        "region", F.col("pixel_id").alias("place"), F.posexplode("scores").alias("entry", "value")
+    )
+    h = spark.read.parquet(f"{folder}/components").select(
+        "region", F.col("component").cast("long").alias("place"), F.col("mz_index").alias("entry"), "value"
+    )
+    both = w.withColumn("part", F.lit("weights")).unionByName(h.withColumn("part", F.lit("components")))
+    return both.select("part", "region", "place", "entry", r6("value", "value"))
 
 
 @query("stream_row_local", sql("ions", "sums", then="""
@@ -106,20 +115,20 @@ def pca3(spark, sf):
 @query("nmf_fit")
 def nmf_fit(spark, sf):
     pixels = tic(I.spectra(spark, sf))
-    h, _ = M.nmf_fit(pixels, 5, I.N_MZ, 8)
+    h, _ = M.nmf_fit(pixels, 5, I.N_MZ)
     return M.components_table(pixels, h)
 
 
 @query("nmf_transform")
 def nmf_transform(spark, sf):
     pixels = tic(I.spectra(spark, sf))
-    h, _ = M.nmf_fit(pixels, 5, I.N_MZ, 4)
+    h, _ = M.nmf_fit(pixels, 5, I.N_MZ)
     return M.nmf_transform(pixels, h).select("region", "pixel_id", F.posexplode("scores").alias("component", "weight"))
 
 
 @query("nmf3_image")
 def nmf3_image(spark, sf):
-    return M.nmf3_image(tic(I.spectra(spark, sf)), I.N_MZ, 6)
+    return M.nmf3_image(tic(I.spectra(spark, sf)), I.N_MZ)
 
 
 @query("kmeans_segment")
@@ -130,7 +139,7 @@ def kmeans_segment(spark, sf):
 @query("nested_segment")
 def nested_segment(spark, sf):
     pixels = I.spectra(spark, sf)
-    h, _ = M.nmf_fit(tic(pixels), 3, I.N_MZ, 4)
+    h, _ = M.nmf_fit(tic(pixels), 3, I.N_MZ)
     return M.nested_segment(pixels, h, 1)
 
 
@@ -190,7 +199,27 @@ def landmark_isomap3(spark, sf):
 # --- rank embeddings --------------------------------------------------------------------------------------
 
 
-@query("kmeanspp_sample")
+def seeds_sql(draws: int) -> str:
+    """Each draw again as two CTEs: the winner of the race, and the distances to all winners so far."""
+    steps = [", s0 AS (SELECT region, pixel_id, 0 AS draw FROM spectra "
+             "QUALIFY row_number() OVER (PARTITION BY region ORDER BY md5('0-' || region || '-' || pixel_id)) = 1)"]
+    for k in range(draws):
+        steps.append(
+            f", w{k} AS (SELECT t.region, t.mz_index, t.v FROM tic t JOIN s{k} USING (region, pixel_id)), "
+            f"e{k} AS (SELECT t.region, t.pixel_id, sum((t.v - w.v) * (t.v - w.v)) AS d2 FROM tic t JOIN w{k} w USING (region, mz_index) GROUP BY ALL)"
+        )
+        steps.append(f", g{k} AS MATERIALIZED (SELECT * FROM e{k})" if not k else
+                     f", g{k} AS MATERIALIZED (SELECT region, pixel_id, least(e.d2, g.d2) AS d2 FROM e{k} e JOIN g{k - 1} g USING (region, pixel_id))")
+        share = (f"CAST('0x' || substr(md5('{k + 1}-' || region || '-' || pixel_id), 1, 12) AS BIGINT) "
+                 "/ CAST(281474976710656 AS DOUBLE)")
+        steps.append(
+            f", s{k + 1} AS MATERIALIZED (SELECT region, pixel_id, {k + 1} AS draw FROM g{k} WHERE d2 > 0 "
+            f"QUALIFY row_number() OVER (PARTITION BY region ORDER BY -ln(greatest({share}, CAST(1e-12 AS DOUBLE))) / d2, pixel_id) = 1)"
+        )
+    return "\n".join(steps) + "\n" + " UNION ALL ".join(f"SELECT region, draw, pixel_id FROM s{k}" for k in range(draws))
+
+
+@query("kmeanspp_sample", sql("tic", then=seeds_sql(5)))
 def kmeanspp_sample(spark, sf):
     return R.kmeanspp_sample(tic(I.spectra(spark, sf)), 5).select("region", "draw", "pixel_id")
 

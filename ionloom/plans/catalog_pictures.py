@@ -315,7 +315,11 @@ def guided_segment_color(spark, sf):
     return V.guided_segment_color(base, schemes, K.linear_ramps(spark, RAMPS)).select("region", "pixel_id", "label", "r", "g", "b")
 
 
-@query("random_color_schemes")
+@query("random_color_schemes", sql("spectra", then="""
+, areas AS (SELECT label, count(*) AS area FROM spectra GROUP BY label)
+, numbered AS (SELECT *, row_number() OVER (ORDER BY area, label) - 1 AS i, count(*) OVER () AS k FROM areas)
+, picked AS (SELECT *, CAST(floor(CAST('0x' || substr(md5('0-' || i), 1, 12) AS BIGINT) / CAST(281474976710656 AS DOUBLE) * 2) AS INTEGER) + 1 AS o FROM numbered)
+SELECT label, area, CASE WHEN i < floor(k * CAST(0.4 AS DOUBLE)) THEN ['fire', 'sea'][o] ELSE ['leaf', 'stone'][o] END AS scheme FROM picked"""))
 def random_color_schemes(spark, sf):
     areas = I.spectra(spark, sf).groupBy("label").agg(F.count(F.lit(1)).alias("area"))
     return V.random_color_schemes(areas, ["fire", "sea"], ["leaf", "stone"], 0.4, by_area=True)
@@ -565,9 +569,19 @@ def coreset_probability(spark, sf):
     return sampling.coreset_probability(I.spectra(spark, sf)).select("region", "pixel_id", r6("q", "q", 8))
 
 
-@query("coreset_sample")
+@query("coreset_sample", sql("ions", then="""
+, mu AS (SELECT region, mz_index, avg(v) AS u FROM ions GROUP BY ALL)
+, d AS (SELECT region, pixel_id, sum((v - u) * (v - u)) AS d2 FROM ions JOIN mu USING (region, mz_index) GROUP BY ALL)
+, p AS (SELECT region, pixel_id, 0.5 * (d2 / sum(d2) OVER (PARTITION BY region) + CAST(1 AS DOUBLE) / count(*) OVER (PARTITION BY region)) AS q FROM d)
+, line AS (SELECT *, sum(q) OVER (PARTITION BY region ORDER BY pixel_id) AS hi FROM p)
+, draws AS (SELECT region, total, unnest(range(0, 100)) AS draw FROM (SELECT region, max(hi) AS total FROM line GROUP BY region))
+, places AS (SELECT region, draw,
+    CAST('0x' || substr(md5('0-' || region || '-' || draw), 1, 12) AS BIGINT) / CAST(281474976710656 AS DOUBLE) * total AS u FROM draws)
+SELECT a.region, CAST(a.draw AS INTEGER) AS draw, arg_max(b.pixel_id, b.hi - b.q) AS pixel_id,
+       round(1 / (arg_max(b.q, b.hi - b.q) * 100), 6) AS weight
+FROM places a JOIN line b ON a.region = b.region AND b.hi - b.q <= a.u GROUP BY a.region, a.draw"""))
 def coreset_sample(spark, sf):
-    return sampling.coreset_sample(I.spectra(spark, sf), 100)
+    return sampling.coreset_sample(I.spectra(spark, sf), 100).withColumn("weight", r6("weight"))
 
 
 @query("class_weights", sql("spectra", then="""
