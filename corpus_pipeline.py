@@ -18,7 +18,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Drop documents that the classifier rejects. It learns from the labelled documents that are not held out."""
     ship_package(spark)
     model = quality.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), train=quality.fold(F.col("doc_id"), 3) != 1)
-    return quality.score(docs.withColumn("_text", F.col("text")), model, "_text").where("predicted = 1").select(docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text").alias("_text"))  # its own score column, if any, stays
+    return quality.score(rows, model, "_text").where("predicted = 1").select("_row.*")
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

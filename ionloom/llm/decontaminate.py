@@ -180,5 +180,6 @@ def contaminated(
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` without a benchmark item in them, with all their columns."""
-    bad = contaminated(docs, benchmark, key, text, **options).select(F.col(key).alias("_bad")).distinct()
-    return docs.join(small_side(bad), F.col(key).eqNullSafe(F.col("_bad")), "left_anti")
+    other = tb.unused(docs, "_bad")[0]
+    bad = contaminated(docs, benchmark, key, text, **options).select(F.col(key).alias(other)).distinct()
+    return docs.join(small_side(bad), F.col(key).eqNullSafe(F.col(other)), "left_anti")

@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ionloom.llm import textbatch as tb
 from ionloom.session import cut_lineage, small_side
 
 SPACES = " \t\n\x0b\x0c\r"
@@ -76,8 +77,8 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", prefix: i
     ).agg(F.max("kept").alias("_stays"), F.count(F.lit(1)).alias("_copies")).where("NOT _stays OR _copies > 1")
     marked = cut_lineage(marked)
     keys = small_side(marked.select("_k").distinct())
-    same_key = F.col(key).eqNullSafe(F.col("_k"))
-    rest = docs.join(keys, same_key, "left_anti")
+    other = tb.unused(docs, "_k")[0]
+    rest = docs.join(keys.withColumnRenamed("_k", other), F.col(key).eqNullSafe(F.col(other)), "left_anti")
     row = docs.select(F.struct(*docs.columns).alias("_row"), F.col(key).alias("_key"), digest(F.col(text)).alias("_digest"),
                       F.length(F.coalesce(text, F.lit(""))).alias("_chars"))
     touched = row.join(keys, F.col("_key").eqNullSafe(F.col("_k")), "left_semi")

@@ -257,5 +257,6 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The row with the smallest id of each component, with all columns; keys of the table must be unique."""
-    stays = near_duplicates(docs, key, text, **options).where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_stays"))
-    return docs.join(stays, F.col(key).eqNullSafe(F.col("_stays")), "left_semi")
+    other = tb.unused(docs, "_stays")[0]
+    stays = near_duplicates(docs, key, text, **options).where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias(other))
+    return docs.join(stays, F.col(key).eqNullSafe(F.col(other)), "left_semi")

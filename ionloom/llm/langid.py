@@ -138,8 +138,9 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         )
 
     readable = F.coalesce(F.regexp_like(text, F.lit(r"\p{L}")), F.lit(False))
-    return docs.withColumn("_near", nearest(text)).withColumns({
-        "lang_pred": F.when(readable, F.col("_near.l")).otherwise(F.lit("und")),
-        "score": F.when(readable, F.col("_near.s")).otherwise(F.lit(0.0)),
-        "rejected": F.when(readable, F.col("_near.r")).otherwise(F.lit(True)),
-    }).drop("_near")
+    near = tb.unused(docs, "_near")[0]
+    return docs.withColumn(near, nearest(text)).withColumns({
+        "lang_pred": F.when(readable, F.col(near)["l"]).otherwise(F.lit("und")),
+        "score": F.when(readable, F.col(near)["s"]).otherwise(F.lit(0.0)),
+        "rejected": F.when(readable, F.col(near)["r"]).otherwise(F.lit(True)),
+    }).drop(near)

@@ -116,10 +116,11 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     if len(counts) < 2:
         share = 0.5 if not total else float(min(max(next(iter(counts)), 0.001), 0.999))
         return Model(None, float(np.log(share / (1 - share))), 0.0)
+    texts = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"))
     dictionaries = []
     for y in (0, 1):
         chosen = usable.where((F.col("_y") == y) & (half % 2 == 0)).orderBy(half, "_key").limit(pieces).select("_key")
-        body = docs.join(F.broadcast(chosen), F.col(key) == F.col("_key")).select("_key", F.coalesce(text, F.lit("")).alias("t"))
+        body = texts.join(F.broadcast(chosen), F.col("_id") == F.col("_key")).select("_key", F.coalesce("_text", F.lit("")).alias("t"))
         cut = body.select("_key", F.posexplode(F.transform(
             F.sequence(F.lit(0), F.floor(F.length("t") / PIECE_BYTES).cast("int")),
             lambda i: F.substring(F.col("t"), i * PIECE_BYTES + 1, F.lit(PIECE_BYTES)),
@@ -128,7 +129,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         dictionaries.append(train_dictionary([r.piece.encode() for r in rows]))
     pair = (dictionaries[0], dictionaries[1])
     held = usable.where(half % 2 == 1).orderBy(half, "_key").limit(calibration)
-    seen = docs.join(F.broadcast(held), F.col(key) == F.col("_key")).select("_y", difference(pair)(F.col(text)).alias("x")).limit(2 * calibration).toPandas()
+    seen = texts.join(F.broadcast(held), F.col("_id") == F.col("_key")).select("_y", difference(pair)(F.col("_text")).alias("x")).limit(2 * calibration).toPandas()
     if seen["_y"].nunique() < 2:
         share = counts[1] / total
         return Model(None, float(np.log(share / (1 - share))), 0.0)

@@ -19,19 +19,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ionloom.llm import textbatch as tb
 from ionloom.session import cut_lineage
 
 LOW, HIGH = -(1 << 63), (1 << 63) - 1
 ROWS_PER_PART = 200_000
 
 
-def keyed(docs: DataFrame, key: str = "doc_id", text: str = "text", overhead: int = 16) -> DataFrame:
-    """Add ``size`` and the sort key ``_k``."""
+def keyed(docs: DataFrame, key: str = "doc_id", text: str = "text", overhead: int = 16, name: str = "_k") -> DataFrame:
+    """Add ``size`` and the sort key ``name``."""
     high = F.shiftright(F.xxhash64(text), 32)
     low = F.pmod(F.xxhash64(key), F.lit(1 << 32))
     return docs.withColumns({
         "size": (F.coalesce(F.octet_length(text), F.lit(0)) + overhead).cast("long"),
-        "_k": F.shiftleft(high, 32) + low,
+        name: F.shiftleft(high, 32) + low,
     })
 
 
@@ -82,8 +83,10 @@ def splitters(rows: DataFrame, targets: Sequence[int], slack: Sequence[float], p
 
 def shard_by_bytes(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text", tolerance: float = 0.002, overhead: int = 16) -> DataFrame:
     """Add ``size``, ``shard`` and ``slot`` (0.. without gaps in each shard). Payload columns cross the exchange once."""
-    weighed = keyed(docs, key, text, overhead)
-    rows = cut_lineage(weighed.select("_k", "size"))
+    docs = docs.drop("shard", "slot")
+    order, sub, number, base = tb.unused(docs, "_k", "_part", "_n", "_base")
+    weighed = keyed(docs, key, text, overhead, order)
+    rows = cut_lineage(weighed.select(F.col(order).alias("_k"), "size"))
     total, n = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
     parts = max(16, -(-n // (ROWS_PER_PART * shards)))  # sub-ranges of a shard, numbered by different tasks
     cuts = shards * parts
@@ -99,7 +102,7 @@ def shard_by_bytes(docs: DataFrame, shards: int, key: str = "doc_id", text: str
     for b, s in enumerate(owner.tolist()):
         first.setdefault(s, int(before[b]))
     places = docs.sparkSession.createDataFrame(
-        [(b, s, int(before[b]) - first[s]) for b, s in enumerate(owner.tolist())], "_part int, shard int, _base long"
+        [(b, s, int(before[b]) - first[s]) for b, s in enumerate(owner.tolist())], f"{sub} int, shard int, {base} long"
     )  # one row per sub-range
     edges = np.array(bounds, np.int64)
 
@@ -107,8 +110,8 @@ def shard_by_bytes(docs: DataFrame, shards: int, key: str = "doc_id", text: str
     def part(column: pa.Array) -> pa.Array:
         return pa.array(np.searchsorted(edges, column.to_numpy(zero_copy_only=False), "right").astype(np.int32))
 
-    inside = Window.partitionBy("_part").orderBy("_k", key)
-    placed = weighed.drop("shard", "slot").withColumn("_part", part("_k")).withColumn("_n", F.row_number().over(inside))
-    return placed.join(F.broadcast(places), "_part").withColumn(
-        "slot", (F.col("_base") + F.col("_n") - 1).cast("long")
-    ).drop("_part", "_k", "_n", "_base")
+    inside = Window.partitionBy(sub).orderBy(order, key)
+    placed = weighed.withColumn(sub, part(order)).withColumn(number, F.row_number().over(inside))
+    return placed.join(F.broadcast(places), sub).withColumn(
+        "slot", (F.col(base) + F.col(number) - 1).cast("long")
+    ).drop(sub, order, number, base)

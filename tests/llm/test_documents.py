@@ -266,3 +266,26 @@ def test_chat_attachments_are_ordered_and_counted(spark):
     span = got[1].loss_spans[0]
     assert got[1].formatted[span.start : span.start + span.length] == "so \\lit> is"
     assert got[2].formatted == "<|user|>\n<|end|>\n" and got[2].attachments == []
+
+
+# names
+
+
+def test_columns_named_like_inner_ones(spark):
+    """A table may have columns with the names that the operators use inside; they come back with their values."""
+    names = ["_k", "_stays", "_bad", "_key", "_y", "_id", "_text", "_near", "_PART", "_n", "_base", "_row", "_s", "n", "p", "h"]
+    rows = [(i, f"{'one' if i % 2 else 'two'} word of text number {i // 3} and then a few more words", i % 2) for i in range(60)] + [(90, None, 0), (91, "", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, y int").select("doc_id", "text", *(F.lit(f"own {c}").alias(c) for c in names))
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int").withColumn("_key", F.lit(1)).withColumn("_id", F.lit(2))
+    item = spark.createDataFrame([(1, "word of text number 7 and then a few more words")], "item_id long, text string").withColumn("_bad", F.lit(0))
+    model = quality.fit(df, labels)
+    made = {
+        "exact": exact_dedup.keep_one(df), "near": jaccard_join.keep_one(df), "clean": decontaminate.keep_clean(df, item),
+        "quality": quality.score(df, model), "shards": sharding.shard_by_bytes(df, 3),
+        "lang": langid.predict(df, langid.fit(df.withColumn("lang", F.lit("en")))),
+    }
+    for found in made.values():
+        held = found.collect()
+        assert held and all(r[c] == f"own {c}" for r in held for c in names)
+    assert sorted(r.slot for r in made["shards"].where("shard = 1").collect()) == list(range(made["shards"].where("shard = 1").count()))
+    assert made["exact"].count() == len({t or "" for _, t, _ in rows})
