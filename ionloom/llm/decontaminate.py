@@ -1,10 +1,11 @@
-"""Benchmark decontamination: rare word n-grams as seeds, Smith-Waterman alignment as the score.
+"""Benchmark decontamination: shared word n-grams as seeds, Smith-Waterman alignment as the score.
 
 Every n-gram of a benchmark item goes into a fixed-size bit filter. One pass over the training texts keeps the passages
-around filter hits (as word hashes, reaching as far as the longest item on both sides). The hits tell how often each
-n-gram occurs in the corpus; in each run of ``spread`` neighbouring n-grams of an item the rarest is its seed, so a copy
-with any ``n + spread - 1`` words in a row left intact holds a seed. Seeds join passages to items, and the local
-alignment of passage and item words, divided by the best score possible for the item, is the score.
+around filter hits (as word hashes, reaching on both sides as far as an alignment with the longest item can). A passage
+and an item that share any n-gram, however common, are a pair. A pair is aligned once, unless no stretch of the passage
+holds as many words of the item as the threshold asks matches for. The local alignment of passage and item words, divided
+by the best score possible for the item, is the score. Every copy that reaches the threshold and has ``n`` words in a row
+left intact is found; one with a word put in after every ``n - 1`` words or fewer is not.
 
 Words are in lower case and end at ASCII white space or signs, so a copy in capitals or with other punctuation is a copy.
 Null or empty texts and items match nothing, and items of
@@ -18,14 +19,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ionloom.llm import textbatch as tb
 from ionloom.session import cut_lineage, small_side
 
 N = 3
-SPREAD = 3
 MATCH, MISMATCH, GAP = 1.0, -0.5, 0.5
 THRESHOLD = 0.5
 FILTER_BITS = 24
@@ -61,8 +61,8 @@ def align(passages: list[np.ndarray], items: list[np.ndarray]) -> tuple[np.ndarr
     return best, end
 
 
-def _grams(texts: DataFrame, key: str, text: str, n: int, spread: int) -> DataFrame:
-    """N-grams of the items: item, place, h, and the items' word hashes."""
+def _grams(texts: DataFrame, key: str, text: str, n: int) -> DataFrame:
+    """N-grams of the items in order, and the items' word hashes."""
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,12 +124,32 @@ def passages(docs: DataFrame, bits: np.ndarray, reach: int, key: str, text: str,
     return docs.select(key, text).mapInArrow(find, f"doc_id {kind}, first long, words binary, hits array<bigint>")
 
 
-def align_batch(words: pa.Array, item_words: pa.Array) -> pa.Array:
-    """Score, first and last word (in the passage) of the best alignment of each row."""
+def span(length: int, threshold: float) -> int:
+    """Most passage words an alignment that reaches the threshold can take: all matches, and the gaps they can pay for."""
+    return int(length * (1 + max(0.0, 1 - threshold) * MATCH / GAP)) + 1
+
+
+def stretch(words: np.ndarray, item: np.ndarray, threshold: float) -> tuple[int, int]:
+    """The part of a passage outside which no alignment reaches the threshold; (0, 0) if none does anywhere.
+
+    Every match takes a passage word that the item has, so an alignment's score is at most the count of such words in it.
+    """
+    width = span(len(item), threshold)
+    sums = np.concatenate([[0], np.cumsum(np.isin(words, item))])
+    starts = np.arange(max(1, len(words) - width + 1))
+    held = sums[np.minimum(starts + width, len(words))] - sums[starts]
+    able = np.flatnonzero(MATCH * held >= threshold * MATCH * len(item))
+    return (int(able[0]), min(len(words), int(able[-1]) + width)) if len(able) else (0, 0)
+
+
+def align_batch(words: pa.Array, item_words: pa.Array, threshold: float = THRESHOLD) -> pa.Array:
+    """Score, first and last word (in the passage) of the best alignment of each row; score 0 where it cannot reach the threshold."""
     own = [np.frombuffer(w, np.uint64) for w in words.to_pylist()]
     other = [np.frombuffer(w, np.uint64) for w in item_words.to_pylist()]
+    parts = [stretch(p, q, threshold) for p, q in zip(own, other)]
+    own = [p[low:high] for p, (low, high) in zip(own, parts)]
     score, start, stop = np.zeros(len(own)), np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
-    order = sorted(range(len(own)), key=lambda i: (len(own[i]), len(other[i])))
+    order = sorted((i for i in range(len(own)) if len(own[i])), key=lambda i: (len(own[i]), len(other[i])))
     at = 0
     while at < len(order):  # pairs of similar length, a bounded number of cells at a time
         upto = at + 1
@@ -139,36 +159,33 @@ def align_batch(words: pa.Array, item_words: pa.Array) -> pa.Array:
         best, end = align([own[i] for i in some], [other[i] for i in some])
         score[some] = best / (MATCH * np.array([max(1, len(other[i])) for i in some]))
         stop[some] = end
-        near = [k for k, i in enumerate(some) if score[i] >= 0.2]
+        near = [k for k, i in enumerate(some) if score[i] >= threshold]
         if near:  # the same alignment read backwards gives its start
             back = align([own[some[k]][: end[k]][::-1] for k in near], [other[some[k]][::-1] for k in near])[1]
             start[[some[k] for k in near]] = end[near] - back
         at = upto
-    return pa.StructArray.from_arrays([pa.array(score), pa.array(start), pa.array(stop)], names=["score", "start", "stop"])
+    moved = np.array([low for low, _ in parts], np.int64)
+    return pa.StructArray.from_arrays([pa.array(score), pa.array(start + moved), pa.array(stop + moved)], names=["score", "start", "stop"])
 
 
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text",
-    n: int = N, spread: int = SPREAD, threshold: float = THRESHOLD,
+    n: int = N, threshold: float = THRESHOLD,
 ) -> DataFrame:
     """One row per document and item that reach the threshold: doc_id, item_id, score, start_word, end_word of the best place."""
     tb.small_batches(docs.sparkSession)
-    items = cut_lineage(_grams(benchmark, item_key, item_text, n, spread).withColumn("_i", F.monotonically_increasing_id()))
-    grams = items.select("_i", F.posexplode("grams").alias("place", "h"))
-    reach = items.agg(F.coalesce(F.max(F.length("words") / 8), F.lit(0)).cast("int")).first()[0]
+
+    def aligned(words: pa.Array, item_words: pa.Array) -> pa.Array:
+        return align_batch(words, item_words, threshold)
+
+    items = cut_lineage(_grams(benchmark, item_key, item_text, n).withColumn("_i", F.monotonically_increasing_id()))
+    grams = items.select("_i", F.explode(F.array_distinct("grams")).alias("h"))
+    reach = span(items.agg(F.coalesce(F.max(F.length("words") / 8), F.lit(0)).cast("int")).first()[0], threshold)
     found = cut_lineage(passages(docs, bit_filter(grams), reach, key, text, n).withColumn("_p", F.monotonically_increasing_id()))
-    hits = found.select("_p", F.explode("hits").alias("h"))
-    often = small_side(grams.select("h").distinct())
-    seen = hits.join(often, "h", "left_semi").groupBy("h").agg(F.count(F.lit(1)).alias("df"))
-    # the rarest n-gram of each run of neighbours; an n-gram that never occurs in the corpus is as rare as can be
-    rated = grams.join(small_side(seen), "h", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    run = Window.partitionBy("_i").orderBy("place").rowsBetween(0, spread - 1)
-    picked = rated.withColumn("r", F.min(F.struct("df", "place")).over(run)).groupBy("_i", F.col("r.place").alias("place")).agg(F.max("r.df").alias("df"))
-    seeds = small_side(picked.where("df > 0").join(grams, ["_i", "place"]).select("_i", "h").distinct())
-    pairs = hits.join(seeds, "h").select("_p", "_i").distinct()
+    pairs = found.select("_p", F.explode("hits").alias("h")).join(small_side(grams), "h").select("_p", "_i").distinct()
     scored = pairs.join(found.select("_p", "doc_id", "first", "words"), "_p").join(
         small_side(items.select("_i", "item_id", F.col("words").alias("item_words"))), "_i"
-    ).withColumn("_a", F.arrow_udf(align_batch, ALIGNMENT)("words", "item_words")).where(F.col("_a.score") >= threshold)
+    ).withColumn("_a", F.arrow_udf(aligned, ALIGNMENT)("words", "item_words")).where(F.col("_a.score") >= threshold)
     best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct(
         F.col("_a.score").alias("score"), (-(F.col("first") + F.col("_a.start"))).alias("s"), (F.col("first") + F.col("_a.stop")).alias("e")
     )).alias("b"))

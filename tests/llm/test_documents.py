@@ -192,6 +192,30 @@ def test_exact_edited_and_restyled_copies_are_found(spark):
     assert decontaminate.contaminated(df.limit(0), bench).count() == 0
 
 
+def test_edits_every_few_words_against_brute_force(spark):
+    rng = random.Random(21)
+    fresh = lambda k: [f"w{rng.randrange(10**6)}" for _ in range(k)]
+    edits = (
+        lambda q, step: [w if k % step != step - 1 else fresh(1)[0] for k, w in enumerate(q)],
+        lambda q, step: [w for k, w in enumerate(q) if k % step != step - 1],
+        lambda q, step: [x for k, w in enumerate(q) for x in ([w] if k % step != step - 1 else [w, *fresh(1)])],
+    )
+    cases = [(fresh(size), edit, step) for size in (20, 30, 59) for edit in edits for step in (4, 5) for _ in range(2)]
+    items = [q for q, *_ in cases]  # each is edited in one way
+    rows = [(i, fresh(70) + edit(q, step) + fresh(300)) for i, (q, edit, step) in enumerate(cases)]
+    rows += [(500 + i, fresh(9) + q) for i, q in enumerate(items) if i % 2]  # where a whole copy stands too, no n-gram is missing
+    want = {}
+    for d, words in rows:
+        for i, q in enumerate(items):
+            score = brute_alignment(words, q) / len(q) if set(words) & set(q) else 0
+            if score >= decontaminate.THRESHOLD:
+                want[d, i] = score
+    assert set(want) == {(i, i) for i in range(len(items))} | {(500 + i, i) for i in range(1, len(items), 2)}
+    bench = spark.createDataFrame([(i, " ".join(q)) for i, q in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.contaminated(frame(spark, [(d, " ".join(w)) for d, w in rows]), bench).collect()}
+    assert got == pytest.approx(want)
+
+
 # classifiers
 
 
