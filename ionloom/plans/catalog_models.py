@@ -178,12 +178,12 @@ def class_scatter(spark, sf):
 
 @query("fuzzy_graph_embed")
 def fuzzy_graph_embed(spark, sf):
-    return E.fuzzy_graph_embed(tic(I.spectra(spark, sf)), 3, 10, 0.1, epochs=4)
+    return E.fuzzy_graph_embed(tic(I.spectra(spark, sf)), epochs=200)
 
 
 @query("spectral_embed3")
 def spectral_embed3(spark, sf):
-    return E.spectral_embed3(tic(I.spectra(spark, sf)), 10, 5)
+    return E.spectral_embed3(tic(I.spectra(spark, sf)))
 
 
 @query("landmark_mds3")
@@ -193,7 +193,7 @@ def landmark_mds3(spark, sf):
 
 @query("landmark_isomap3")
 def landmark_isomap3(spark, sf):
-    return E.landmark_isomap3(tic(I.spectra(spark, sf)), 8, 10)
+    return E.landmark_isomap3(tic(I.spectra(spark, sf)))
 
 
 # --- rank embeddings --------------------------------------------------------------------------------------
@@ -232,21 +232,21 @@ def kmeans_sample(spark, sf):
 @query("saliency_embed")
 def saliency_embed(spark, sf):
     pixels = tic(I.spectra(spark, sf))
-    coordinates, _ = R.saliency_embed(pixels, 50, 5)
+    coordinates, _ = R.saliency_embed(pixels)
     return R.embedding_image(pixels, coordinates)
 
 
 @query("spearman_embed")
 def spearman_embed(spark, sf):
     pixels = tic(I.spectra(spark, sf))
-    coordinates, _ = R.spearman_embed(pixels, 50, 4, sampling="random")
+    coordinates, _ = R.spearman_embed(pixels, sampling="random")
     return R.embedding_image(pixels, coordinates)
 
 
 @query("saliency_cluster_embed")
 def saliency_cluster_embed(spark, sf):
     pixels = tic(I.spectra(spark, sf))
-    coordinates, _ = R.saliency_cluster_embed(pixels, (6,), 0.3, 50, 4, init="top3")
+    coordinates, _ = R.saliency_cluster_embed(pixels, init="top3")
     return R.embedding_image(pixels, coordinates)
 
 
@@ -256,26 +256,26 @@ def saliency_cluster_embed(spark, sf):
 @query("pixel_classifier")
 def pixel_classifier(spark, sf):
     pixels = tic(I.spectra(spark, sf))
-    model = C.pixel_classifier(pixels, 10, 5)
+    model = C.pixel_classifier(pixels)
     return C.predict_map(model, pixels)
 
 
 @query("mz_importance")
 def mz_importance(spark, sf):
     pixels = tic(I.spectra(spark, sf))
-    return C.mz_importance(C.pixel_classifier(pixels, 10, 5), pixels, 20)
+    return C.mz_importance(C.pixel_classifier(pixels), pixels, 20)
 
 
 @query("pair_classifier")
 def pair_classifier(spark, sf):
-    pixels = tic(I.spectra(spark, sf)).withColumn("label", F.col("label") % 3)
-    return C.pair_classifier(pixels, 5, 3)
+    return C.pair_classifier(tic(I.spectra(spark, sf)))
 
 
 @query("mlp_segment")
 def mlp_segment(spark, sf):
-    pixels = tic(I.spectra(spark, sf)).withColumn("label", F.col("label") % 4)
-    model = C.mlp_segment(pixels, I.N_MZ, 4, epochs=20)
+    pixels = tic(I.spectra(spark, sf))
+    classes = pixels.agg(F.max("label")).first()[0] + 1
+    model = C.mlp_segment(pixels, I.N_MZ, classes)
     return C.class_scores(model, pixels).select("region", "pixel_id", S.argmax(F.col("scores")).alias("label"))
 
 

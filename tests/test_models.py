@@ -1,11 +1,14 @@
+import inspect
+
 import numpy as np
 import pytest
+from conftest import SF
 from helpers import cube_frame, sparse_cube
 from pyspark.sql import functions as F
 
 from ionloom.models import factors, graph_embed, rank_embed, supervised
 from ionloom.operators.normalize import tic
-from ionloom.plans import methods
+from ionloom.plans import catalog, methods
 
 
 @pytest.fixture(scope="module")
@@ -138,3 +141,29 @@ def test_benchmark_skips_finished_methods(spark, pixels):
     assert {"trustworthiness", "mrre_false", "lcmc", "spearman_cosine", "saliency_20_g2", "seconds"} <= {
         r["metric"] for r in board.select("metric").distinct().collect()
     }
+
+
+@pytest.mark.parametrize("name, module, operator", [
+    ("fuzzy_graph_embed", graph_embed, "fuzzy_graph_embed"), ("spectral_embed3", graph_embed, "spectral_embed3"),
+    ("landmark_isomap3", graph_embed, "landmark_isomap3"), ("saliency_embed", rank_embed, "saliency_embed"),
+    ("spearman_embed", rank_embed, "spearman_embed"), ("saliency_cluster_embed", rank_embed, "saliency_cluster_embed"),
+    ("pixel_classifier", supervised, "pixel_classifier"), ("mz_importance", supervised, "pixel_classifier"),
+    ("pair_classifier", supervised, "pair_classifier"), ("mlp_segment", supervised, "mlp_segment"),
+])
+def test_questions_run_operators_at_full_settings(spark, monkeypatch, name, module, operator):
+    class Called(Exception):
+        pass
+
+    kind = inspect.signature(getattr(module, operator))
+
+    def called(*args, **options):
+        raise Called(kind.bind(*args, **options))
+
+    monkeypatch.setattr(module, operator, called)
+    with pytest.raises(Called) as caught:
+        catalog.QUERIES[name](spark, SF)
+    given = dict(caught.value.args[0].arguments)
+    labels = {r["label"] for r in next(iter(given.values())).select("label").distinct().collect()}
+    assert labels == set(range(10)) and given.pop("n_classes", 10) == 10
+    size = {"k", "epochs", "points", "rounds", "landmarks", "trees", "depth", "clusters", "fraction", "hidden"}
+    assert all(v == kind.parameters[k].default or k == "epochs" and v > kind.parameters[k].default for k, v in given.items() if k in size)
