@@ -95,13 +95,13 @@ def visualization_manifest(images: DataFrame) -> DataFrame:
 
 
 def score_image(spectra: DataFrame, image: DataFrame, pairs: int = 30000, k: int = 100, seed: int = 0) -> DataFrame:
-    """(region, metric, value) of all quality scores of one image."""
+    """(region, metric, value) of all quality scores of one image; the neighbour scores take all foreground pixels."""
     drawn = sampling.sample_pairs(spectra, pairs, seed)
     gaps = metrics.pair_distances(drawn, spectra, image)
     scores = metrics.saliency_smoothness(gaps)
     out = F.array(*[F.col(c).cast("double") for c in ("c0", "c1", "c2")]).alias("out")
-    sample = metrics.metric_sample(spectra, pairs // 5, seed).join(image.select("region", "pixel_id", out), ["region", "pixel_id"])
-    # bounded by the sample and read by several scores each
+    sample = metrics.metric_sample(spectra).join(image.select("region", "pixel_id", out), ["region", "pixel_id"])
+    # read by several scores each
     sample = cut_lineage(sample)
     ranks = cut_lineage(metrics.neighbour_ranks(sample, k))
     wide = metrics.neighbour_ranks(sample, k, ("chebyshev", "euclidean"))

@@ -167,3 +167,26 @@ def test_questions_run_operators_at_full_settings(spark, monkeypatch, name, modu
     assert labels == set(range(10)) and given.pop("n_classes", 10) == 10
     size = {"k", "epochs", "points", "rounds", "landmarks", "trees", "depth", "clusters", "fraction", "hidden"}
     assert all(v == kind.parameters[k].default or k == "epochs" and v > kind.parameters[k].default for k, v in given.items() if k in size)
+
+
+def test_benchmark_question_runs_every_method_and_keeps_seconds(spark, monkeypatch):
+    def one(spectra, n_mz):
+        return spectra.select("region", "y", "x", "pixel_id", *[F.col("spectrum")[i].alias(f"c{i}") for i in range(3)])
+
+    asked = []
+    monkeypatch.setattr(methods, "METHODS", {name: one for name in methods.METHODS})
+    monkeypatch.setattr(methods, "score_image", lambda spectra, image, pairs, k: asked.append((pairs, k)) or image.select(
+        "region", F.lit("lcmc").alias("metric"), F.lit(0.0).alias("value")).distinct())
+    board = catalog.QUERIES["benchmark_methods"](spark, SF)
+    assert set(asked) == {(30000, 100)} and len(asked) == len(methods.METHODS)
+    seconds = board.where("metric = 'seconds'").select("method").distinct().collect()
+    assert {r["method"] for r in seconds} == set(methods.METHODS)
+
+
+def test_neighbour_scores_take_all_foreground_pixels(spark, pixels, monkeypatch):
+    taken = []
+    whole = methods.metrics.neighbour_ranks
+    monkeypatch.setattr(methods.metrics, "neighbour_ranks", lambda sample, *a: taken.append(sample.count()) or whole(sample, *a))
+    image = pixels.select("region", "y", "x", "pixel_id", *[F.col("spectrum")[i].alias(f"c{i}") for i in range(3)])
+    methods.score_image(pixels, image, 100, 5)
+    assert set(taken) == {2 * 9 * 8 - 1}
