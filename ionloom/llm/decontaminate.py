@@ -3,9 +3,13 @@
 Every n-gram of a benchmark item goes into a fixed-size bit filter. One pass over the training texts keeps the passages
 around filter hits (as word hashes, reaching on both sides as far as an alignment with the longest item can). A passage
 and an item that share any n-gram, however common, are a pair. A pair is aligned once, unless no stretch of the passage
-holds as many words of the item as the threshold asks matches for. The local alignment of passage and item words, divided
-by the best score possible for the item, is the score. Every copy that reaches the threshold and has ``n`` words in a row
-left intact is found; one with a word put in after every ``n - 1`` words or fewer is not.
+holds as many words of the item as a copy must match. The local alignment of passage and item words, divided by the best
+score possible for the item, is the score.
+
+A pair is a copy if the score reaches the threshold and the alignment is worth ``SHORT`` matching words (``NEAR_WHOLE`` of
+an item for which that is less, so a phrase of a short item is not enough), or if the passage holds ``EXCERPT`` words of
+the item in a row, whatever share of a long item they are. Every copy with ``n`` words in a row left intact is found; one with a word put in after
+every ``n - 1`` words or fewer is not.
 
 Words are in lower case and end at ASCII white space or signs, so a copy in capitals or with other punctuation is a copy.
 Null or empty texts and items match nothing, and items of
@@ -28,8 +32,23 @@ from ionloom.session import cut_lineage, small_side
 N = 3
 MATCH, MISMATCH, GAP = 1.0, -0.5, 0.5
 THRESHOLD = 0.5
+EXCERPT = 13  # words in a row that make a copy of any item, however long
+SHORT, NEAR_WHOLE = 7, 0.8  # an alignment is worth so many words, or such a share of a shorter item
 FILTER_BITS = 24
-ALIGNMENT = "struct<score:double,start:bigint,stop:bigint>"
+ALIGNMENT = "struct<score:double,start:bigint,stop:bigint,copy:boolean>"
+
+
+def needed(length: int, threshold: float) -> float:
+    """Score that makes an alignment with an item of so many words a copy."""
+    return MATCH * max(threshold * length, min(NEAR_WHOLE * length, SHORT))
+
+
+def holds_run(words: np.ndarray, item: np.ndarray, size: int) -> bool:
+    """Whether the two have ``size`` words in a row in common."""
+    if min(len(words), len(item)) < size:
+        return False
+    runs = [tb.shingle_hashes(x, np.array([0, len(x)]), size, short=False)[0] for x in (words, item)]
+    return bool(np.isin(*runs).any())
 
 
 def align(passages: list[np.ndarray], items: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -130,7 +149,7 @@ def span(length: int, threshold: float) -> int:
 
 
 def stretch(words: np.ndarray, item: np.ndarray, threshold: float) -> tuple[int, int]:
-    """The part of a passage outside which no alignment reaches the threshold; (0, 0) if none does anywhere.
+    """The part of a passage outside which no alignment makes a copy by its score; (0, 0) if none does anywhere.
 
     Every match takes a passage word that the item has, so an alignment's score is at most the count of such words in it.
     """
@@ -138,17 +157,22 @@ def stretch(words: np.ndarray, item: np.ndarray, threshold: float) -> tuple[int,
     sums = np.concatenate([[0], np.cumsum(np.isin(words, item))])
     starts = np.arange(max(1, len(words) - width + 1))
     held = sums[np.minimum(starts + width, len(words))] - sums[starts]
-    able = np.flatnonzero(MATCH * held >= threshold * MATCH * len(item))
+    able = np.flatnonzero(MATCH * held >= needed(len(item), threshold))
     return (int(able[0]), min(len(words), int(able[-1]) + width)) if len(able) else (0, 0)
 
 
 def align_batch(words: pa.Array, item_words: pa.Array, threshold: float = THRESHOLD) -> pa.Array:
-    """Score, first and last word (in the passage) of the best alignment of each row; score 0 where it cannot reach the threshold."""
+    """Score, first and last word (in the passage) of the best alignment of each row, and whether it is a copy.
+
+    The score is 0 where no alignment can make a copy.
+    """
     own = [np.frombuffer(w, np.uint64) for w in words.to_pylist()]
     other = [np.frombuffer(w, np.uint64) for w in item_words.to_pylist()]
-    parts = [stretch(p, q, threshold) for p, q in zip(own, other)]
+    excerpt = np.array([holds_run(p, q, EXCERPT) for p, q in zip(own, other)], bool)
+    parts = [(0, len(p)) if x else stretch(p, q, threshold) for p, q, x in zip(own, other, excerpt)]
     own = [p[low:high] for p, (low, high) in zip(own, parts)]
     score, start, stop = np.zeros(len(own)), np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
+    copy = np.zeros(len(own), bool)
     order = sorted((i for i in range(len(own)) if len(own[i])), key=lambda i: (len(own[i]), len(other[i])))
     at = 0
     while at < len(order):  # pairs of similar length, a bounded number of cells at a time
@@ -159,20 +183,22 @@ def align_batch(words: pa.Array, item_words: pa.Array, threshold: float = THRESH
         best, end = align([own[i] for i in some], [other[i] for i in some])
         score[some] = best / (MATCH * np.array([max(1, len(other[i])) for i in some]))
         stop[some] = end
-        near = [k for k, i in enumerate(some) if score[i] >= threshold]
+        near = [k for k, i in enumerate(some) if excerpt[i] or best[k] >= needed(len(other[i]), threshold)]
         if near:  # the same alignment read backwards gives its start
             back = align([own[some[k]][: end[k]][::-1] for k in near], [other[some[k]][::-1] for k in near])[1]
             start[[some[k] for k in near]] = end[near] - back
+            copy[[some[k] for k in near]] = True
         at = upto
     moved = np.array([low for low, _ in parts], np.int64)
-    return pa.StructArray.from_arrays([pa.array(score), pa.array(start + moved), pa.array(stop + moved)], names=["score", "start", "stop"])
+    columns = [pa.array(score), pa.array(start + moved), pa.array(stop + moved), pa.array(copy)]
+    return pa.StructArray.from_arrays(columns, names=["score", "start", "stop", "copy"])
 
 
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text",
     n: int = N, threshold: float = THRESHOLD,
 ) -> DataFrame:
-    """One row per document and item that reach the threshold: doc_id, item_id, score, start_word, end_word of the best place."""
+    """One row per document and item that it holds a copy of: doc_id, item_id, score, start_word, end_word of the best place."""
     tb.small_batches(docs.sparkSession)
 
     def aligned(words: pa.Array, item_words: pa.Array) -> pa.Array:
@@ -185,7 +211,7 @@ def contaminated(
     pairs = found.select("_p", F.explode("hits").alias("h")).join(small_side(grams), "h").select("_p", "_i").distinct()
     scored = pairs.join(found.select("_p", "doc_id", "first", "words"), "_p").join(
         small_side(items.select("_i", "item_id", F.col("words").alias("item_words"))), "_i"
-    ).withColumn("_a", F.arrow_udf(aligned, ALIGNMENT)("words", "item_words")).where(F.col("_a.score") >= threshold)
+    ).withColumn("_a", F.arrow_udf(aligned, ALIGNMENT)("words", "item_words")).where("_a.copy")
     best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct(
         F.col("_a.score").alias("score"), (-(F.col("first") + F.col("_a.start"))).alias("s"), (F.col("first") + F.col("_a.stop")).alias("e")
     )).alias("b"))

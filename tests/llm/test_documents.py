@@ -216,6 +216,22 @@ def test_edits_every_few_words_against_brute_force(spark):
     assert got == pytest.approx(want)
 
 
+def test_excerpts_of_long_items_and_phrases_of_short_ones(spark):
+    rng = random.Random(22)
+    fresh = lambda k: [f"w{rng.randrange(10**6)}" for _ in range(k)]
+    items = [fresh(k) for k in (59, 200, 4, 6, 10)]
+    place = lambda words: " ".join([*fresh(80), *words, *fresh(50)])
+    planted = [
+        (100, items[0][20:45], 0), (101, items[1][150:163], 1), (102, items[1][150:162], None), (103, items[2][:3], None), (104, items[2], 2),
+        (105, items[3][1:5], None), (106, items[3], 3), (107, items[4][:6], None), (108, items[4][:9], 4),
+        (109, [*items[4][:5], "other", *items[4][6:]], 4),
+    ]
+    bench = spark.createDataFrame([(i, " ".join(q)) for i, q in enumerate(items)], "item_id long, text string")
+    found = decontaminate.contaminated(frame(spark, [(d, place(w)) for d, w, _ in planted]), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(d, i) for d, _, i in planted if i is not None}
+    assert {(r.start_word, r.end_word) for r in found if r.doc_id == 100} == {(80, 105)}
+
+
 # classifiers
 
 
