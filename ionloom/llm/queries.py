@@ -1,11 +1,14 @@
-"""Queries op1 .. op10 of this folder: each operator over its whole table, with the SQL of the same meaning where SQL can say it."""
+"""Queries op1 .. op13 of this folder: each operator over its whole table, with the SQL of the same meaning where SQL can say it."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ionloom.llm import bpe, chat, decontaminate, exact_dedup, jaccard_join, langid, quality, sharding, token_count, token_files
+from ionloom.llm import (
+    bpe, centroids, chat, decontaminate, exact_dedup, jaccard_join, langid, quality, sharding, token_count, token_files, vector_codes,
+    vector_dedup,
+)
 from ionloom.session import ship_package
 
 QUERIES = {}
@@ -100,6 +103,21 @@ def op10_language(spark, sf_dir):
     return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+@query
+def op11_vector_codes(spark, sf_dir):
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_centroids(spark, sf_dir):
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_vector_dedup(spark, sf_dir):
+    return vector_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 ORACLES["op5_chat_format"] = r"""
 WITH m AS (
     SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
