@@ -222,7 +222,14 @@ def contaminated(
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` without a benchmark item in them, with all their columns."""
-    other = tb.unused(docs, "_bad")[0]
-    bad = contaminated(docs, benchmark, key, text, **options).select(F.col(key).alias(other)).distinct()
-    return docs.join(small_side(bad), F.col(key).eqNullSafe(F.col(other)), "left_anti")
+    """The rows of ``docs`` without a benchmark item in them, with all their columns.
+
+    Ids may repeat or be null: a row is told by its id and a digest of its text, so a clean row stays whatever shares its id.
+    """
+    digest, chars = F.xxhash64(F.col(text)), F.length(F.col(text))
+    row = F.struct(F.col(key).alias("k"), digest.alias("d"), chars.alias("n"))
+    bad = contaminated(docs.select(row.alias("row"), F.col(text).alias("text")), benchmark, "row", "text", **options)
+    id_, d, n = tb.unused(docs, "_k", "_d", "_n")
+    bad = bad.select(F.col("row.k").alias(id_), F.col("row.d").alias(d), F.col("row.n").alias(n)).distinct()
+    same = F.col(key).eqNullSafe(F.col(id_)) & (digest == F.col(d)) & chars.eqNullSafe(F.col(n))
+    return docs.join(small_side(bad), same, "left_anti")

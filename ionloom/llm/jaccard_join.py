@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from ionloom.llm import textbatch as tb
 from ionloom.llm.components import components
-from ionloom.session import cut_lineage
+from ionloom.session import cut_lineage, small_side
 
 N = 5
 NUM, DEN = 75, 100
@@ -256,7 +256,22 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The row with the smallest id of each component, with all columns; keys of the table must be unique."""
-    other = tb.unused(docs, "_stays")[0]
-    stays = near_duplicates(docs, key, text, **options).where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias(other))
-    return docs.join(stays, F.col(key).eqNullSafe(F.col(other)), "left_semi")
+    """One row of each component, with all columns: the one with the smallest id, null ids last.
+
+    Ids may repeat or be null: a row is told by its id and a digest of its text, and of rows that repeat both one stays.
+    """
+    digest, chars = F.xxhash64(F.col(text)), F.length(F.col(text))
+    row = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("k"), digest.alias("d"), chars.alias("n"))
+    found = near_duplicates(docs.select(row.alias("row"), F.col(text).alias("text")), "row", "text", **options)
+    marked = found.groupBy("row").agg(
+        F.max(F.col("row").eqNullSafe(F.col("component_id"))).alias("stays"), F.count(F.lit(1)).alias("copies")
+    ).where("NOT stays OR copies > 1")
+    marked = cut_lineage(marked.select(F.col("row.k").alias("_k"), F.col("row.d").alias("_d"), F.col("row.n").alias("_n"), "stays"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(key).alias("_key"), digest.alias("_digest"), chars.alias("_chars"))
+    same = F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_digest") == F.col("_d")) & F.col("_chars").eqNullSafe(F.col("_n"))
+    kept = rows.join(small_side(marked.drop("stays")), same, "left_anti").select("_row.*")
+    repeated = marked.where("stays").drop("stays")
+    if not repeated.limit(1).count():
+        return kept
+    again = rows.join(small_side(repeated), same, "left_semi").groupBy("_key", "_digest", "_chars").agg(F.first("_row").alias("_row"))
+    return kept.unionByName(again.select("_row.*"))

@@ -120,6 +120,18 @@ def test_jaccard_join_edge_tables(spark):
     assert got == sorted([(None, 2, 4), (4, 2, 4), (4, 2, 4), (4, 1, 4)], key=str)
 
 
+def test_near_copies_with_repeated_and_null_ids(spark):
+    rng = random.Random(3)
+    fresh = lambda k: [f"w{rng.randrange(10**6)}" for _ in range(k)]
+    base = fresh(60)
+    near, other, third = " ".join([*base[:-1], "end"]), " ".join(fresh(30)), " ".join(fresh(30))
+    rows = [(1, " ".join(base)), (1, near), (1, other), (None, near + " x"), (None, third), (None, other), (2, third), (2, third), (7, ""), (7, "")]
+    stay = sorted(map(tuple, jaccard_join.keep_one(frame(spark, rows)).select("doc_id", "text").collect()), key=str)
+    assert len(stay) == 4
+    first = min((" ".join(base), near), key=lambda t: (1, t) in stay and -1 or 0)
+    assert stay == sorted([(1, first), (1, other), (2, third), (7, "")], key=str)
+
+
 def test_components_of_a_long_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(20, 60)] + [(5, 5)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
@@ -192,6 +204,15 @@ def test_exact_edited_and_restyled_copies_are_found(spark):
     assert decontaminate.contaminated(df.limit(0), bench).count() == 0
 
 
+def test_clean_rows_stay_whatever_shares_their_id(spark):
+    words = lambda name: " ".join(f"{name}{i}" for i in range(40))
+    bad, clean = words("b"), words("c")
+    rows = [(1, bad), (1, clean), (None, bad), (None, clean), (None, None), (None, ""), (1, clean), (2, bad + " " + clean)]
+    bench = spark.createDataFrame([(5, bad)], "item_id long, text string")
+    stay = sorted(map(tuple, decontaminate.keep_clean(frame(spark, rows), bench).select("doc_id", "text").collect()), key=str)
+    assert stay == sorted([(1, clean), (1, clean), (None, clean), (None, None), (None, "")], key=str)
+
+
 def test_edits_every_few_words_against_brute_force(spark):
     rng = random.Random(21)
     fresh = lambda k: [f"w{rng.randrange(10**6)}" for _ in range(k)]
