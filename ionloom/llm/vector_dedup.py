@@ -42,7 +42,7 @@ from ionloom.session import cut_lineage
 #: Classes of a block; a task holds two blocks at most.
 BLOCK = 1024
 #: Buckets a vector is posted in per table, and unrelated vectors it may meet per table, about.
-PROBES, MEETS = 4, 64
+PROBES, MEETS = 4, 2
 #: Linked pairs whose codes are compared at once.
 PAIRS = 1 << 17
 _DRAWN = 4000

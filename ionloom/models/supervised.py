@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import (
-    GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier,
-)
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ionloom.functions import spectrum as S
-from ionloom.models.factors import FEATURES, featured
-from ionloom.operators.joins import category_pairs
-from ionloom.operators.sampling import balanced_accuracy, class_weights, stratified_split
-from ionloom.session import bounded_rows
+from ionloom.models import boosting
+from ionloom.models.factors import FEATURES, PLACE, featured
+from ionloom.operators.neighbors import stack
+from ionloom.operators.sampling import class_weights, stratified_split
+from ionloom.session import bounded_rows, cut_lineage
 
-MAX_PAIRS = 2000
+MAX_CATEGORIES = 512
 
 
 def weighted_training(labelled: DataFrame) -> DataFrame:
@@ -25,64 +27,103 @@ def weighted_training(labelled: DataFrame) -> DataFrame:
     return featured(labelled.join(weights, "label"))
 
 
-def pixel_classifier(labelled: DataFrame, trees: int = 40, depth: int = 8, seed: int = 42):
+# Settings of the boosted classifiers
+PIXEL_SETTINGS = boosting.Settings(rounds=100, depth=7, step=0.1, child_weight=5.0, max_step=1.0)
+PAIR_SETTINGS = boosting.Settings(rounds=40, depth=4, step=0.1)
+
+
+def forest_classifier(labelled: DataFrame, trees: int = 40, depth: int = 8, seed: int = 42):
     """Multi-class tree ensemble on balanced weights. Returns the fitted model."""
     return RandomForestClassifier(
         labelCol="label", featuresCol=FEATURES, weightCol="weight", numTrees=trees, maxDepth=depth, seed=seed
     ).fit(weighted_training(labelled))
 
 
-def boosted_pixel_classifier(labelled: DataFrame, rounds: int = 20, depth: int = 4, seed: int = 42):
-    """One boosted ensemble per class."""
-    base = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.1, seed=seed, featuresCol=FEATURES, labelCol="label")
-    return OneVsRest(classifier=base, labelCol="label", featuresCol=FEATURES, weightCol="weight").fit(
-        weighted_training(labelled)
-    )
+def _classes(labelled: DataFrame) -> list[int]:
+    return [r["label"] for r in bounded_rows(labelled.select("label").where("label IS NOT NULL").distinct().orderBy("label"), MAX_CATEGORIES, "categories")]
+
+
+def _numbered(labelled: DataFrame, classes: list[int]) -> DataFrame:
+    """Class numbers 0.. instead of labels; rows without a label or spectrum take no part."""
+    place = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("label")) - 1
+    return labelled.where("label IS NOT NULL AND spectrum IS NOT NULL").withColumn("label", place.cast("int"))
+
+
+def pixel_classifier(labelled: DataFrame, settings: boosting.Settings = PIXEL_SETTINGS) -> boosting.Boosted:
+    """Boosted trees on annotated spectra, one tree per class and round."""
+    classes = _classes(labelled)
+    rows = _numbered(labelled, classes).withColumn("train", F.lit(True))
+    task = boosting.class_task(len(classes))
+    if not classes:
+        return boosting.Boosted([], [], task, settings, classes)
+    edges = boosting.bin_edges(rows, settings.bins)
+    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}  # one row per class
+    blocks = boosting.binned_blocks(rows, edges, len(classes))
+    sizes = np.array([counts.get(c, 0) for c in range(len(classes))])
+    _, trees = boosting.fit(blocks, len(edges), sizes, task, settings)
+    return boosting.Boosted(edges, trees, task, settings, classes)
 
 
 def predict_map(model, spectra: DataFrame) -> DataFrame:
     """Class of every foreground pixel; -1 outside the sample."""
-    predicted = model.transform(featured(spectra))
-    return predicted.select(
-        "region", "y", "x", "pixel_id",
-        F.when(S.is_foreground(F.col("spectrum")), F.col("prediction").cast("int")).otherwise(-1).alias("label"),
-    )
+    inside = S.is_foreground(F.col("spectrum"))
+    if not isinstance(model, boosting.Boosted):
+        predicted = model.transform(featured(spectra))
+        return predicted.select(*PLACE, F.when(inside, F.col("prediction").cast("int")).otherwise(-1).alias("label"))
+    shared = spectra.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("int")
+    def best(spectrum: pd.Series) -> pd.Series:
+        model = shared.value
+        if not model.rounds:
+            return pd.Series(np.full(len(spectrum), -1))
+        return pd.Series(np.array(model.classes)[model.margins(stack(spectrum)).argmax(axis=1)])
+
+    return spectra.select(*PLACE, F.when(inside, best("spectrum")).otherwise(-1).alias("label"))
 
 
 def mz_importance(model, spectra: DataFrame, n: int = 20) -> DataFrame:
     """The n m/z with the largest importance of a tree model."""
-    ranked = sorted(enumerate(model.featureImportances.toArray().tolist()), key=lambda p: (-p[1], p[0]))[:n]
+    share = model.importance if isinstance(model, boosting.Boosted) else model.featureImportances.toArray()
+    ranked = sorted(enumerate(share.tolist()), key=lambda p: (-p[1], p[0]))[:n]
     return spectra.sparkSession.createDataFrame(
         [(r + 1, i, v) for r, (i, v) in enumerate(ranked)], "rank int, mz_index int, importance double"
     )
 
 
-def pair_classifier(labelled: DataFrame, rounds: int = 40, depth: int = 4, step: float = 0.1) -> DataFrame:
+def pair_classifier(labelled: DataFrame, settings: boosting.Settings = PAIR_SETTINGS) -> DataFrame:
     """Similarity 1 - balanced accuracy of a boosted classifier per category pair, on a stratified 40 % test part.
 
-    The pairs of a study are few; each fit is a distributed job over the pixels of its two classes.
+    All pairs are fitted together; a pixel takes part in the models of its own category.
     """
-    split = stratified_split(labelled.withColumn("_keep", F.col("region")).withColumn("region", F.lit(0)))
-    split = featured(split).persist()
-    pairs = category_pairs(split.select(F.col("label").alias("category")))
-    found = []
-    for row in sorted(bounded_rows(pairs, MAX_PAIRS, "category pairs")):
-        a, b = row["category_a"], row["category_b"]
-        two = split.where(F.col("label").isin(a, b)).withColumn("target", (F.col("label") == b).cast("double"))
-        train = two.where(~F.col("is_test"))
-        counts = train.groupBy("target").agg(F.count(F.lit(1)).alias("_n"))
-        total = train.groupBy().agg(F.count(F.lit(1)).alias("_t")).first()["_t"]
-        weighted = train.join(counts, "target").withColumn("weight", F.lit(float(total)) / (F.col("_n") * 2))
-        model = GBTClassifier(
-            maxIter=rounds, maxDepth=depth, stepSize=step, seed=42, labelCol="target", featuresCol=FEATURES,
-            weightCol="weight",
-        ).fit(weighted)
-        tested = model.transform(two.where("is_test")).select(
-            F.lit(0).alias("region"), F.col("target").alias("label"), "prediction"
-        )
-        found.append((a, b, float(1 - balanced_accuracy(tested).first()["balanced_accuracy"])))
-    split.unpersist()
-    return labelled.sparkSession.createDataFrame(found, "category_a int, category_b int, confusion double")
+    spark = labelled.sparkSession
+    classes = _classes(labelled)
+    if len(classes) < 2:
+        return spark.createDataFrame([], "category_a int, category_b int, confusion double")
+    rows = _numbered(labelled, classes).withColumn("region", F.lit(0))
+    rows = cut_lineage(stratified_split(rows).select("label", (~F.col("is_test")).alias("train"), "spectrum"))
+    counts = {r["label"]: r["count"] for r in rows.where("train").groupBy("label").count().collect()}  # one row per class
+    sizes = np.array([counts.get(c, 0) for c in range(len(classes))])
+    task, pairs = boosting.pair_task(len(classes), sizes)
+    edges = boosting.bin_edges(rows.where("train"), settings.bins)
+    features = len(edges)
+    blocks, _ = boosting.fit(boosting.binned_blocks(rows, edges, len(classes) - 1), features, sizes, task, settings)
+
+    def tested(batches):
+        for batch in batches:
+            for _, label, train, margins in boosting._opened(batch, features):
+                keep = np.flatnonzero(~train)
+                right = (margins[keep] > 0) == (task.target[label[keep]] > 0)
+                shape = right.shape[1]
+                yield pd.DataFrame({
+                    "model": task.takes[label[keep]].ravel(), "label": np.repeat(label[keep], shape), "right": right.ravel(), "n": 1,
+                }).groupby(["model", "label"], as_index=False).sum().pipe(pa.RecordBatch.from_pandas, preserve_index=False)
+
+    recall = blocks.mapInArrow(tested, "model long, label int, right long, n long").groupBy("model", "label").agg(
+        (F.sum("right") / F.sum("n")).alias("recall")
+    ).groupBy("model").agg((1 - F.avg("recall")).alias("confusion"))
+    named = spark.createDataFrame([(m, classes[a], classes[b]) for m, (a, b) in enumerate(pairs)], "model long, category_a int, category_b int")
+    return named.join(recall, "model").select("category_a", "category_b", "confusion")
 
 
 # Hidden layers of the dense network
