@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,6 +83,20 @@ def small_side(df: DataFrame, byte_limit: int = 32 << 20) -> DataFrame:
     return F.broadcast(done) if measured_bytes(done) <= byte_limit else done
 
 
+@contextmanager
+def settings(spark: SparkSession, **values: str):
+    """Session settings for the jobs inside the block, put back afterwards; ``__`` in a name stands for a dot."""
+    names = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def scratch_folder(spark: SparkSession, name: str) -> str:
     """A new folder inside the shared checkpoint folder for a table that is written and read back."""
     ensure_checkpoint_dir(spark)
