@@ -188,3 +188,20 @@ def test_neighbour_scores_take_all_foreground_pixels(spark, pixels, monkeypatch)
     image = pixels.select("region", "y", "x", "pixel_id", *[F.col("spectrum")[i].alias(f"c{i}") for i in range(3)])
     methods.score_image(pixels, image, 100, 5)
     assert set(taken) == {2 * 9 * 8 - 1}
+
+
+@pytest.mark.parametrize("fit, options", [
+    (rank_embed.saliency_embed, {"similarity_reg": 0.3}), (rank_embed.spearman_embed, {"sampling": "random"}),
+    (rank_embed.saliency_cluster_embed, {"clusters": (4,), "fraction": 0.5}),
+])
+def test_rank_embedding_in_one_task_and_by_jobs(pixels, monkeypatch, fit, options):
+    found = []
+    for cells in (1 << 30, 0, 72 * 15 - 1):  # whole regions, no region, and (where a point is background) one of two
+        monkeypatch.setattr(rank_embed, "CELLS_IN_TASK", cells)
+        monkeypatch.setattr(rank_embed, "BLOCK_ROWS", 7)
+        coordinates, losses = fit(pixels, points=15, epochs=3, **options)
+        rows = coordinates.orderBy("region", "pixel_id").collect()
+        found.append((np.array([[r["e0"], r["e1"], r["e2"]] for r in rows]), losses, [(r["region"], r["pixel_id"]) for r in rows]))
+    assert found[0][2] == found[1][2] == found[2][2] and len(set(found[0][2])) == 2 * 72
+    for other in found[1:]:
+        assert np.allclose(found[0][0], other[0], atol=1e-7) and np.allclose(found[0][1], other[1], rtol=1e-9)
