@@ -205,3 +205,61 @@ def test_rank_embedding_in_one_task_and_by_jobs(pixels, monkeypatch, fit, option
     assert found[0][2] == found[1][2] == found[2][2] and len(set(found[0][2])) == 2 * 72
     for other in found[1:]:
         assert np.allclose(found[0][0], other[0], atol=1e-7) and np.allclose(found[0][1], other[1], rtol=1e-9)
+
+
+def test_hash_equals_the_one_of_spark(spark):
+    rows = spark.createDataFrame([(5, -3, 7), (0, 0, 0), (-(1 << 62), 12345678901, -1)], "a long, b long, c long")
+    got = rows.select("a", "b", "c", F.xxhash64("a", "b", "c").alias("h")).collect()
+    columns = [np.array([r[c] for r in got]) for c in "abc"]
+    assert graph_embed.xxhash64(*columns).tolist() == [r["h"] for r in got]
+
+
+def test_block_lanczos_against_dense_eigenvectors():
+    rng = np.random.default_rng(3)
+    for n, blocks in ((60, 1), (150, 1), (90, 3), (3, 1)):  # three blocks: the largest eigenvalue three times
+        full = rng.random((n, n)) * (rng.random((n, n)) < 0.2)
+        full = full + full.T + np.eye(n) * 0.1
+        part = np.arange(n) * blocks // n
+        full *= part[:, None] == part[None]
+        degree = full.sum(1)
+        full /= np.sqrt(np.outer(degree, degree))
+        i, j = np.nonzero(full)
+        count = min(4, n)
+        v = graph_embed.krylov_vectors(i, j, full[i, j], rng.standard_normal((n, count)), 1e-8, 500, 16)
+        values = np.sort(np.linalg.eigvalsh(full))[::-1][:count]
+        assert np.allclose(v.T @ v, np.eye(count), atol=1e-8)
+        assert np.allclose(np.sort(np.linalg.eigvalsh(v.T @ full @ v))[::-1], values, atol=1e-7)
+
+
+def test_graph_embedding_in_one_task_and_by_jobs(pixels, monkeypatch):
+    edges = graph_embed.cut_lineage(graph_embed.symmetrize(graph_embed.membership(graph_embed.knn_graph(pixels, 6), 6)))
+    vectors = graph_embed.cut_lineage(graph_embed.leading_vectors(edges, 3))
+    found = []
+    for limit in (1 << 30, 0):
+        monkeypatch.setattr(graph_embed, "EDGES_IN_TASK", limit)
+        monkeypatch.setattr(graph_embed, "leading_vectors", lambda e, dims, seed: vectors)
+        rows = graph_embed.fuzzy_graph_embed(pixels, 3, 6, epochs=3).orderBy("region", "pixel_id").collect()
+        found.append(np.array([[r["region"], r["pixel_id"], r["e0"], r["e1"], r["e2"]] for r in rows]))
+    assert len(found[0]) == 2 * 72 and np.allclose(found[0], found[1], atol=1e-6)
+
+
+def test_large_graphs_reach_the_same_vectors(pixels, monkeypatch):
+    edges = graph_embed.cut_lineage(graph_embed.symmetrize(graph_embed.membership(graph_embed.knn_graph(pixels, 6), 6)))
+    plane = []
+    for limit in (1 << 30, 0):
+        monkeypatch.setattr(graph_embed, "EDGES_IN_TASK", limit)
+        rows = graph_embed.leading_vectors(edges, 1, rounds=12, tolerance=1e-4).where("region = 1").orderBy("pixel_id").collect()
+        plane.append(np.array([r["e0"] for r in rows]))
+    assert abs(plane[0] @ plane[1]) > 0.9 * np.linalg.norm(plane[0]) * np.linalg.norm(plane[1])
+
+
+def test_graph_embedding_keeps_groups_together(spark):
+    rng = np.random.default_rng(2)
+    group = rng.integers(0, 3, (12, 12))
+    cube = rng.normal(0, 0.05, (12, 12, 5)) + np.eye(3, 5)[group] * 4 + 1
+    rows = graph_embed.fuzzy_graph_embed(cube_frame(spark, {0: cube}), 3, 10, epochs=60).orderBy("pixel_id").collect()
+    x = np.array([[r["e0"], r["e1"], r["e2"]] for r in rows])
+    own = group.ravel()
+    gap = np.linalg.norm(x[:, None] - x[None], axis=-1)
+    np.fill_diagonal(gap, np.inf)
+    assert (own[gap.argsort(axis=1)[:, :5]] == own[:, None]).mean() > 0.98
