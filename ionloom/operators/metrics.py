@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ionloom.functions import color as C
 from ionloom.functions import spectrum as S
 from ionloom.functions.order_stats import exact_quantiles, ordered_position
-from ionloom.operators.neighbors import distance_matrix, stack
+from ionloom.operators.neighbors import distance_matrix, knn, stack
 from ionloom.operators.normalize import stack_channels
 from ionloom.operators.peaks import rank_average
 from ionloom.operators.sampling import random_sample
@@ -21,26 +21,33 @@ DELTAS = (0.1, 0.2, 0.3)
 GAMMAS = (0.0, 2.0)
 
 
+def _pair_sides(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:
+    for side in ("a", "b"):
+        own = values.select("region", F.col("pixel_id").alias(f"pixel_{side}"), F.col(column).alias(f"_{side}"))
+        pairs = pairs.join(own, ["region", f"pixel_{side}"])
+    return pairs
+
+
+def spectra_distances(pairs: DataFrame, spectra: DataFrame) -> DataFrame:
+    """L2, cosine and maximum distance of the spectra of each pair: the half of the scores that no picture changes."""
+    a, b = F.col("_a"), F.col("_b")
+    return cut_lineage(_pair_sides(pairs, spectra, "spectrum").select(
+        "region", "pair", "pixel_a", "pixel_b",
+        S.l2_distance(a, b).alias("l2"), S.cosine_distance(a, b).alias("cosine"), S.chebyshev_distance(a, b).alias("maxabs"),
+    ))
+
+
 def pair_distances(pairs: DataFrame, spectra: DataFrame, image: DataFrame) -> DataFrame:
     """L2, cosine and maximum distance of the spectra, L2 in LAB of the picture (c0, c1, c2) for each pair.
 
-    Written out once: the sampled pairs are few and every score reads them several times.
+    ``pairs`` may be the result of ``spectra_distances`` already. Written out once: the sampled pairs are few and every
+    score reads them several times.
     """
+    known = pairs if "l2" in pairs.columns else spectra_distances(pairs, spectra)
     lightness, a, b = C.lab_to_byte(*C.rgb_to_lab(F.col("c0"), F.col("c1"), F.col("c2")))
     lab = image.select("region", "pixel_id", F.array(lightness, a, b).alias("lab"))
-    sides = spectra.select("region", "pixel_id", "spectrum").join(lab, ["region", "pixel_id"])
-    out = pairs
-    for side in ("a", "b"):
-        out = out.join(
-            sides.select("region", F.col("pixel_id").alias(f"pixel_{side}"), F.col("spectrum").alias(f"_s{side}"),
-                         F.col("lab").alias(f"_l{side}")),
-            ["region", f"pixel_{side}"],
-        )
-    a, b = F.col("_sa"), F.col("_sb")
-    return cut_lineage(out.select(
-        "region", "pair", "pixel_a", "pixel_b",
-        S.l2_distance(a, b).alias("l2"), S.cosine_distance(a, b).alias("cosine"),
-        S.chebyshev_distance(a, b).alias("maxabs"), S.l2_distance(F.col("_la"), F.col("_lb")).alias("output"),
+    return cut_lineage(_pair_sides(known, lab, "lab").select(
+        "region", "pair", "pixel_a", "pixel_b", "l2", "cosine", "maxabs", S.l2_distance(F.col("_a"), F.col("_b")).alias("output"),
     ))
 
 
@@ -140,59 +147,145 @@ def metric_sample(spectra: DataFrame, points: int | None = None, seed: int = 0)
     return inside if points is None else random_sample(inside, points, seed).drop("sample_index")
 
 
-def neighbour_ranks(sample: DataFrame, k: int, metrics: tuple[str, str] = ("euclidean", "euclidean"),
-                    block: int = 512) -> DataFrame:
+#: Pixels of a region up to which one task ranks all its pairs; its rows of distances are worked out in pieces.
+PIXELS_IN_TASK = 4096
+#: Pixels of a block of a larger region; a task holds two blocks.
+RANK_BLOCK = 1024
+_RANKS = "region int, i long, j long, rank_in long, rank_out long, n long"
+SPACES = ("spectrum", "out")
+
+
+def neighbour_ranks(sample: DataFrame, k: int, metrics: tuple[str, str] = ("euclidean", "euclidean")) -> DataFrame:
     """For each sampled pixel its neighbours within k in either space, with the rank in both.
 
-    sample(region, pixel_id, spectrum, out ARRAY), bounded by ``metric_sample``. A rank among all points needs
-    all distances of the query: blocks of queries meet blocks of points (each task holds two blocks of spectra),
-    return arrays of distances, and each query then ranks its own arrays. No spectrum is held by one task
-    together with the whole region, and pairs never become rows.
+    sample(region, pixel_id, spectrum, out ARRAY). A pixel itself has rank 0; equal distances rank by id. A region of up to
+    ``PIXELS_IN_TASK`` pixels is ranked by one task, a larger one by counting: see ``_counted_ranks``.
     """
-    sizes = sample.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_parts"))
-    blocked = sample.select("region", "pixel_id", "spectrum", "out").join(sizes, "region").withColumn(
-        "_blk", F.pmod(F.xxhash64("pixel_id"), F.col("_parts")).cast("int")
+    rows = sample.select("region", "pixel_id", *SPACES)
+    sizes = small_side(rows.groupBy("region").agg(F.count(F.lit(1)).alias("_n")))
+    large = sizes.where(F.col("_n") > PIXELS_IN_TASK)
+
+    def rank(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pixel_id")
+        ids, n = pdf["pixel_id"].to_numpy(), len(pdf)
+        values = [stack(pdf[c]) for c in SPACES]
+        found = []
+        for low in range(0, n, 256):
+            own = np.arange(low, min(low + 256, n))
+            position = []
+            for x, metric in zip(values, metrics):
+                gap = distance_matrix(x, x[own], metric).T
+                gap[np.arange(len(own)), own] = -1.0
+                order = np.argsort(gap, axis=1, kind="stable")
+                place = np.empty_like(order)
+                np.put_along_axis(place, order, np.arange(n)[None, :], axis=1)
+                position.append(place)
+            near = np.minimum(*position) <= k
+            near[np.arange(len(own)), own] = False
+            i, j = np.nonzero(near)
+            found.append(pd.DataFrame({
+                "region": pdf["region"].iloc[0], "i": ids[own[i]], "j": ids[j], "rank_in": position[0][i, j],
+                "rank_out": position[1][i, j], "n": n,
+            }))
+        return pd.concat(found)
+
+    small = rows.join(large, "region", "left_anti").groupBy("region").applyInPandas(rank, _RANKS)
+    if not large.limit(1).count():
+        return small
+    return small.unionByName(_counted_ranks(rows.join(large, "region"), k, metrics))
+
+
+def _counted_ranks(rows: DataFrame, k: int, metrics: tuple[str, str]) -> DataFrame:
+    """The same rows for regions of any size: rows(region, pixel_id, spectrum, out, _n).
+
+    1. The k nearest pixels in either space, exactly.
+    2. A neighbour in one space needs its rank in the other: blocks of pixels meet and measure these distances.
+    3. Blocks meet again and count, for each pixel and each of its at most k such distances per space, how many pixels of the
+       other block are nearer. Spark adds the counts up. No row holds more than k distances, whatever the region's size.
+    """
+    rows = cut_lineage(rows.withColumn("_parts", F.ceil(F.col("_n") / RANK_BLOCK).cast("int")))
+    near = None
+    for space, column, metric in zip((0, 1), SPACES, metrics):
+        one = knn(rows.select("region", "pixel_id", F.col(column).alias("vector")), k, metric).select(
+            "region", "i", "j", F.lit(space).alias("space"), F.col("rank").cast("long").alias("rank")
+        )
+        near = one if near is None else near.unionByName(one)
+    both = near.groupBy("region", "i", "j").agg(*[F.max(F.when(F.col("space") == s, F.col("rank"))).alias(f"r{s}") for s in (0, 1)])
+    both = cut_lineage(both)
+    open_ = both.where("r0 IS NULL OR r1 IS NULL").select("region", "i", "j", F.when(F.col("r0").isNull(), 0).otherwise(1).alias("space"))
+    asked = open_.groupBy("region", F.col("i").alias("pixel_id")).agg(
+        *[F.collect_list(F.when(F.col("space") == s, F.col("j"))).alias(f"j{s}") for s in (0, 1)]
     )
-    others = F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))
-    cols = ["region", "pixel_id", "spectrum", "out"]
-    queries = blocked.select(*cols, F.col("_blk").alias("q"), others.alias("d"), F.lit(0).alias("role"))
-    data = blocked.select(*cols, others.alias("q"), F.col("_blk").alias("d"), F.lit(1).alias("role"))
-
-    def gaps(pdf: pd.DataFrame) -> pd.DataFrame:
-        q, d = pdf[pdf["role"] == 0], pdf[pdf["role"] == 1]
-        if not len(q) or not len(d):
-            return pd.DataFrame({"region": [], "i": [], "ids": [], "d_in": [], "d_out": []})
-        found = [distance_matrix(stack(q[c]), stack(d[c]), m) for c, m in zip(("spectrum", "out"), metrics)]
-        return pd.DataFrame({
-            "region": pdf["region"].iloc[0], "i": q["pixel_id"].to_numpy(),
-            "ids": [d["pixel_id"].to_numpy()] * len(q), "d_in": list(found[0]), "d_out": list(found[1]),
-        })
-
-    parts = queries.unionByName(data).groupBy("region", "q", "d").applyInPandas(
-        gaps, "region int, i long, ids array<long>, d_in array<double>, d_out array<double>"
+    ids = [f"j{s}" for s in (0, 1)]
+    gaps = cut_lineage(_block_pairs(rows, asked, ids, _measure(metrics), "region int, i long, j long, space int, gap double"))
+    limits = gaps.groupBy("region", F.col("i").alias("pixel_id")).agg(*[
+        F.sort_array(F.collect_list(F.when(F.col("space") == s, F.struct("gap", "j")))).alias(f"t{s}") for s in (0, 1)
+    ]).select("region", "pixel_id", *[F.col(f"t{s}.{c}").alias(f"{c}{s}") for s in (0, 1) for c in ("gap", "j")])
+    counted = _block_pairs(
+        rows, limits, [f"{c}{s}" for s in (0, 1) for c in ("gap", "j")], _count(metrics), "region int, i long, j array<long>, space int, nearer array<int>"
+    ).select("region", "i", "space", F.explode(F.arrays_zip("j", "nearer")).alias("e")).groupBy("region", "i", F.col("e.j").alias("j")).agg(
+        F.max("space").alias("space"), (F.sum("e.nearer") + 1).alias("rank")
     )
-    rows = parts.groupBy("region", "i").agg(
-        *[F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("ids", c))), lambda e: e[c])).alias(c)
-          for c in ("d_in", "d_out")],
-        F.flatten(F.sort_array(F.collect_list("ids"))).alias("ids"),
+    sizes = small_side(rows.select("region", F.col("_n").alias("n")).distinct())
+    return both.join(counted, ["region", "i", "j"], "left").join(sizes, "region").select(
+        "region", "i", "j", F.coalesce("r0", "rank").alias("rank_in"), F.coalesce("r1", "rank").alias("rank_out"), "n"
     )
 
-    def rank(batches):
-        for pdf in batches:
-            for region, i, ids, d_in, d_out in zip(pdf["region"], pdf["i"], pdf["ids"], pdf["d_in"], pdf["d_out"]):
-                found = []
-                for gap in (d_in, d_out):
-                    order = np.lexsort((ids, np.where(ids == i, -1.0, gap)))
-                    position = np.empty(len(ids), dtype=np.int64)
-                    position[order] = np.arange(len(ids))
-                    found.append(position)
-                near = np.flatnonzero(((found[0] <= k) | (found[1] <= k)) & (ids != i))
-                yield pd.DataFrame({
-                    "region": region, "i": i, "j": ids[near], "rank_in": found[0][near],
-                    "rank_out": found[1][near], "n": len(ids),
-                })
 
-    return rows.mapInPandas(rank, "region int, i long, j long, rank_in long, rank_out long, n long")
+def _block_pairs(rows: DataFrame, asked: DataFrame, columns: list[str], work, schema: str) -> DataFrame:
+    """Apply ``work(queries, data)`` to each pair of blocks; queries carry the columns of ``asked``."""
+    blocked = rows.withColumn("_blk", F.pmod(F.xxhash64("pixel_id"), F.col("_parts")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))
+    names = ["region", "pixel_id", *SPACES]
+    queries = blocked.join(asked, ["region", "pixel_id"]).select(*names, *columns, F.col("_blk").alias("q"), every.alias("d"), F.lit(0).alias("role"))
+    data = blocked.select(*names, every.alias("q"), F.col("_blk").alias("d"), F.lit(1).alias("role"))
+    empty = pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        q, d = pdf[pdf["role"] == 0], pdf[pdf["role"] == 1].sort_values("pixel_id")
+        return work(q, d) if len(q) and len(d) else empty
+
+    return queries.unionByName(data, allowMissingColumns=True).groupBy("region", "q", "d").applyInPandas(meet, schema)
+
+
+def _measure(metrics):
+    def work(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
+        ids, found = d["pixel_id"].to_numpy(), []
+        for space, (column, metric) in enumerate(zip(SPACES, metrics)):
+            wanted = q[f"j{space}"].to_numpy()
+            row = np.repeat(np.arange(len(q)), [len(w) for w in wanted])
+            j = np.concatenate([np.asarray(w, np.int64) for w in wanted])
+            at = np.minimum(np.searchsorted(ids, j), len(ids) - 1)
+            here = ids[at] == j
+            gap = distance_matrix(stack(q[column]), stack(d[column]), metric)
+            found.append(pd.DataFrame({
+                "region": q["region"].iloc[0], "i": q["pixel_id"].to_numpy()[row[here]], "j": j[here], "space": space, "gap": gap[row[here], at[here]],
+            }))
+        return pd.concat(found)
+
+    return work
+
+
+def _count(metrics):
+    def work(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
+        ids, out = d["pixel_id"].to_numpy(), []
+        for space, (column, metric) in enumerate(zip(SPACES, metrics)):
+            gap = distance_matrix(stack(q[column]), stack(d[column]), metric)
+            for i, own, limit, j in zip(q["pixel_id"], gap, q[f"gap{space}"], q[f"j{space}"]):
+                if not len(limit):
+                    continue
+                limit, j = np.asarray(limit, float), np.asarray(j, np.int64)
+                order = np.argsort(own, kind="stable")
+                order = order[ids[order] != i]
+                sorted_gap, sorted_id = own[order], ids[order]  # by distance, then id
+                nearer = np.searchsorted(sorted_gap, limit, "left")
+                for t in np.flatnonzero(np.searchsorted(sorted_gap, limit, "right") > nearer):  # equal distances: by id
+                    same = slice(nearer[t], np.searchsorted(sorted_gap, limit[t], "right"))
+                    nearer[t] += np.searchsorted(sorted_id[same], j[t], "left")
+                out.append((i, j, space, nearer.astype(np.int32)))
+        return pd.DataFrame(out, columns=["i", "j", "space", "nearer"]).assign(region=q["region"].iloc[0])[["region", "i", "j", "space", "nearer"]]
+
+    return work
 
 
 def trustworthiness(ranks: DataFrame, k: int) -> DataFrame:

@@ -173,7 +173,7 @@ def test_benchmark_question_runs_every_method_and_keeps_seconds(spark, monkeypat
 
     asked = []
     monkeypatch.setattr(methods, "METHODS", {name: one for name in methods.METHODS})
-    monkeypatch.setattr(methods, "score_image", lambda spectra, image, pairs, k: asked.append((pairs, k)) or image.select(
+    monkeypatch.setattr(methods, "score_image", lambda spectra, image, pairs, k, **shared: asked.append((pairs, k)) or image.select(
         "region", F.lit("lcmc").alias("metric"), F.lit(0.0).alias("value")).distinct())
     board = catalog.QUERIES["benchmark_methods"](spark, SF)
     assert set(asked) == {(30000, 100)} and len(asked) == len(methods.METHODS)

@@ -216,13 +216,37 @@ def test_knn_with_a_third_of_equal_points(spark, metric):
 def test_identity_picture_is_fully_trustworthy(spark):
     cube = sparse_cube(np.random.default_rng(2), 5, 6, 4, 0.1) + 0.1
     sample = cube_frame(spark, {0: cube}).withColumn("out", F.col("spectrum"))
-    ranks = metrics.neighbour_ranks(sample, 5, block=7)
+    ranks = metrics.neighbour_ranks(sample, 5)
     assert metrics.trustworthiness(ranks, 5).first()["trustworthiness"] == pytest.approx(1.0)
     scores = metrics.mrre(ranks, 5).first()
     assert (scores["mrre_false"], scores["mrre_missing"]) == (1.0, 1.0)
     assert metrics.lcmc(ranks, 5).first()["lcmc"] == pytest.approx(1 - 5 / 29)
 
 
+def test_neighbour_ranks_in_one_task_and_by_counting(spark, monkeypatch):
+    """Against all ranks in NumPy, with many equal distances in both spaces."""
+    rng = np.random.default_rng(4)
+    a, b = rng.integers(0, 3, (60, 3)).astype(float), rng.integers(0, 4, (60, 2)).astype(float)
+    rows = [(0, 7 * i % 60, a[i].tolist(), b[i].tolist()) for i in range(60)]
+    sample = spark.createDataFrame(rows, "region int, pixel_id long, spectrum array<double>, out array<double>")
+    ids = np.array([r[1] for r in rows])
+    ranks = []
+    for values, metric in ((a, "chebyshev"), (b, "euclidean")):
+        gap = neighbors.distance_matrix(values, values, metric)
+        np.fill_diagonal(gap, -1)
+        place = np.empty((60, 60), int)
+        for i in range(60):
+            place[i, np.lexsort((ids, gap[i]))] = np.arange(60)
+        ranks.append(place)
+    want = {(0, ids[i], ids[j], ranks[0][i, j], ranks[1][i, j], 60) for i in range(60) for j in range(60)
+            if i != j and min(ranks[0][i, j], ranks[1][i, j]) <= 6}
+    monkeypatch.setattr(metrics, "RANK_BLOCK", 25)
+    for limit in (4096, 10):
+        monkeypatch.setattr(metrics, "PIXELS_IN_TASK", limit)
+        got = metrics.neighbour_ranks(sample, 6, ("chebyshev", "euclidean")).collect()
+        assert len(got) == len(want) and set(map(tuple, got)) == want
+
+
 def test_samples_do_not_depend_on_partitions(spark):
     pixels = cube_frame(spark, {0: sparse_cube(np.random.default_rng(0), 12, 11, 3)})
     for draw in (
