@@ -26,8 +26,11 @@ from pyspark.sql import functions as F
 from ionloom.llm import textbatch as tb
 
 NEVER = np.int64(1) << 40
-#: Distinct words whose ids a worker remembers between batches.
-REMEMBERED = 200_000
+#: Bytes of distinct words and their ids that a worker remembers between batches, and what an entry takes besides.
+REMEMBERED = 56 << 20
+ENTRY = 130
+#: Bytes of texts encoded at once.
+SLICE_BYTES = 2 << 20
 #: Failing words of up to this many bytes are merged in step, in groups of similar length.
 LONG_WORD = 64
 WORD_WIDTHS = (0, 8, 12, 16, 24, 40, LONG_WORD)
@@ -139,6 +142,7 @@ class Vocabulary:
         for exact, i in zip(self.merge_many(pa.array(names, pa.binary())), numbers):
             self.sound[i] = exact == i.tobytes()
         self.remembered: dict[bytes, bytes] = {}
+        self.remembered_bytes = 0
 
     def _trie(self) -> None:
         nodes = {b"": 0}
@@ -326,10 +330,13 @@ class Vocabulary:
         """Ids of distinct words as (offsets, ids), with a memory of words seen in earlier batches."""
         keys = cells.to_pylist()
         new = [k for k in keys if k not in self.remembered]
-        if len(self.remembered) + len(new) > REMEMBERED:
-            self.remembered, new = {}, keys
+        size = sum(map(len, new)) * 3 + ENTRY * len(new)  # ids take about two bytes a byte of text
+        if self.remembered_bytes + size > REMEMBERED:
+            self.remembered, self.remembered_bytes, new = {}, 0, keys
+            size = sum(map(len, new)) * 3 + ENTRY * len(new)
         if new:
             self.remembered.update(zip(new, self.encode_words(pa.array(new, pa.binary()))))
+            self.remembered_bytes += size
         parts = [self.remembered[k] for k in keys]
         offsets = np.zeros(len(parts) + 1, np.int64)
         np.cumsum([len(p) // 4 for p in parts], out=offsets[1:])
@@ -393,7 +400,7 @@ def encoder(path: str):
     @F.arrow_udf("array<int>")
     def ids(column: pa.Array) -> pa.Array:
         model = vocabulary(spec)
-        out = [tb.list_array(*model.encode([t or "" for t in part.to_pylist()]), pa.int32()) for part in tb.slices(column)]
+        out = [tb.list_array(*model.encode([t or "" for t in part.to_pylist()]), pa.int32()) for part in tb.slices(column, SLICE_BYTES)]
         return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int32()))
 
     return ids

@@ -26,8 +26,10 @@ from pyspark.sql import types as T
 
 from ionloom.llm import bpe
 from ionloom.llm import textbatch as tb
-from ionloom.session import scratch_folder
+from ionloom.session import scratch_folder, settings
 
+#: Bytes of texts, or of chunks, that travel to a task's Python worker at once.
+BATCH_BYTES = 4 << 20
 CHUNK_IDS = 1 << 18
 BLOCK_IDS = 1 << 16
 
@@ -106,15 +108,19 @@ def write(df: DataFrame, folder: str, key: str = "doc_id", ids: str = "ids", end
             if lists.null_count:
                 lists = pc.fill_null(lists, pa.scalar([], lists.type))
             place = lists.offsets.to_numpy()
-            flat = lists.values.to_numpy(zero_copy_only=False)
-            for i in range(len(lists)):
-                own = np.empty(place[i + 1] - place[i] + 1, "<u4")
-                own[:-1] = flat[place[i] : place[i + 1]]
-                own[-1] = end_id
-                keys.append(batch.column(0).slice(i, 1))
-                sizes.append(len(own))
-                parts.append(own)
-                waiting += len(own)
+            flat = lists.values.to_numpy(zero_copy_only=False)[place[0] : place[-1]]
+            counts = np.diff(place)
+            ends = np.cumsum(counts + 1)
+            data = np.full(ends[-1] if len(ends) else 0, end_id, "<u4")
+            data[np.arange(len(flat)) + np.repeat(np.arange(len(counts)), counts)] = flat
+            i = base = 0
+            while i < len(lists):  # rows up to the one that fills the chunk
+                upto = min(int(np.searchsorted(ends, base + CHUNK_IDS - waiting)) + 1, len(lists))
+                keys.append(batch.column(0).slice(i, upto - i))
+                sizes.extend((counts[i:upto] + 1).tolist())
+                parts.append(data[base : ends[upto - 1]])
+                waiting += int(ends[upto - 1]) - base
+                i, base = upto, int(ends[upto - 1])
                 if waiting >= CHUNK_IDS:
                     yield row()
                     chunk, first, waiting = chunk + 1, first + waiting, 0
@@ -155,8 +161,8 @@ def read(spark: SparkSession, folder: str, key: str = "doc_id", raw: bool = Fals
                     [keys.values, pa.array(place[:-1] + at.as_py()), pa.array(own), held], names=schema.names
                 )
 
-    # a chunk is about a megabyte of ids, so few of them travel together
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    # a chunk is about a megabyte of ids: few of them travel together. A bound in bytes changes no other query's result
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return files.join(F.broadcast(bases), "shard").select(
         (F.col("first") + F.col("_base")).alias("at"), "n_ids", "keys", "sizes", "frame_ends", "payload"
     ).mapInArrow(documents, schema)
@@ -167,5 +173,8 @@ def store(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "te
     spark = docs.sparkSession
     folder = scratch_folder(spark, "token-files")
     ordered = in_order(docs.select(key, text), key, F.xxhash64(text))
-    write(bpe.encode(ordered, vocabulary, text, "_ids"), folder, key, "_ids", end_id, bits)
+    encoded = bpe.encode(ordered, vocabulary, text, "_ids")
+    # batches by bytes: enough short texts at once that a word is looked up once for many of them
+    with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch="10000", spark__sql__execution__arrow__maxBytesPerBatch=str(BATCH_BYTES)):
+        write(encoded, folder, key, "_ids", end_id, bits)
     return folder
