@@ -27,8 +27,8 @@ from ionloom.llm import textbatch as tb
 
 NEVER = np.int64(1) << 40
 #: Bytes of distinct words and their ids that a worker remembers between batches, and what an entry takes besides.
-REMEMBERED = 56 << 20
-ENTRY = 130
+REMEMBERED = 40 << 20
+ENTRY = 200
 #: Bytes of texts encoded at once.
 SLICE_BYTES = 2 << 20
 #: Failing words of up to this many bytes are merged in step, in groups of similar length.
