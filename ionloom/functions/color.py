@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ionloom.functions.spectrum import let
+
 # sRGB primaries to XYZ (D65), its inverse, the white point and the CIE thresholds
 RGB_TO_XYZ = (
     (0.412453, 0.357580, 0.180423),
@@ -46,18 +48,26 @@ def rgb_to_lab(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]
     return lightness, (f(x) - f(y)) * 500, (f(y) - f(z)) * 200
 
 
-def _lab_to_linear(lightness: Column, a: Column, b: Column) -> list[Column]:
-    y = F.when(lightness <= CIE_LIMIT * CIE_KAPPA, lightness / CIE_KAPPA).otherwise(
-        F.pow((lightness + 16) / 116, F.lit(3.0))
-    )
-    fy = F.when(lightness <= CIE_LIMIT * CIE_KAPPA, y * CIE_SLOPE + 16 / 116).otherwise((lightness + 16) / 116)
-
+def _lab_to_linear(lightness: Column, a: Column, b: Column) -> Column:
+    """Linear red, green and blue in 0..1 as one array. Each step is worked out once and handed on, so the code
+    generated for three channels stays small."""
     def back(t):
         limit = CIE_SLOPE * CIE_LIMIT + 16 / 116
         return F.when(t <= limit, (t - 16 / 116) / CIE_SLOPE).otherwise(t * t * t)
 
-    x, z = back(fy + a / 500) * WHITE[0], back(fy - b / 200) * WHITE[2]
-    return [F.least(F.greatest(r[0] * x + r[1] * y + r[2] * z, F.lit(0.0)), F.lit(1.0)) for r in XYZ_TO_RGB]
+    def from_lab(lab):
+        dark = lab[0] <= CIE_LIMIT * CIE_KAPPA
+        y = F.when(dark, lab[0] / CIE_KAPPA).otherwise(F.pow((lab[0] + 16) / 116, F.lit(3.0)))
+        fy = F.when(dark, lab[0] / CIE_KAPPA * CIE_SLOPE + 16 / 116).otherwise((lab[0] + 16) / 116)
+        return let(F.array(y, fy, fy + lab[1] / 500, fy - lab[2] / 200), from_steps)
+
+    def from_steps(t):
+        return let(F.array(back(t[2]) * WHITE[0], t[0], back(t[3]) * WHITE[2]), from_xyz)
+
+    def from_xyz(c):
+        return F.array(*[F.least(F.greatest(r[0] * c[0] + r[1] * c[1] + r[2] * c[2], F.lit(0.0)), F.lit(1.0)) for r in XYZ_TO_RGB])
+
+    return let(F.array(lightness, a, b), from_lab)
 
 
 def byte_lab(l8: Column, a8: Column, b8: Column) -> tuple[Column, Column, Column]:
@@ -72,14 +82,14 @@ def lab_to_byte(lightness: Column, a: Column, b: Column) -> tuple[Column, Column
     return clip(lightness * (255.0 / 100.0)), clip(a + 128), clip(b + 128)
 
 
-def lab_to_rgb(l8: Column, a8: Column, b8: Column) -> list[Column]:
-    """8-bit LAB to 8-bit sRGB."""
-    return [F.rint(_compress(c) * 255).cast("int") for c in _lab_to_linear(*byte_lab(l8, a8, b8))]
+def lab_to_rgb(l8: Column, a8: Column, b8: Column) -> Column:
+    """8-bit LAB to an array of 8-bit sRGB."""
+    return F.transform(_lab_to_linear(*byte_lab(l8, a8, b8)), lambda c: F.rint(_compress(c) * 255).cast("int"))
 
 
-def lab_to_linear_rgb(l8: Column, a8: Column, b8: Column) -> list[Column]:
-    """8-bit LAB to 8-bit linear RGB."""
-    return [F.rint(c * 255).cast("int") for c in _lab_to_linear(*byte_lab(l8, a8, b8))]
+def lab_to_linear_rgb(l8: Column, a8: Column, b8: Column) -> Column:
+    """8-bit LAB to an array of 8-bit linear RGB."""
+    return F.transform(_lab_to_linear(*byte_lab(l8, a8, b8)), lambda c: F.rint(c * 255).cast("int"))
 
 
 def gray(r: Column, g: Column, b: Column) -> Column:

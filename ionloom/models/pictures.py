@@ -41,9 +41,10 @@ def top3_levels(spectra: DataFrame, power: float = 1.0, p: float = 0.999) -> Dat
 
 
 def _painted(levels: DataFrame, convert) -> DataFrame:
+    """Colours of the three levels; ``convert`` gives them as one array, which is worked out once a pixel."""
     colours = convert(F.col("c0").cast("double"), F.col("c1").cast("double"), F.col("c2").cast("double"))
-    return levels.select(
-        *PLACE, *[F.when(F.col("empty"), 0).otherwise(v).alias(f"c{i}") for i, v in enumerate(colours)]
+    return levels.withColumn("_rgb", colours).select(
+        *PLACE, *[F.when(F.col("empty"), 0).otherwise(F.col("_rgb")[i]).alias(f"c{i}") for i in range(3)]
     )
 
 
@@ -84,7 +85,7 @@ def image_of(embedding: DataFrame, spectra: DataFrame, channels: list[str], lab:
         *PLACE, (~F.col("_in")).alias("empty"),
         *[S.to_byte(F.coalesce(F.col(c), F.lit(0.0))).alias(f"c{i}") for i, c in enumerate(channels)],
     )
-    return _painted(levels, C.lab_to_rgb if lab else lambda *c: [v.cast("int") for v in c])
+    return _painted(levels, C.lab_to_rgb if lab else lambda *c: F.array(*[v.cast("int") for v in c]))
 
 
 def component_scores(pixels: DataFrame, column: str = "scores") -> DataFrame:

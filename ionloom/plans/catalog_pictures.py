@@ -109,15 +109,15 @@ BACK_SQL = """
     f"CAST(round_even(CASE WHEN {n} <= 0.0031308 THEN {n} * 12.92 ELSE pow({n}, CAST(1 AS DOUBLE) / 2.4) * 1.055 - 0.055 END * 255, 0) AS INTEGER) AS c{i}"
     for i, n in enumerate("rgb")) + " FROM ll"))
 def lab_to_rgb(spark, sf):
-    colours = K.lab_to_rgb(*[F.col(c).cast("double") for c in CH])
-    return I.image(I.spectra(spark, sf)).select("region", "pixel_id", *[v.alias(c) for v, c in zip(colours, CH)])
+    image = I.image(I.spectra(spark, sf)).withColumn("_rgb", K.lab_to_rgb(*[F.col(c).cast("double") for c in CH]))
+    return image.select("region", "pixel_id", *[F.col("_rgb")[i].alias(c) for i, c in enumerate(CH)])
 
 
 @query("lab_to_linear_rgb", sql("image", then=BACK_SQL + "SELECT region, pixel_id, " + ", ".join(
     f"CAST(round_even({n} * 255, 0) AS INTEGER) AS c{i}" for i, n in enumerate("rgb")) + " FROM ll"))
 def lab_to_linear_rgb(spark, sf):
-    colours = K.lab_to_linear_rgb(*[F.col(c).cast("double") for c in CH])
-    return I.image(I.spectra(spark, sf)).select("region", "pixel_id", *[v.alias(c) for v, c in zip(colours, CH)])
+    image = I.image(I.spectra(spark, sf)).withColumn("_rgb", K.lab_to_linear_rgb(*[F.col(c).cast("double") for c in CH]))
+    return image.select("region", "pixel_id", *[F.col("_rgb")[i].alias(c) for i, c in enumerate(CH)])
 
 
 @query("ion_heat_color", sql("image", then="""
@@ -792,25 +792,29 @@ def outlier_score(spark, sf):
     return M.outlier_score(I.spectra(spark, sf), 100).select("region", "pixel_id", r6("score", "score"))
 
 
-@query("pixel_pair_distances", sql("spectra", then=REFERENCE.format(n=20) + f"""
+# Fixed value: reference points of a region
+POINTS = 500
+
+
+@query("pixel_pair_distances", sql("spectra", then=REFERENCE.format(n=POINTS) + f"""
 SELECT a.region, a.pixel_id, b.pixel_id AS reference_id, round(CASE WHEN list_max(a.spectrum) > 0 THEN {COS_SQL} ELSE 1 END, 6) AS cosine, round({LINF_SQL}, 6) AS maxabs
 FROM spectra a JOIN rf b ON a.region = b.region"""))
 def pixel_pair_distances(spark, sf):
     pixels = I.spectra(spark, sf)
-    sample = sampling.random_sample(pixels, 20).where(S.is_foreground(F.col("spectrum")))
+    sample = sampling.random_sample(pixels, POINTS).where(S.is_foreground(F.col("spectrum")))
     return M.pixel_reference_distances(pixels, sample).select(
         "region", "pixel_id", "reference_id", r6("cosine", "cosine"), r6("maxabs", "maxabs")
     )
 
 
-@query("reference_rank_per_pixel", sql("spectra", then=REFERENCE.format(n=20) + f"""
+@query("reference_rank_per_pixel", sql("spectra", then=REFERENCE.format(n=POINTS) + f"""
 , d AS (SELECT a.region, a.pixel_id, b.pixel_id AS reference_id, {COS_SQL} AS cosine, {LINF_SQL} AS maxabs
   FROM spectra a JOIN rf b ON a.region = b.region WHERE list_max(a.spectrum) > 0 AND a.pixel_id <> b.pixel_id)
 SELECT region, pixel_id, reference_id, CAST(row_number() OVER (PARTITION BY region, pixel_id ORDER BY cosine, reference_id) - 1 AS INTEGER) AS cosine_rank,
   CAST(greatest(row_number() OVER (PARTITION BY region, pixel_id ORDER BY cosine, reference_id), row_number() OVER (PARTITION BY region, pixel_id ORDER BY maxabs, reference_id)) - 1 AS INTEGER) AS max_rank FROM d"""))
 def reference_rank_per_pixel(spark, sf):
     pixels = I.spectra(spark, sf).where(S.is_foreground(F.col("spectrum")))
-    sample = sampling.random_sample(I.spectra(spark, sf), 20).where(S.is_foreground(F.col("spectrum")))
+    sample = sampling.random_sample(I.spectra(spark, sf), POINTS).where(S.is_foreground(F.col("spectrum")))
     gaps = M.pixel_reference_distances(pixels, sample).where("pixel_id <> reference_id")
     return M.reference_rank_per_pixel(gaps)
 
