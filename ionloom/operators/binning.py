@@ -18,6 +18,12 @@ def _sum_bins(binned: DataFrame, column: str) -> DataFrame:
     return binned.groupBy(*PIXEL_XY, column).agg(F.sum("intensity").alias("intensity"))
 
 
+def peak_spectra(peaks: DataFrame) -> DataFrame:
+    """One row per pixel with its peaks in ascending m/z: (region, y, x, mz ARRAY, intensity ARRAY). Peaks without m/z are left out."""
+    listed = peaks.where("mz IS NOT NULL").groupBy(*PIXEL_XY).agg(F.sort_array(F.collect_list(F.struct("mz", "intensity"))).alias("_peaks"))
+    return listed.select(*PIXEL_XY, F.col("_peaks.mz").alias("mz"), F.col("_peaks.intensity").alias("intensity"))
+
+
 def bin_peaks(peaks: DataFrame, min_mz: float, max_mz: float, bins_per_mz: int) -> DataFrame:
     """Round half to even onto the grid; peaks outside the grid are left out, shared bins are summed."""
     count = bins_per_mz * round(max_mz - min_mz + 1)

@@ -37,6 +37,24 @@ def read_cube(spark, sf):
     return back.select("region", "y", "x", "pixel_id", r6(S.total(F.col("spectrum").cast("array<double>")), "total", 4))
 
 
+@query("read_imzml", sql("peaks", then="""
+SELECT region, y, x, count(*) AS n_peaks, round(min(mz), 4) AS first_mz, round(max(mz), 4) AS last_mz, round(sum(mz), 4) AS sum_mz,
+  round(sum(CAST(CAST(intensity AS FLOAT) AS DOUBLE)), 3) AS total
+FROM peaks GROUP BY region, y, x"""))
+def read_imzml(spark, sf):
+    """The peaks of every pixel are written as imzML pairs by the tasks and read back by byte ranges of the index."""
+    folder = scratch_folder(spark, "imzml")
+    datasources.register(spark)
+    pixels = binning.peak_spectra(I.peaks(spark, sf).withColumn("intensity", F.col("intensity").cast("float")))
+    pixels.write.format("imzml").mode("append").save(folder)
+    back = spark.read.format("imzml").option("bytes", 1 << 20).load(folder)
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, v: a + v)
+    return back.select(
+        "region", "y", "x", F.size("mz").cast("long").alias("n_peaks"), r6(F.array_min("mz"), "first_mz", 4),
+        r6(F.array_max("mz"), "last_mz", 4), r6(total("mz"), "sum_mz", 4), r6(total(F.col("intensity").cast("array<double>")), "total", 3),
+    )
+
+
 @query("write_cube", sql("ions", then="SELECT region, pixel_id, round(sum(v), 6) AS total FROM ions GROUP BY ALL"))
 def write_cube(spark, sf):
     folder = scratch_folder(spark, "cube")

@@ -1,4 +1,9 @@
+import hashlib
+import os
+import uuid
+
 import numpy as np
+import pytest
 from helpers import cube_frame, sparse_cube
 from pyspark.sql import functions as F
 
@@ -62,6 +67,49 @@ def test_imzml_reads_byte_ranges(spark, tmp_path):
     assert {(r["height"], r["width"]) for r in rebased.collect()} == {(2, 3)}
 
 
+@pytest.mark.parametrize("size", [3000, 1 << 20])
+def test_imzml_written_by_tasks_is_read_by_byte_ranges(spark, tmp_path, size):
+    rng = np.random.default_rng(3)
+    spectra = {(r, y, x): (rng.uniform(300, 900, n).tolist(), rng.integers(0, 99, n).astype(float).tolist())
+               for r in (0, 7) for y in range(3) for x in range(5) for n in [int(rng.integers(0, 6))]}
+    rows = [(*k, *v) for k, v in spectra.items()]
+    datasources.register(spark)
+    frame = spark.createDataFrame(rows, datasources.PEAKS_SCHEMA).repartition(3)
+    folder = str(tmp_path / "cube")
+    frame.write.format("imzml").mode("append").save(folder)
+    names = os.listdir(folder)
+    assert not [n for n in names if n.startswith("_")] and len(names) == 2 * 2 * 3
+    reader = spark.read.format("imzml").option("bytes", size)
+    back = reader.load(folder)
+    assert sorted((r["region"], r["y"], r["x"], tuple(r["mz"]), tuple(r["intensity"])) for r in back.collect()) == sorted(
+        (*k, tuple(mz), tuple(v)) for k, (mz, v) in spectra.items()
+    )
+    one = next(os.path.join(folder, n) for n in sorted(names) if n.endswith(".imzML"))
+    text, data = open(one).read(), open(one[:-6] + ".ibd", "rb").read()
+    assert hashlib.sha1(data).hexdigest() in text and uuid.UUID(bytes=data[:16]).hex in text.replace("-", "")
+    whole = sorted(map(str, datasources.imzml_index(one)))
+    assert whole == sorted(str(e) for s in range(0, len(text), size // 40) for e in datasources.imzml_range(one, s, min(s + size // 40, len(text))))
+    assert len(whole) == int(text.split('spectrumList count="')[1][:10])
+    frame.limit(4).write.format("imzml").mode("overwrite").save(folder)
+    assert reader.load(folder).count() == 4
+
+
+def test_imzml_failed_and_empty_writes(spark, tmp_path):
+    datasources.register(spark)
+    folder = tmp_path / "cube"
+    bad = spark.createDataFrame([(0, 0, 0, [1.0], [1.0]), (0, 0, 1, [1.0, 2.0], [1.0])], datasources.PEAKS_SCHEMA).coalesce(1)
+    with pytest.raises(Exception, match="differ in length"):
+        bad.write.format("imzml").mode("append").save(str(folder))
+    assert not folder.exists() or not os.listdir(folder)
+    for row in [(None, 0, 0, [1.0], [1.0]), (0, 0, 0, None, [1.0]), (0, 0, 0, [None], [1.0])]:
+        with pytest.raises(Exception, match="imzML"):
+            spark.createDataFrame([row], datasources.PEAKS_SCHEMA).write.format("imzml").mode("append").save(str(folder))
+    bad.limit(0).write.format("imzml").mode("append").save(str(folder))
+    assert spark.read.format("imzml").load(str(folder)).count() == 0
+    peaks = spark.createDataFrame([(0, 1, 2, 5.0, 1.0), (0, 1, 2, 3.0, 2.0), (0, 1, 2, None, 2.0)], "region int, y int, x int, mz double, intensity float")
+    assert [tuple(r) for r in binning.peak_spectra(peaks).collect()] == [(0, 1, 2, [3.0, 5.0], [2.0, 1.0])]
+
+
 def test_cube_and_results_round_trip(spark, tmp_path):
     frame = cube_frame(spark, {0: sparse_cube(np.random.default_rng(0), 3, 3, 4)})
     manifest = spark.createDataFrame(
