@@ -5,13 +5,12 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ionloom.functions import spectrum as S
-from ionloom.models import boosting
+from ionloom.models import boosting, dense
 from ionloom.models.factors import FEATURES, PLACE, featured
 from ionloom.operators.neighbors import stack
 from ionloom.operators.sampling import class_weights, stratified_split
@@ -126,23 +125,14 @@ def pair_classifier(labelled: DataFrame, settings: boosting.Settings = PAIR_SETT
     return named.join(recall, "model").select("category_a", "category_b", "confusion")
 
 
-# Hidden layers of the dense network
-HIDDEN_LAYERS = (256, 128, 64)
+def mlp_segment(labelled: DataFrame, n_mz: int, n_classes: int, settings: dense.Settings = dense.Settings()) -> dense.Dense:
+    """Dense network over spectra with a weight per m/z, on balanced classes."""
+    return dense.fit(labelled, n_mz, n_classes, settings)
 
 
-def mlp_segment(labelled: DataFrame, n_mz: int, n_classes: int, hidden: tuple[int, ...] = HIDDEN_LAYERS,
-                epochs: int = 50, seed: int = 0):
-    """Dense network over spectra."""
-    return MultilayerPerceptronClassifier(
-        layers=[n_mz, *hidden, n_classes], maxIter=epochs, seed=seed, blockSize=128, labelCol="label", featuresCol=FEATURES
-    ).fit(featured(labelled))
-
-
-def class_scores(model, spectra: DataFrame) -> DataFrame:
+def class_scores(model: dense.Dense, spectra: DataFrame) -> DataFrame:
     """Probability of each class per pixel: (region, y, x, pixel_id, scores)."""
-    return model.transform(featured(spectra)).select(
-        "region", "y", "x", "pixel_id", vector_to_array("probability").alias("scores")
-    )
+    return dense.scores(model, spectra)
 
 
 def sparse_mz_select(labelled: DataFrame, n: int = 10, penalty: float = 0.01, iterations: int = 50) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ionloom.functions import spectrum as S
+from ionloom.models import dense as D
 from ionloom.models import factors as M
 from ionloom.models import graph_embed as E
 from ionloom.models import rank_embed as R
@@ -297,6 +298,14 @@ def mlp_segment(spark, sf):
     return C.class_scores(model, pixels).select("region", "pixel_id", S.argmax(F.col("scores")).alias("label"))
 
 
+@query("mlp_mz_rank")
+def mlp_mz_rank(spark, sf):
+    """The ten m/z with the largest input weights of the dense network."""
+    pixels = tic(I.spectra(spark, sf))
+    classes = pixels.agg(F.max("label")).first()[0] + 1
+    return D.top_mz(C.mlp_segment(pixels, I.N_MZ, classes), pixels, 10)
+
+
 @query("sparse_mz_select")
 def sparse_mz_select(spark, sf):
     return C.sparse_mz_select(tic(I.spectra(spark, sf)), 10, 0.001)
