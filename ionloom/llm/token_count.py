@@ -8,8 +8,10 @@ the encoding has gained since. Reading a character gives the next state and the
 whose transitions are annotated with counts. Transitions are compiled when a task first needs them and then kept.
 
 A space after another character brings every state to the same one. A text is cut into chunks of ``CHUNK_BYTES``; a
-chunk becomes a state map (the symbols before its first such point, the count from there on, the exit state), and the
-maps of a text compose, being associative, in a parallel prefix scan over its chunks.
+chunk becomes a state map (entry state -> count and exit state; beyond the first such point both are one value for all
+entries), and the maps of a text compose, being associative, in the up-sweep of a prefix scan over its chunks. An entry
+of a map is worked out when it first occurs and kept, so a chunk is read once for each state it is really entered in and
+the time is linear in the text, also without spaces.
 
 Null and empty texts have 0 tokens. Other columns are kept; columns of the output names are replaced.
 """
@@ -18,7 +20,6 @@ from __future__ import annotations
 
 import heapq
 import struct
-from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -32,8 +33,13 @@ from ionloom.llm import textbatch as tb
 SPACE = "▁"  # stands for a space in pieces
 NORMAL, BYTE = 1, 6
 CHUNK_BYTES = 1 << 16
-#: A worker forgets its compiled transitions and segments beyond these numbers and compiles again what it meets.
-MOST_TRANSITIONS, MOST_SEGMENTS = 1_500_000, 300_000
+#: A worker forgets its compiled transitions and states, or its segments, beyond these bounds and compiles again what it meets.
+MOST_TRANSITIONS, MOST_STATES = 1_500_000, 300_000
+SEGMENT_MEMORY, ENTRY_BYTES = 48 << 20, 150
+
+
+def _symbols(raw: bytes) -> str:
+    return raw.decode("utf-8", "replace").replace(" ", SPACE)
 
 
 def _fields(data: bytes):
@@ -80,14 +86,31 @@ def read_pieces(model: bytes) -> list[tuple[str, float, int]]:
     return pieces
 
 
-@dataclass(frozen=True)
-class StateMap:
-    """What a chunk does to the state: it reads ``head`` from any entry state, then counts ``count`` and ends in ``exit``."""
+class ChunkMap:
+    """State map of one chunk: reads ``head`` from the entry state; a synchronized chunk then counts ``count`` and ends in ``exit``."""
+
+    def __init__(self, machine: Transducer, head: str, count: int = 0, exit: tuple | None = None):
+        self.machine, self.head, self.count, self.exit, self.known = machine, head, count, exit, {}
+
+    def __call__(self, entry: tuple) -> tuple[int, tuple]:
+        if entry not in self.known:
+            count, state = self.machine.run(self.machine._state(entry), self.head)
+            self.known[entry] = count + self.count, self.machine.states[state] if self.exit is None else self.exit
+        return self.known[entry]
 
-    head: str
-    synced: bool
-    count: int = 0
-    exit: int = 0
+
+class Composed:
+    """First the map ``f``, then ``g``."""
+
+    def __init__(self, f, g):
+        self.f, self.g, self.known = f, g, {}
+
+    def __call__(self, entry: tuple) -> tuple[int, tuple]:
+        if entry not in self.known:
+            before, state = self.f(entry)
+            after, state = self.g(state)
+            self.known[entry] = before + after, state
+        return self.known[entry]
 
 
 class Transducer:
@@ -118,18 +141,19 @@ class Transducer:
             self.token[node] = p
         if any(c not in self.sound for c in self.children[0]):
             raise ValueError("a character of the pieces is no piece itself")
-        self.free: tuple = ()
+        self.first = ((0, (), 0),)
         self.borders: dict[str, tuple] = {}
         self.lefts: dict[str, list] = {}
         self.apart: dict[tuple, bool] = {}
+        self.segments: dict[bytes, int] = {}
+        self.segment_bytes = 0
         self.forget()
 
     def forget(self) -> None:
         self.states: list[tuple] = []
         self.number: dict[tuple, int] = {}
         self.moves: dict[int, tuple[int, int]] = {}
-        self.segments: dict[bytes, tuple[int, int]] = {}
-        self._state(((0, self.free, 0),))
+        self._state(self.first)
 
     def _merge(self, text: str) -> bool:
         """Whether the piece is the encoding of its own characters; notes its last merge."""
@@ -221,43 +245,39 @@ class Transducer:
         return self._state((*items, (0, self.border(piece), 0))), change
 
     def run(self, state: int, text: str) -> tuple[int, int]:
-        """(change of the count, exit state) of reading ``text``."""
+        """(change of the count, exit state) of reading ``text``; state numbers from before the call may be void after it."""
         count, moves = 0, self.moves
         for c in text:
-            key = state << 21 | ord(c)
-            move = moves.get(key)
+            move = moves.get(state << 21 | ord(c))
             if move is None:
-                move = moves[key] = self.compile(state, c)
+                if len(moves) >= MOST_TRANSITIONS or len(self.states) >= MOST_STATES:
+                    here = self.states[state]
+                    self.forget()
+                    state, moves = self._state(here), self.moves
+                move = moves[state << 21 | ord(c)] = self.compile(state, c)
             state = move[0]
             count += move[1]
         return count, state
 
-    def compose(self, f: StateMap, g: StateMap) -> StateMap:
-        """First ``f``, then ``g``."""
-        if not f.synced:
-            return StateMap(f.head + g.head, g.synced, g.count, g.exit)
-        count, state = self.run(f.exit, g.head)
-        return StateMap(f.head, True, f.count + count + g.count, g.exit if g.synced else state)
-
-    def scan(self, maps: list[StateMap]) -> list[StateMap]:
-        """Inclusive prefix scan in log2(n) steps."""
-        step = 1
-        while step < len(maps):
-            maps = [self.compose(maps[i - step], m) if i >= step else m for i, m in enumerate(maps)]
-            step *= 2
-        return maps
-
-    def segment(self, raw: bytes) -> tuple[int, int]:
-        """Count and exit state of a segment that begins at a synchronizing space."""
+    def up_sweep(self, maps: list):
+        """The composition of all maps, by neighbouring pairs in log2(n) rounds."""
+        while len(maps) > 1:
+            maps = [Composed(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+        return maps[0]
+
+    def segment(self, raw: bytes) -> int:
+        """Count of a segment that begins at a synchronizing space."""
         known = self.segments.get(raw)
         if known is None:
-            known = self.segments[raw] = self.run(self.START, raw.decode("utf-8", "replace").replace(" ", SPACE))
+            known = self.run(self.START, _symbols(raw))[0]
+            self.segment_bytes += len(raw) + ENTRY_BYTES
+            if self.segment_bytes > SEGMENT_MEMORY:
+                self.segments, self.segment_bytes = {}, len(raw) + ENTRY_BYTES
+            self.segments[raw] = known
         return known
 
     def counts(self, column: pa.Array) -> np.ndarray:
         """Token counts of whole texts."""
-        if len(self.moves) > MOST_TRANSITIONS or len(self.segments) > MOST_SEGMENTS:
-            self.forget()
         data, offsets = tb.utf8_bytes(pc.replace_substring(column, SPACE, " "))  # to the tokenizer they are the same
         sizes = np.diff(offsets)
         full = np.flatnonzero(sizes)
@@ -283,10 +303,9 @@ class Transducer:
         synced = sync[starts]
         cells = tb.binary_array(np.append(starts, len(data)), data)
         coded = cells.filter(pa.array(synced)).dictionary_encode()
-        known = np.array([self.segment(raw) for raw in coded.dictionary.to_pylist()], np.int64).reshape(-1, 2)
-        index = coded.indices.to_numpy(zero_copy_only=False)
-        own, exits = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
-        own[synced], exits[synced] = known[index, 0], known[index, 1]
+        known = np.array([self.segment(raw) for raw in coded.dictionary.to_pylist()], np.int64)
+        own = np.zeros(len(starts), np.int64)
+        own[synced] = known[coded.indices.to_numpy(zero_copy_only=False)]
         out = np.zeros(len(column), np.int64)
         at = np.searchsorted(starts, firsts)
         out[full] = np.add.reduceat(own, at)
@@ -294,10 +313,13 @@ class Transducer:
             bounds = np.searchsorted(starts, [firsts[i], *places, ends[i]])
             maps = []
             for low, high in zip(bounds, bounds[1:]):
-                head = "" if synced[low] else cells[int(low)].as_py().decode("utf-8", "replace").replace(" ", SPACE)
-                whole = low + (not synced[low])
-                maps.append(StateMap(head, bool(whole < high), int(own[whole:high].sum()), int(exits[high - 1])))
-            out[full[i]] = self.scan(maps)[-1].count
+                head = "" if synced[low] else _symbols(cells[int(low)].as_py())
+                whole = int(low) + (not synced[low])
+                exit = None
+                if whole < high:
+                    exit = self.states[self.run(self.START, _symbols(cells[int(high) - 1].as_py()))[1]]
+                maps.append(ChunkMap(self, head, int(own[whole:high].sum()), exit))
+            out[full[i]] = self.up_sweep(maps)(self.first)[0]
         return out
 
 

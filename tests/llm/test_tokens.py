@@ -84,16 +84,36 @@ def test_state_maps_compose_associatively():
     with open(tokenizer("piece_bpe_32k.model"), "rb") as file:
         machine = token_count.Transducer(file.read())
     space = token_count.SPACE
+    texts = [space + "the", "rein", "g" + space + "dog", "", "ähnlich"]
+    entries = [machine.states[machine.run(machine.START, t)[1]] for t in ("", space + "th", "qu", "é")]
+    of = lambda t: token_count.ChunkMap(machine, t)
+    for a, b, c in zip(texts, texts[1:], texts[2:]):
+        left = token_count.Composed(token_count.Composed(of(a), of(b)), of(c))
+        right = token_count.Composed(of(a), token_count.Composed(of(b), of(c)))
+        for entry in entries:
+            count, state = machine.run(machine._state(entry), a + b + c)
+            assert left(entry) == right(entry) == machine.up_sweep([of(a), of(b), of(c)])(entry) == (count, machine.states[state])
+
+
+def test_token_counts_of_long_texts_without_spaces(monkeypatch):
+    import sentencepiece
 
-    def of(text):
-        head, _, rest = text.partition(space)
-        if not rest and space not in text:
-            return token_count.StateMap(head, False)
-        count, state = machine.run(machine.START, space + rest)
-        return token_count.StateMap(head, True, count, state)
-
-    a, b, c = of(space + "the"), of("rein"), of("g" + space + "dog")
-    assert machine.compose(machine.compose(a, b), c) == machine.compose(a, machine.compose(b, c))
+    rng = random.Random(4)
+    path = tokenizer("piece_bpe_32k.model")
+    letters = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(150_000))
+    texts = [letters, "漢字かな交じり文" * 9000, "x" * 70_000 + " " * 70_000 + letters[:500], "é" * 40_000]
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    want = [len(x) for x in library.encode(texts)]
+    with open(path, "rb") as file:
+        machine = token_count.Transducer(file.read())
+    read = []
+    run = machine.run
+    monkeypatch.setattr(machine, "run", lambda state, text: (read.append(len(text)), run(state, text))[1])
+    assert machine.counts(pa.array(texts)).tolist() == want
+    assert sum(read) < 2 * sum(map(len, texts))  # a chunk once for its entry, its last segment once more for the exit
+    monkeypatch.setattr(token_count, "MOST_STATES", 500)  # forgetting on the way changes nothing
+    monkeypatch.setattr(token_count, "SEGMENT_MEMORY", 1000)
+    assert machine.counts(pa.array(texts)).tolist() == want and len(machine.states) <= 501
 
 
 def test_token_count_columns(spark):
