@@ -48,7 +48,7 @@ def read_imzml(spark, sf):
     datasources.register(spark)
     pixels = binning.peak_spectra(I.peaks(spark, sf).withColumn("intensity", F.col("intensity").cast("float")))
     pixels.write.format("imzml").mode("append").save(folder)
-    back = spark.read.format("imzml").option("bytes", 1 << 20).load(folder)
+    back = spark.read.format("imzml").load(folder)
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, v: a + v)
     return back.select(
         "region", "y", "x", F.size("mz").cast("long").alias("n_peaks"), r6(F.array_min("mz"), "first_mz", 4),
