@@ -17,11 +17,11 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ionloom.session import cut_lineage, settings
 
@@ -243,18 +243,21 @@ def fit(labelled: DataFrame, n_mz: int, n_classes: int, given: Settings = Settin
 def scores(model: Dense, spectra: DataFrame) -> DataFrame:
     """Probability of each class per pixel: (region, y, x, pixel_id, scores); null without a spectrum."""
     shared = spectra.sparkSession.sparkContext.broadcast(replace(model, losses=[]))
-
-    @F.pandas_udf("array<double>")
-    def scored(spectrum: pd.Series) -> pd.Series:
-        out = pd.Series([None] * len(spectrum), dtype=object)
-        there = np.flatnonzero(spectrum.notna())
-        if len(there):
-            x = np.nan_to_num(np.stack([np.asarray(v, dtype=float) for v in spectrum.iloc[there]]))
-            for i, row in zip(there, shared.value.scores(x)):
-                out.iloc[i] = row
-        return out
-
-    return spectra.select("region", "y", "x", "pixel_id", scored("spectrum").alias("scores"))
+    rows = spectra.select("region", "y", "x", "pixel_id", "spectrum")
+
+    # a map over whole batches: a function among expressions would be merged with those that make the spectrum
+    def scored(batches):
+        for batch in batches:
+            held, out = batch.column(4), [None] * len(batch)
+            there = np.flatnonzero(held.is_valid().to_numpy(zero_copy_only=False))
+            if len(there):
+                x = np.nan_to_num(np.stack([np.asarray(held[i].as_py(), dtype=float) for i in there.tolist()]))
+                for i, row in zip(there.tolist(), shared.value.scores(x)):
+                    out[i] = row
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(out, pa.list_(pa.float64()))], names=[*batch.schema.names[:4], "scores"])
+
+    schema = T.StructType([*rows.drop("spectrum").schema.fields, T.StructField("scores", T.ArrayType(T.DoubleType()))])
+    return rows.mapInArrow(scored, schema)
 
 
 def top_mz(model: Dense, spectra: DataFrame, n: int = 10) -> DataFrame:

@@ -1,7 +1,10 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from ionloom.functions import spectrum as S
 from ionloom.models import dense
+from ionloom.operators.normalize import tic
 
 SCHEMA = "region int, y int, x int, pixel_id long, label int, spectrum array<double>"
 
@@ -75,3 +78,15 @@ def test_nulls_empty_tables_and_wrong_input(spark):
         dense.fit(frame, 2, 1, given)
     with pytest.raises(Exception, match="entries"):
         dense.fit(frame, 3, 2, given)
+
+
+def test_scores_of_spectra_made_by_expressions(spark):
+    """The label of normalized spectra in one plan, as mlp_segment asks for it."""
+    given = dense.Settings(hidden=(4,), epochs=2)
+    rows = [(0, 0, i, i, i % 2, [float(i % 2), 1.0, float(i)]) for i in range(20)] + [(None, None, 20, None, 0, None)]
+    frame = tic(spark.createDataFrame(rows, SCHEMA).withColumn("spectrum", F.transform("spectrum", lambda v: v * 2)))
+    model = dense.fit(frame, 3, 2, given)
+    got = dense.scores(model, frame).select("x", "pixel_id", S.argmax(F.col("scores")).alias("label")).collect()
+    want = {r["x"]: None if r["spectrum"] is None else int(model.scores(np.array([r["spectrum"]])).argmax()) for r in frame.collect()}
+    assert {r["x"]: r["label"] for r in got} == want
+    assert [r["pixel_id"] for r in got if r["x"] == 20] == [None]
