@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ionloom.session import small_side
+from ionloom.session import cut_lineage, small_side
 
 PIXEL_XY = ["region", "y", "x"]
 
@@ -146,21 +146,28 @@ def ion_chromatogram(
 ) -> DataFrame:
     """Summed intensity per (job, frame) inside the time, m/z and mobility window of each job.
 
-    jobs(job, t0, t1, mz0, mz1, k0, k1). Frames meet jobs on time cells and peaks on m/z cells, so neither
-    side is compared with everything.
+    jobs(job, t0, t1, mz0, mz1, k0, k1). A job is listed in the cells of time x m/z that its window touches, a peak with the time
+    of its frame lies in one, so frames and jobs never meet without a peak. Peaks in an m/z cell and frames in a time cell
+    that no job touches are left out before peaks and frames are joined.
     """
-    timed = jobs.withColumn(
-        "_tc", F.explode(F.sequence(F.floor(F.col("t0") / time_cell), F.floor(F.col("t1") / time_cell)))
+    cells = lambda low, high, width: F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width)))
+    asked = cut_lineage(jobs.select("job", "t0", "t1", "mz0", "mz1", "k0", "k1").where(
+        "t0 <= t1 AND mz0 <= mz1 AND k0 <= k1"
+    ).withColumn("_tc", cells("t0", "t1", time_cell)).withColumn("_mc", cells("mz0", "mz1", mz_cell)))
+    timed = frames.select("frame_id", "t").withColumn("_tc", F.floor(F.col("t") / time_cell)).join(
+        small_side(asked.select("_tc").distinct()), "_tc", "left_semi"
     )
-    wanted = frames.withColumn("_tc", F.floor(F.col("t") / time_cell)).join(timed, "_tc").where(
-        F.col("t").between(F.col("t0"), F.col("t1"))
-    ).drop("_tc")
-    wanted = wanted.withColumn(
-        "_mc", F.explode(F.sequence(F.floor(F.col("mz0") / mz_cell), F.floor(F.col("mz1") / mz_cell)))
+    mobile = asked.agg(F.min("k0").alias("_k0"), F.max("k1").alias("_k1")).first()  # one row
+    peaks = scans.select("frame_id", "mz", "mobility", "intensity").where(
+        F.col("mobility").between(mobile["_k0"], mobile["_k1"])
+    ).withColumn("_mc", F.floor(F.col("mz") / mz_cell)).join(
+        small_side(asked.select("_mc").distinct()), "_mc", "left_semi"
     )
-    peaks = scans.withColumn("_mc", F.floor(F.col("mz") / mz_cell))
-    inside = F.col("mz").between(F.col("mz0"), F.col("mz1")) & F.col("mobility").between(F.col("k0"), F.col("k1"))
-    return peaks.join(wanted, ["frame_id", "_mc"]).where(inside).groupBy("job", "frame_id").agg(
+    inside = (
+        F.col("t").between(F.col("t0"), F.col("t1")) & F.col("mz").between(F.col("mz0"), F.col("mz1"))
+        & F.col("mobility").between(F.col("k0"), F.col("k1"))
+    )
+    return peaks.join(timed, "frame_id").join(small_side(asked), ["_tc", "_mc"]).where(inside).groupBy("job", "frame_id").agg(
         F.sum("intensity").alias("intensity")
     )
 

@@ -303,3 +303,35 @@ def test_coreset_draws_follow_the_cumulative_probability(spark, monkeypatch):
     rows = sampling.coreset_sample(pixels, 200, 5).collect()
     assert {r["draw"]: r["pixel_id"] for r in rows} == want
     assert all(r["weight"] == pytest.approx(1 / (q[r["pixel_id"]] * 200)) for r in rows)
+
+
+def test_chromatogram_meets_jobs_with_peaks_only(spark):
+    """Against a plain loop, with nulls and repeats; frames and jobs, many of each in one window, are not joined alone."""
+    rng = np.random.default_rng(1)
+    frames = [(i, int(rng.integers(-300, 300))) for i in range(30)] + [(3, 10), (None, 5), (4, None)]
+    scans = [(int(rng.integers(0, 31)), float(rng.uniform(290, 500)), float(rng.integers(0, 9)) / 100, float(i)) for i in range(300)]
+    scans += [(None, 310.0, 0.03, 1.0), (3, None, 0.03, 1.0), (3, 310.0, None, 1.0), (3, 310.0, 0.03, None), scans[0]]
+    jobs = [(j, int(t), int(t + rng.integers(-20, 400)), float(m), float(m + rng.integers(-5, 90)), 0.02, 0.06)
+            for j, (t, m) in enumerate(zip(rng.integers(-400, 200, 12), rng.integers(280, 480, 12)))]
+    jobs += [jobs[0], (None, -300, 300, 300.0, 400.0, 0.0, 0.03), (90, None, 5, 300.0, 400.0, 0.0, 1.0), (91, 0, 9, 300.0, None, 0.0, 1.0)]
+    traced = binning.ion_chromatogram(
+        spark.createDataFrame(scans, "frame_id long, mz double, mobility double, intensity double"),
+        spark.createDataFrame(frames, "frame_id long, t int"),
+        spark.createDataFrame(jobs, "job int, t0 int, t1 int, mz0 double, mz1 double, k0 double, k1 double"),
+    )
+    between = lambda low, v, high: None not in (low, v, high) and low <= v <= high
+    want = {}
+    for job, t0, t1, mz0, mz1, k0, k1 in jobs:
+        for frame, t in frames:
+            for own, mz, k, v in scans:
+                if own is not None and own == frame and between(t0, t, t1) and between(mz0, mz, mz1) and between(k0, k, k1):
+                    want.setdefault((job, frame), []).append(v)
+    want = {key: None if all(v is None for v in held) else pytest.approx(sum(v for v in held if v is not None)) for key, held in want.items()}
+    assert {(r["job"], r["frame_id"]): r["intensity"] for r in traced.collect()} == want and len(want) > 30
+    joins = [line for line in traced._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in line and "_tc#" in line]
+    assert joins and all("LeftSemi" in line or "_mc#" in line for line in joins)
+    none = binning.ion_chromatogram(
+        spark.createDataFrame(scans, "frame_id long, mz double, mobility double, intensity double"), spark.createDataFrame(frames, "frame_id long, t int"),
+        spark.createDataFrame([], "job int, t0 int, t1 int, mz0 double, mz1 double, k0 double, k1 double"),
+    )
+    assert none.count() == 0
