@@ -65,7 +65,8 @@ def read_mz_axis(spark, sf):
 
 def annotation_documents(spark, sf):
     """One annotation document per order with a shape per line item; every other document has the outer wrapper."""
-    line = I.table(spark, sf, "lineitem")
+    columns = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus", "l_tax", "l_discount")
+    line = I.table(spark, sf, "lineitem").select(*columns).repartition("l_orderkey")  # plain columns move, shapes are made behind
     kind = F.col("l_linenumber") % 3
     x, y, q = F.col("l_partkey") % 100, F.col("l_suppkey") % 100, F.col("l_quantity")
     shape = F.struct(
@@ -80,15 +81,15 @@ def annotation_documents(spark, sf):
         F.lit("sub_cat2"), F.when(F.col("l_tax") == 0, " ").otherwise("t"),
         F.lit("anatomy"), F.col("l_returnflag"), F.lit("category"), F.when(F.col("l_discount") == 0, "").otherwise("d"),
     )
-    shapes = line.groupBy("l_orderkey").agg(
-        F.collect_list(F.struct(shape.alias("shape_attributes"), attributes.alias("region_attributes"))).alias("regions")
-    )
+    region = F.to_json(F.struct(shape.alias("shape_attributes"), attributes.alias("region_attributes")))
+    shapes = line.select("l_orderkey", region.alias("region")).groupBy("l_orderkey").agg(F.array_join(F.collect_list("region"), ",").alias("regions"))
     key = F.concat((F.col("l_orderkey") % 4).cast("string"), F.lit("_"), F.col("l_orderkey").cast("string"), F.lit(".png"))
-    document = F.create_map(key, F.struct("regions"))
+    named = F.coalesce(key, F.raise_error(F.lit("a line item without an order")).cast("string"))
+    document = F.concat(F.lit('{"'), named, F.lit('":{"regions":['), F.col("regions"), F.lit("]}}"))
     return shapes.select(
         F.col("l_orderkey").alias("order_id"),
-        F.when(F.col("l_orderkey") % 2 == 0, F.to_json(document)).otherwise(
-            F.to_json(F.create_map(F.lit(A.WRAPPER_KEY), document))
+        F.when(F.col("l_orderkey") % 2 == 0, document).otherwise(
+            F.concat(F.lit('{"' + A.WRAPPER_KEY + '":'), document, F.lit("}"))
         ).alias("json"),
     )
 
@@ -119,7 +120,7 @@ def read_annotation_table(spark, sf):
 SELECT DISTINCT CAST(l_orderkey % 4 AS VARCHAR) || '_' || CAST(l_orderkey AS VARCHAR) || '.png' AS image_key
 FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O')""")
 def new_annotation_files(spark, sf):
-    documents = annotation_documents(spark, sf)
+    documents = annotation_documents(spark, sf).where("order_id IS NOT NULL")  # both sides read the same shuffled line items
     earlier = I.table(spark, sf, "orders").where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("order_id"))
     return A.new_annotation_files(documents, documents.join(earlier, "order_id", "left_semi"))
 
@@ -128,7 +129,7 @@ def new_annotation_files(spark, sf):
 SELECT DISTINCT CAST(l_orderkey % 4 AS VARCHAR) || '_' || CAST(l_orderkey AS VARCHAR) || '.png' AS image_key
 FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O')""")
 def shared_annotation_files(spark, sf):
-    documents = annotation_documents(spark, sf)
+    documents = annotation_documents(spark, sf).where("order_id IS NOT NULL")  # both sides read the same shuffled line items
     earlier = I.table(spark, sf, "orders").where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("order_id"))
     return A.shared_annotation_files(documents, documents.join(earlier, "order_id", "left_semi"))
 

@@ -18,16 +18,21 @@ REGIONS_SCHEMA = (
     " all_points_x: array<double>, all_points_y: array<double>>,"
     " region_attributes: map<string, string>>>>>"
 )
+KEYS_SCHEMA = "map<string, struct<regions: array<struct<>>>>"
 WRAPPER_KEY = "_via_img_metadata"
 CATEGORY_KEYS = ("main_cat1", "Allen_name", "sub_cat2")
 TABLE_KEYS = ("anatomy", "category", "subcategory")
 
 
+def _inner(column: str):
+    """The images of a document, with or without the outer wrapper."""
+    return F.coalesce(F.get_json_object(F.col(column), f"$.{WRAPPER_KEY}"), F.col(column))
+
+
 def parse_documents(documents: DataFrame, column: str = "json") -> DataFrame:
     """One row per shape: (document columns..., image_key, shape, attributes). Accepts the wrapped layout too."""
-    inner = F.coalesce(F.get_json_object(F.col(column), f"$.{WRAPPER_KEY}"), F.col(column))
     others = [c for c in documents.columns if c != column]
-    images = documents.select(*others, F.explode(F.from_json(inner, REGIONS_SCHEMA)).alias("image_key", "_img"))
+    images = documents.select(*others, F.explode(F.from_json(_inner(column), REGIONS_SCHEMA)).alias("image_key", "_img"))
     return images.select(*others, "image_key", F.posexplode("_img.regions").alias("shape_index", "_r")).select(
         *others, "image_key", "shape_index", F.col("_r.shape_attributes").alias("shape"),
         F.col("_r.region_attributes").alias("attributes"),
@@ -65,8 +70,10 @@ def read_annotation_table(documents: DataFrame) -> DataFrame:
     )
 
 
-def annotation_keys(documents: DataFrame) -> DataFrame:
-    return parse_documents(documents).select("image_key").distinct()
+def annotation_keys(documents: DataFrame, column: str = "json") -> DataFrame:
+    """The distinct keys of images with shapes; shapes are counted and not read."""
+    images = documents.select(F.explode(F.from_json(_inner(column), KEYS_SCHEMA)).alias("image_key", "_img"))
+    return images.where(F.size("_img.regions") > 0).select("image_key").distinct()
 
 
 def new_annotation_files(new: DataFrame, old: DataFrame) -> DataFrame:

@@ -4,10 +4,12 @@ import uuid
 
 import numpy as np
 import pytest
+from conftest import SF
 from helpers import cube_frame, sparse_cube
 from pyspark.sql import functions as F
 
 from ionloom.operators import binning
+from ionloom.plans import catalog
 from ionloom.sources import annotations, cubes, datasources
 
 
@@ -139,3 +141,29 @@ def test_smaller_polygon_wins_and_broken_documents_are_left_out(spark):
     painted = {(r["y"], r["x"]): r["category"] for r in annotations.polygon_paint_order(grid, polygons).collect()}
     assert painted[3, 3] == "SMALL_N_Y" and painted[0, 0] == "BIG_ARTEFACT_X" and (7, 7) not in painted
     assert len(painted) == 49
+
+
+def test_annotation_keys_skip_the_shapes(spark):
+    """Keys of images with shapes, whatever the shapes hold; the shapes themselves are not parsed."""
+    texts = [
+        '{"a": {"regions": [{"shape_attributes": {"name": "circle", "cx": 1}, "region_attributes": {"k": "v"}}]}}',
+        '{"_via_img_metadata": {"b": {"regions": [{}, {}]}, "c": {"regions": []}, "d": {}, "a": {"regions": [{}]}}}',
+        '{"e": {"regions": [{"shape_attributes": {"cx": "no number"}}]}}', '{"f": {"regions": null}}', '{"g": {"regions": "x"}}',
+        '{"h": {"regions": [null]}}', '{"i": 5, "j": {"regions": [{}]}}', "{", "", None, "[]", '{"k": {"size": 3, "regions": [{"region_attributes": {}}]}}',
+    ]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "order_id int, json string")
+    want = {r["image_key"] for r in annotations.parse_documents(frame).select("image_key").collect()}
+    got = annotations.annotation_keys(frame)
+    assert {r["image_key"] for r in got.collect()} == want and {"a", "b", "e", "k"} <= want
+    assert "shape_attributes" not in got._jdf.queryExecution().optimizedPlan().toString()
+    old = annotations.annotation_keys(frame.where("order_id = 0")).collect()
+    assert [r["image_key"] for r in old] == ["a"]
+    assert {r["image_key"] for r in annotations.new_annotation_files(frame, frame.where("order_id = 0")).collect()} == want - {"a"}
+    assert [r["image_key"] for r in annotations.shared_annotation_files(frame, frame.where("order_id = 0")).collect()] == ["a"]
+
+
+def test_annotation_documents_share_one_shuffle(spark):
+    for name in ("new_annotation_files", "shared_annotation_files"):
+        found = catalog.QUERIES[name](spark, SF)
+        found.collect()
+        assert "ReusedExchange" in found._jdf.queryExecution().executedPlan().toString(), name
