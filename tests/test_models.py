@@ -264,3 +264,18 @@ def test_graph_embedding_keeps_groups_together(spark):
     gap = np.linalg.norm(x[:, None] - x[None], axis=-1)
     np.fill_diagonal(gap, np.inf)
     assert (own[gap.argsort(axis=1)[:, :5]] == own[:, None]).mean() > 0.98
+
+
+def test_small_regions_are_not_put_into_one_task(spark, monkeypatch):
+    """Each region runs all its epochs in one task, and regions run beside each other however small their blocks are."""
+    tasks, run = [], rank_embed._small_regions
+
+    def watched(*given):
+        tasks.append(run(*given).rdd.getNumPartitions())
+        return run(*given)
+
+    monkeypatch.setattr(rank_embed, "_small_regions", watched)
+    cubes = {r: sparse_cube(np.random.default_rng(r), 4, 4, 5, 0.2) for r in range(4)}
+    coordinates, losses = rank_embed.saliency_embed(cube_frame(spark, cubes), points=6, epochs=2, sampling="random")
+    assert tasks == [4] and len(losses) == 2
+    assert coordinates.groupBy("region").count().orderBy("region").collect() == [(r, 16) for r in range(4)]
