@@ -99,13 +99,15 @@ class Trees:
     def nodes(self, codes: np.ndarray, model: np.ndarray) -> np.ndarray:
         """Node each row ends in for each of its models (rows x slots)."""
         at = np.zeros(model.shape, np.int64)
-        rows = np.arange(len(codes))[:, None]
+        flat, feature_of, cut_of = codes.ravel(), self.feature.ravel(), self.cut.ravel()
+        rows, first = np.arange(len(codes))[:, None] * codes.shape[1], model * self.feature.shape[1]
         while True:
-            feature = self.feature[model, at]
+            place = first + at
+            feature = feature_of.take(place)
             inner = feature >= 0
             if not inner.any():
                 return at
-            right = codes[rows, np.maximum(feature, 0)] > self.cut[model, at]
+            right = flat.take(rows + np.maximum(feature, 0)) > cut_of.take(place)
             at = np.where(inner, 2 * at + 1 + right, at)
 
 
@@ -232,7 +234,9 @@ def binned_blocks(rows: DataFrame, edges: list[np.ndarray], slots: int) -> DataF
                     "margins": [np.zeros((len(part), slots)).tobytes()],
                 })
 
-    return cut_lineage(rows.select("label", "train", "spectrum").mapInPandas(pack, _BLOCKS))
+    rows = rows.select("label", "train", "spectrum")
+    dealt = rows.repartition(max(1, -(-rows.count() // BLOCK)))  # every round works on the blocks where they lie
+    return cut_lineage(dealt.mapInPandas(pack, _BLOCKS))
 
 
 def _opened(batch: pa.RecordBatch, features: int):

@@ -78,7 +78,9 @@ def predict_map(model, spectra: DataFrame) -> DataFrame:
             return pd.Series(np.full(len(spectrum), -1))
         return pd.Series(np.array(model.classes)[model.margins(stack(spectrum)).argmax(axis=1)])
 
-    return spectra.select(*PLACE, F.when(inside, best("spectrum")).otherwise(-1).alias("label"))
+    # all trees are walked for every pixel, so pixels are dealt out however few files they come from
+    dealt = spectra.select(*PLACE, "spectrum").repartition(max(1, -(-spectra.count() // boosting.BLOCK)))
+    return dealt.select(*PLACE, F.when(inside, best("spectrum")).otherwise(-1).alias("label"))
 
 
 def mz_importance(model, spectra: DataFrame, n: int = 20) -> DataFrame:

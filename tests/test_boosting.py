@@ -138,3 +138,18 @@ def test_tables_without_classes(spark, labelled):
     assert supervised.pair_classifier(labelled.withColumn("label", F.lit(1))).count() == 0
     got = supervised.predict_map(supervised.pixel_classifier(none), labelled).select("label").distinct().collect()
     assert [r["label"] for r in got] == [-1]
+
+
+def test_pixels_of_one_file_are_dealt_to_several_tasks(spark, monkeypatch):
+    """Blocks and predictions do not stay in the one partition their pixels were read from."""
+    monkeypatch.setattr(boosting, "BLOCK", 16)
+    rows = [(0, i // 10, i % 10, i, i % 2, [float(i % 2 + 1), float(i % 5 + 1)]) for i in range(80)] + [(0, 9, 0, 80, 1, [0.0, 0.0])]
+    frame = spark.createDataFrame(rows, "region int, y int, x int, pixel_id long, label int, spectrum array<double>").coalesce(1)
+    blocks = boosting.binned_blocks(frame.withColumn("train", F.lit(True)), [np.array([1.5]), np.array([2.5])], 2)
+    assert blocks.rdd.getNumPartitions() > 1
+    assert sum(len(b["label"]) // 4 for b in blocks.collect()) == 81
+    model = supervised.pixel_classifier(frame, boosting.Settings(rounds=3, depth=2))
+    predicted = supervised.predict_map(model, frame)
+    assert predicted.rdd.getNumPartitions() > 1
+    got = {r["pixel_id"]: r["label"] for r in predicted.collect()}
+    assert got == {i: i % 2 for i in range(80)} | {80: -1}
