@@ -83,7 +83,9 @@ def frequency_bits(docs: DataFrame, text: str = "text", n: int = N, bits: int =
         held, size = [], 0
 
         def emit() -> pa.RecordBatch:
-            flat = np.concatenate(held) >> np.uint64(16)
+            flat = np.concatenate(held)
+            held.clear()  # the gathered sets and the sorted copy are not held at once
+            flat >>= np.uint64(16)
             flat.sort()
             first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
             keys, counts = flat[first], np.diff(np.append(first, len(flat)))
@@ -101,7 +103,7 @@ def frequency_bits(docs: DataFrame, text: str = "text", n: int = N, bits: int =
                 size += len(one)
                 if size >= GATHERED:
                     yield emit()
-                    held, size = [], 0
+                    size = 0
         if size:
             yield emit()
 
