@@ -127,8 +127,13 @@ def _entry(spectrum, types: dict, roles: dict):
         if name == "cvParam":
             values.setdefault(child.get("accession"), child.get("value"))
         elif name == "binaryDataArray":
-            params = {c.get("accession"): c.get("value") for c in child.iter() if c.get("accession")}
-            group = next((c.get("ref") for c in child.iter() if _tag(c) == "referenceableParamGroupRef"), None)
+            params, group = {}, None
+            for c in child.iter():
+                held = c.attrib
+                if held.get("accession"):
+                    params[held["accession"]] = held.get("value")
+                if group is None and _tag(c) == "referenceableParamGroupRef":
+                    group = held.get("ref")
             kind = roles.get(group) or ("mz" if ACC_MZ_ARRAY in params else "intensity")
             code = types.get(group) or next((t for a, t in ACC_TYPES.items() if a in params), "<f4")
             spans[kind] = (int(params[ACC_OFFSET]), int(params[ACC_LENGTH]), code)
@@ -136,7 +141,37 @@ def _entry(spectrum, types: dict, roles: dict):
 
 
 def _tag(node) -> str:
-    return node.tag.rsplit("}", 1)[-1]
+    name = node.tag
+    return name.rsplit("}", 1)[-1] if "}" in name else name
+
+
+_PARAM = rb'<cvParam cvRef="IMS" accession="%s" name="%s" value="%s"/>'
+_ARRAY = (
+    rb'<binaryDataArray encodedLength="\d+"><referenceableParamGroupRef ref="([^"&<>]*)"/>'
+    + _PARAM % (ACC_OFFSET.encode(), b"external offset", rb"(\d+)") + _PARAM % (ACC_LENGTH.encode(), b"external array length", rb"(\d+)")
+    + _PARAM % (ACC_ENCODED.encode(), b"external encoded length", rb"\d+") + rb"<binary/></binaryDataArray>"
+)
+#: An entry with nothing but a place and two arrays, as ``_Pair`` writes it; any other entry goes through the XML parser.
+BARE_ENTRY = re.compile(
+    rb'<spectrum id="[^"&<>]*" index="\d+" defaultArrayLength="\d+"><scanList count="1"><scan>'
+    + _PARAM % (ACC_X.encode(), b"position x", rb"(-?\d+)") + _PARAM % (ACC_Y.encode(), b"position y", rb"(-?\d+)")
+    + rb'</scan></scanList><binaryDataArrayList count="2">' + _ARRAY * 2 + rb"</binaryDataArrayList></spectrum>"
+)
+
+
+def _bare_entry(text: bytes, types: dict, roles: dict):
+    """What ``_entry`` finds in a bare spectrum element; None for any other."""
+    match = BARE_ENTRY.fullmatch(text)
+    if match is None:
+        return None
+    x, y, *arrays = match.groups()
+    spans = {}
+    for name, offset, length in (arrays[:3], arrays[3:]):
+        name = name.decode()
+        if name not in types or name not in roles:
+            return None
+        spans[roles[name]] = (int(offset), int(length), types[name])
+    return (int(y), int(x), spans["mz"], spans["intensity"]) if len(spans) == 2 else None
 
 
 def imzml_index(path: str):
@@ -151,6 +186,8 @@ def imzml_index(path: str):
 
 
 READ_BYTES = 1 << 20
+#: Numbers or spectra after which a read batch goes out.
+BATCH_NUMBERS, BATCH_SPECTRA = 1 << 20, 4096
 SPECTRUM_START, SPECTRUM_END = re.compile(rb"<spectrum[\s>]"), b"</spectrum>"
 
 
@@ -182,7 +219,8 @@ def imzml_range(path: str, start: int, stop: int):
             end = -1 if found is None else held.find(SPECTRUM_END, found.start())
             if end >= 0:
                 used = end + len(SPECTRUM_END)
-                yield _entry(ET.fromstring(held[found.start():used]), types, roles)
+                text = held[found.start():used]
+                yield _bare_entry(text, types, roles) or _entry(ET.fromstring(text), types, roles)
                 continue
             if found is None and at + len(held) >= stop + 9:  # no start can begin before ``stop`` any more
                 return
@@ -223,7 +261,7 @@ class ImzMLReader(DataSourceReader):
 
     def read(self, partition):
         entries = partition.spans if isinstance(partition, Spans) else imzml_range(partition.path, partition.start, partition.stop)
-        data = None
+        data, rows, held = None, [], 0
         try:
             for y, x, mz, intensity in entries:
                 data = data or open(os.path.splitext(partition.path)[0] + ".ibd", "rb")
@@ -231,12 +269,30 @@ class ImzMLReader(DataSourceReader):
                 for offset, length, code in (mz, intensity):
                     data.seek(offset)
                     numbers.append(np.frombuffer(data.read(length * np.dtype(code).itemsize), dtype=code))
-                yield (partition.region, y, x, numbers[0].astype(float).tolist(), numbers[1].astype(float).tolist())
+                rows.append((y, x, *numbers))
+                held += len(numbers[0]) + len(numbers[1])
+                if held >= BATCH_NUMBERS or len(rows) >= BATCH_SPECTRA:
+                    yield _peaks_batch(partition.region, rows)
+                    rows, held = [], 0
+            if rows:
+                yield _peaks_batch(partition.region, rows)
         finally:
             if data is not None:
                 data.close()
 
 
+def _peaks_batch(region: int, rows: list) -> pa.RecordBatch:
+    """Spectra as one Arrow batch: their numbers go to Spark without becoming Python objects."""
+    y, x, mz, intensity = zip(*rows)
+    lists = []
+    for arrays, kind in ((mz, "<f8"), (intensity, "<f4")):
+        offsets = np.zeros(len(rows) + 1, np.int32)
+        np.cumsum([len(a) for a in arrays], out=offsets[1:])
+        lists.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays).astype(kind))))
+    place = [pa.array(v, pa.int32()) for v in ([region] * len(rows), y, x)]
+    return pa.RecordBatch.from_arrays([*place, *lists], names=["region", "y", "x", "mz", "intensity"])
+
+
 def _plain(path: str) -> str:
     return path.removeprefix("file://").removeprefix("file:")
 

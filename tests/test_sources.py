@@ -1,5 +1,6 @@
 import hashlib
 import os
+import re
 import uuid
 
 import numpy as np
@@ -167,3 +168,26 @@ def test_annotation_documents_share_one_shuffle(spark):
         found = catalog.QUERIES[name](spark, SF)
         found.collect()
         assert "ReusedExchange" in found._jdf.queryExecution().executedPlan().toString(), name
+
+
+def test_spectra_leave_the_reader_in_batches(tmp_path, monkeypatch):
+    """A read partition gives Arrow batches of bounded size with the numbers that were written, empty spectra too."""
+    pair = datasources._Pair(str(tmp_path / "3-a"))
+    given = [(i, 2 * i, np.arange(i % 4) + 0.25, np.arange(i % 4) * 1.5) for i in range(10)]
+    for row in given:
+        pair.add(*row)
+    pair.finish()
+    path = str(tmp_path / "3-a.imzML")
+    text = open(path, "rb").read()
+    types, roles = datasources.imzml_groups(path)
+    bare = [datasources._bare_entry(m, types, roles) for m in re.findall(rb"<spectrum .*</spectrum>", text)]
+    assert bare == list(datasources.imzml_index(path)) and len(bare) == 10
+    other = re.search(rb"<spectrum .*</spectrum>", text)[0].replace(b"<scan>", b'<scan><userParam name="x"/>')
+    assert datasources._bare_entry(other, types, roles) is None
+    assert datasources._bare_entry(other.replace(b'<userParam name="x"/>', b""), types, {}) is None
+    monkeypatch.setattr(datasources, "BATCH_SPECTRA", 4)
+    reader = datasources.ImzMLReader(str(tmp_path), None, 0, 8 << 20)
+    batches = [b for part in reader.partitions() for b in reader.read(part)]
+    assert [b.num_rows for b in batches] == [4, 4, 2]
+    rows = [r for b in batches for r in b.to_pylist()]
+    assert [(r["region"], r["y"], r["x"], r["mz"], r["intensity"]) for r in rows] == [(3, y, x, m.tolist(), v.tolist()) for y, x, m, v in given]
