@@ -68,6 +68,33 @@ def test_edge_tables_give_defined_values(spark):
     assert metrics.pixel_reference_distances(flat, sample).select("region").distinct().count() == 1
 
 
+def test_reference_points_are_not_held_for_all_regions_at_once(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    cubes = {r: rng.random((3, 4, 5)) + 0.1 for r in range(3)}
+    pixels = cube_frame(spark, cubes)
+    sample = pixels.where("region < 2 AND pixel_id % 3 = 0").select("region", "pixel_id", "spectrum")
+    monkeypatch.setattr(metrics, "MAX_REFERENCE_ROWS", 1)  # no table of all regions may be made
+    monkeypatch.setattr(metrics, "GROUP_PIXELS", 5, raising=False)  # a region is dealt to several groups
+    ranks = {(r.region, r.pixel_id): r for r in metrics.reference_ranks(pixels, sample).collect()}
+    gaps = {(r.region, r.pixel_id, r.reference_id): r for r in metrics.pixel_reference_distances(pixels, sample).collect()}
+    near = {(r.region, r.pixel_id): r._d for r in metrics.nearest_reference(pixels, sample).collect()}
+    assert len(ranks) == len(near) == 36 and len(gaps) == 2 * 12 * 4
+    for region, cube in cubes.items():
+        flat = cube.reshape(12, 5)
+        unit = flat / np.linalg.norm(flat, axis=1, keepdims=True)
+        for i in range(12):
+            row = ranks[region, i]
+            if region == 2:
+                assert not row.max_rank and not row.cosine_rank and near[region, i] == 0
+                continue
+            cosine = [1 - unit[i] @ unit[j] for j in range(0, 12, 3)]
+            widest = [np.abs(flat[i] - flat[j]).max() for j in range(0, 12, 3)]
+            place = [np.argsort(np.argsort(np.round(x, 12), kind="stable")).tolist() for x in (cosine, widest)]
+            assert row.cosine_rank == place[0] and row.max_rank == np.maximum(*place).tolist()
+            assert [gaps[region, i, j].maxabs for j in range(0, 12, 3)] == pytest.approx(widest)
+            assert near[region, i] == pytest.approx(min(w for w, j in zip(widest, range(0, 12, 3)) if j != i))
+
+
 def test_few_pairs_and_single_pixels(spark):
     for n in (1, 2, 6):
         gaps = spark.createDataFrame([(0, i, 0.1 * i, 0.2 * i, 1.0 * i) for i in range(n)], "region int, pair int, cosine double, maxabs double, output double")
