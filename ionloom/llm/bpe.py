@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import heapq
 import json
-from functools import cache, lru_cache
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,9 @@ NEVER = np.int64(1) << 40
 REMEMBERED = 40 << 20
 ENTRY = 200
 #: Bytes of texts encoded at once.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
+#: Tokens whose own encoding is worked out at once when a vocabulary is read.
+MERGED_AT_ONCE = 4096
 #: Failing words of up to this many bytes are merged in step, in groups of similar length.
 LONG_WORD = 64
 WORD_WIDTHS = (0, 8, 12, 16, 24, 40, LONG_WORD)
@@ -139,8 +141,10 @@ class Vocabulary:
         self._trie()
         self.sound = np.ones(size, bool)  # tokens that are the encoding of their own bytes
         names, numbers = list(self.ids), np.array(list(self.ids.values()), np.int32)
-        for exact, i in zip(self.merge_many(pa.array(names, pa.binary())), numbers):
-            self.sound[i] = exact == i.tobytes()
+        for at in range(0, len(names), MERGED_AT_ONCE):
+            some = slice(at, at + MERGED_AT_ONCE)
+            for exact, i in zip(self.merge_many(pa.array(names[some], pa.binary())), numbers[some]):
+                self.sound[i] = exact == i.tobytes()
         self.remembered: dict[bytes, bytes] = {}
         self.remembered_bytes = 0
 
@@ -383,9 +387,9 @@ class Vocabulary:
             return pa.array([b.decode("utf-8", "replace") for b in raw.to_pylist()], pa.string())
 
 
-@lru_cache(maxsize=2)
 def vocabulary(text: str) -> Vocabulary:
-    return Vocabulary(text)
+    """The vocabulary of a file's text, built once in a worker until another step runs there."""
+    return tb.kept(("vocabulary", text), lambda: Vocabulary(text))
 
 
 def read_vocabulary(path: str) -> str:
@@ -400,7 +404,10 @@ def encoder(path: str):
     @F.arrow_udf("array<int>")
     def ids(column: pa.Array) -> pa.Array:
         model = vocabulary(spec)
-        out = [tb.list_array(*model.encode([t or "" for t in part.to_pylist()]), pa.int32()) for part in tb.slices(column, SLICE_BYTES)]
+        out = []
+        for part in tb.slices(column, SLICE_BYTES):
+            out.append(tb.list_array(*model.encode([t or "" for t in part.to_pylist()]), pa.int32()))
+            tb.give_back()
         return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int32()))
 
     return ids

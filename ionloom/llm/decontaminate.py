@@ -113,7 +113,7 @@ def passages(docs: DataFrame, bits: np.ndarray, reach: int, key: str, text: str,
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.unpackbits(np.frombuffer(packed.value, np.uint8)).view(bool)
-        for batch in batches:
+        for batch in tb.lean(batches):
             keys, at = [], 0
             firsts, words, hits = [], [], []
             for part in tb.slices(batch.column(1)):
@@ -202,7 +202,10 @@ def contaminated(
     tb.small_batches(docs.sparkSession)
 
     def aligned(words: pa.Array, item_words: pa.Array) -> pa.Array:
-        return align_batch(words, item_words, threshold)
+        try:
+            return align_batch(words, item_words, threshold)
+        finally:
+            tb.give_back()
 
     items = cut_lineage(_grams(benchmark, item_key, item_text, n).withColumn("_i", F.monotonically_increasing_id()))
     grams = items.select("_i", F.explode(F.array_distinct("grams")).alias("h"))

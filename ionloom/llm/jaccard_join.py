@@ -87,17 +87,17 @@ def frequency_bits(docs: DataFrame, text: str = "text", n: int = N, bits: int =
             held.clear()  # the gathered sets and the sorted copy are not held at once
             flat >>= np.uint64(16)
             flat.sort()
-            first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
-            keys, counts = flat[first], np.diff(np.append(first, len(flat)))
-            cuts = np.searchsorted(keys, np.arange(1, 1 << ranges, dtype=np.uint64) << np.uint64(48 - ranges))
+            cuts = np.searchsorted(flat, np.arange(1, 1 << ranges, dtype=np.uint64) << np.uint64(48 - ranges))
             frames, owner = [], []
-            for r, (a, b) in enumerate(zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)])):
-                if a < b:
-                    frames.append(_pack(keys[a:b], counts[a:b], press))
+            for r, (a, b) in enumerate(zip([0, *cuts.tolist()], [*cuts.tolist(), len(flat)])):
+                if a < b:  # keys and counts are made for one range at a time
+                    part = flat[a:b]
+                    first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+                    frames.append(_pack(part[first], np.diff(np.append(first, b - a)), press))
                     owner.append(r)
             return pa.RecordBatch.from_arrays([pa.array(owner, pa.int32()), pa.array(frames, pa.binary())], names=["range", "frame"])
 
-        for batch in batches:
+        for batch in tb.lean(batches):
             for one in _sets(batch.column(0), n):
                 held.append(one)
                 size += len(one)
@@ -141,7 +141,7 @@ def prefix_sets(docs: DataFrame, two: np.ndarray, many: np.ndarray, key: str = "
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = [np.frombuffer(zstandard.decompress(x), np.uint8) for x in shared.value]
-        for batch in batches:
+        for batch in tb.lean(batches):
             sizes, classes, groups, at, posted, members = [], [], [], [], [], []
             for one in _sets(batch.column(1), n):
                 size = len(one)

@@ -62,18 +62,12 @@ class Scales:
         return gap / (len(text) + SMOOTHING_BYTES)
 
 
-_scales: dict[tuple[bytes, bytes], Scales] = {}
-
-
 def difference(dictionaries: tuple[bytes, bytes]):
     """Function from a text column to the normalized size difference."""
 
     @F.arrow_udf("double")
     def gap(column: pa.Array) -> pa.Array:
-        if dictionaries not in _scales:
-            _scales.clear()
-            _scales[dictionaries] = Scales(dictionaries)
-        scales = _scales[dictionaries]
+        scales = tb.kept(("scales", dictionaries), lambda: Scales(dictionaries))
         data, offsets = tb.utf8_bytes(column)
         raw = memoryview(data)
         return pa.array([scales.difference(bytes(raw[a:b])) for a, b in zip(offsets[:-1], offsets[1:])], pa.float64())

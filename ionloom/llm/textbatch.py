@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Hashable, Iterator
+from functools import cache
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +23,40 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+@cache
+def _trim() -> Callable[[int], int]:
+    """The C library's call that returns freed memory to the system, where it has one."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda pad: 0)
+
+
+def give_back() -> None:
+    """Return what this worker has freed to the system; workers outlive their task and would keep it beside the next one."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
+_kept: dict[Hashable, Any] = {}
+
+
+def kept(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What a worker keeps between the tasks of one step. What an earlier step has kept is let go."""
+    if key not in _kept:
+        _kept.clear()
+        give_back()
+        _kept[key] = make()
+        give_back()  # what it took to make it
+    return _kept[key]
+
+
+def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches of a step that keeps nothing: what earlier steps kept is let go, and what is freed on the way given back."""
+    _kept.clear()
+    give_back()
+    for batch in batches:
+        yield batch
+        give_back()
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """The names, each lengthened until no column of ``df`` has it in any case."""
     taken = {c.lower() for c in df.columns}

@@ -1,6 +1,8 @@
 """BPE, token counts and token files against the public libraries and exact round trips."""
 
+import gc
 import random
+import weakref
 import zlib
 
 import numpy as np
@@ -9,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ionloom.llm import bpe, token_count, token_files
+from ionloom.llm import textbatch as tb
 from ionloom.llm.queries import tokenizer
 from ionloom.session import scratch_folder
 
@@ -159,3 +162,12 @@ def test_empty_token_files(spark):
     df = spark.createDataFrame([], "doc_id long, text string, start string")
     folder = token_files.store(df, tokenizer("byte_bpe_50k.json"))
     assert token_files.read(spark, folder).count() == 0
+
+
+def test_a_worker_keeps_what_one_step_needs():
+    spec = bpe.read_vocabulary(tokenizer("byte_bpe_50k.json")) + " "  # not the one the fixture holds
+    held = weakref.ref(bpe.vocabulary(spec))
+    assert bpe.vocabulary(spec) is held()  # built once while the step goes on
+    assert list(tb.lean(iter([1, 2]))) == [1, 2]
+    gc.collect()
+    assert held() is None  # the next step does not carry it along
