@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import heapq
 import json
+from collections.abc import Callable
 from functools import cache
 
 import numpy as np
@@ -26,11 +27,12 @@ from pyspark.sql import functions as F
 from ionloom.llm import textbatch as tb
 
 NEVER = np.int64(1) << 40
-#: Bytes of distinct words and their ids that a worker remembers between batches, and what an entry takes besides.
-REMEMBERED = 40 << 20
-ENTRY = 200
+#: Bytes of distinct words and their ids above which a worker forgets the rarer half of them.
+REMEMBERED = 24 << 20
 #: Bytes of texts encoded at once.
-SLICE_BYTES = 1 << 19
+SLICE_BYTES = 1 << 20
+#: New words encoded at once.
+WORDS_AT_ONCE = 1 << 14
 #: Tokens whose own encoding is worked out at once when a vocabulary is read.
 MERGED_AT_ONCE = 4096
 #: Failing words of up to this many bytes are merged in step, in groups of similar length.
@@ -51,7 +53,7 @@ def byte_symbols() -> dict[str, int]:
 def character_classes() -> np.ndarray:
     """Letter, number, white space or other for every code point."""
     table = np.zeros(0x110000, np.uint8)
-    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    every = np.concatenate([np.arange(0xD800), np.arange(0xE000, 0x110000)]).astype("<u4").tobytes().decode("utf-32-le")
     for pattern, kind in ((r"\p{L}+", LETTER), (r"\p{N}+", NUMBER), (r"\p{White_Space}+", SPACE)):
         for m in regex.finditer(pattern, every):
             first, last = ord(every[m.start()]), ord(every[m.end() - 1])
@@ -60,46 +62,123 @@ def character_classes() -> np.ndarray:
     return table
 
 
+@cache
+def byte_classes() -> np.ndarray:
+    """Class of every ASCII byte; the bytes of longer characters get theirs from the code point."""
+    table = np.full(256, OTHER, np.uint8)
+    table[:128] = character_classes()[:128]
+    return table
+
+
 def split_words(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
     """Words of the byte-level pattern: contractions, letters, numbers, other signs (each with one space before), spaces.
 
-    Returns the words as bytes and the offsets of each text into them.
+    Returns the words as bytes and the offsets of each text into them. All bytes of a character have its class, so that
+    words are found on the bytes themselves.
     """
-    joined = "\0".join(texts) + "\0" if texts else ""
-    codes = np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32)
-    stops = np.cumsum([len(t) + 1 for t in texts], dtype=np.int64) - 1 if texts else np.zeros(0, np.int64)
-    kind = character_classes()[codes]
+    raw = [t.encode("utf-8", "replace") for t in texts]
+    if not raw:
+        return pa.array([], pa.binary()), np.zeros(1, np.int64)
+    data = np.frombuffer(b"\0".join([*raw, b""]), np.uint8)
+    stops = np.cumsum([len(t) + 1 for t in raw]) - 1
+    del raw
+    kind = byte_classes()[data]
+    lead = np.flatnonzero(data >= 0xC0)
+    first = data[lead]
+    wide_spaces = []
+    for width, low, high, bits in ((2, 0xC0, 0xE0, 0x1F), (3, 0xE0, 0xF0, 0x0F), (4, 0xF0, 0x100, 0x07)):
+        at = lead[(first >= low) & (first < high)]
+        if not len(at):
+            continue
+        code = data[at].astype(np.uint32) & bits
+        for k in range(1, width):
+            code = code << 6 | data[at + k] & 0x3F
+        own = character_classes()[code]
+        for k in range(width):
+            kind[at + k] = own
+        wide_spaces.append((width, at[own == SPACE]))
     kind[stops] = END
-    before = np.concatenate([[END], kind[:-1]]).astype(np.uint8)
-    after = np.concatenate([kind[1:], [END]]).astype(np.uint8)
-    blank = codes == 32
-    blank &= kind == SPACE
-    blank_before = np.concatenate([[False], blank[:-1]])
     word = kind < SPACE
-    start = (kind != before) | (kind == END)
-    start &= ~(word & blank_before)
-    start |= (kind == SPACE) & (after < SPACE)
-    quote = np.flatnonzero(start & (codes == 39))
+    blank = data == 32
+    start = np.ones(len(data), bool)
+    np.not_equal(kind[1:], kind[:-1], out=start[1:])
+    start |= kind == END
+    start[1:] &= ~(word[1:] & blank[:-1])
+    start[:-1] |= (kind[:-1] == SPACE) & word[1:]
+    for width, at in wide_spaces:  # the last space before a word stands alone: from its first byte on
+        last = at + width - 1
+        start[last] = False
+        start[at[word[last + 1]]] = True
+    quote = np.flatnonzero(start & (data == 39))
     if len(quote):
-        padded = np.concatenate([codes, np.zeros(3, np.uint32)])
-        one, two = padded[quote + 1], padded[quote + 2]
-        stop_kind = np.concatenate([kind, np.full(3, END, np.uint8)])
-        one = np.where(stop_kind[quote + 1] == END, 0, one)
-        two = np.where(stop_kind[quote + 2] == END, 0, two)
+        one, two = data[quote + 1], data[np.minimum(quote + 2, len(data) - 1)]
         single = np.isin(one, [ord(c) for c in "stmd"])
         double = ((one == ord("r")) & (two == ord("e"))) | ((one == ord("v")) & (two == ord("e"))) | ((one == ord("l")) & (two == ord("l")))
         for at, length in ((quote[single], 2), (quote[double], 3)):
             start[at + 1] = False
             start[at + length] = True
-    width = 1 + (codes >= 0x80).astype(np.int64) + (codes >= 0x800) + (codes >= 0x10000)
-    place = np.zeros(len(codes) + 1, np.int64)
-    np.cumsum(width, out=place[1:])
     firsts = np.flatnonzero(start)
-    data = np.frombuffer(joined.encode("utf-8", "replace"), np.uint8)
-    cells = tb.binary_array(np.append(place[firsts], place[-1]), data)
-    keep = kind[firsts] != END
-    ends = np.searchsorted(np.flatnonzero(keep), np.searchsorted(firsts, stops))
-    return cells.filter(pa.array(keep)), np.concatenate([[0], ends])
+    cells = tb.binary_array(np.append(firsts, len(data)), data)
+    stop = kind[firsts] == END
+    ends = np.flatnonzero(stop) - np.arange(len(texts))
+    return cells.filter(pa.array(~stop)), np.concatenate([[0], ends])
+
+
+class WordMemory:
+    """Words seen in earlier batches with their ids, found by hash and compared byte by byte.
+
+    Words are numbered as they come; ``spans`` and ``data`` hold their bytes, ``offsets`` and ``ids`` their ids, ``met``
+    how often each was met. ``hashes`` is sorted, ``owners`` has the number of the word of each.
+    """
+
+    def __init__(self):
+        self.spans, self.data = np.zeros(1, np.int64), np.zeros(0, np.uint8)
+        self.offsets, self.ids = np.zeros(1, np.int64), np.zeros(0, np.int32)
+        self.met = np.zeros(0, np.int64)
+        self.hashes, self.owners = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def nbytes(self) -> int:
+        return sum(v.nbytes for v in vars(self).values())
+
+    def forget_rare(self) -> None:
+        """Drop the half of the words met least."""
+        keep = self.met > np.median(self.met)
+        numbers = np.flatnonzero(keep)
+        self.spans, self.data = tb.ragged_take(self.spans, self.data, numbers)
+        self.offsets, self.ids = tb.ragged_take(self.offsets, self.ids, numbers)
+        self.met = self.met[numbers] // 2
+        held = keep[self.owners]
+        self.hashes, self.owners = self.hashes[held], (np.cumsum(keep) - 1)[self.owners[held]]
+
+    def numbers(self, cells: pa.Array, times: np.ndarray, encode: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Number of each of some distinct words, met ``times``; those not known are encoded and kept."""
+        if self.nbytes() > REMEMBERED:
+            self.forget_rare()
+        data, spans = tb.utf8_bytes(cells)
+        key = tb.span_hashes(data, spans[:-1], spans[1:])
+        number = np.full(len(cells), -1, np.int64)
+        if len(self.hashes):
+            slot = np.minimum(np.searchsorted(self.hashes, key), len(self.hashes) - 1)
+            at = self.owners[slot]
+            same = np.flatnonzero((self.hashes[slot] == key) & (np.diff(self.spans)[at] == np.diff(spans)))
+            held, theirs = tb.ragged_take(self.spans, self.data, at[same])
+            differ = theirs != tb.ragged_take(spans, data, same)[1]
+            number[same] = at[same]
+            number[np.repeat(same, np.diff(held))[differ]] = -1  # another word of the same hash
+            known = number >= 0
+            self.met[number[known]] += times[known]
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            out, ids = encode(cells.take(pa.array(new)))
+            number[new] = len(self.met) + np.arange(len(new))
+            own_spans, own_data = tb.ragged_take(spans, data, new)
+            self.spans, self.data = np.append(self.spans, self.spans[-1] + own_spans[1:]), np.append(self.data, own_data)
+            self.offsets, self.ids = np.append(self.offsets, self.offsets[-1] + out[1:]), np.append(self.ids, ids)
+            self.met = np.append(self.met, times[new])
+            order = new[np.argsort(key[new])]
+            slot = np.searchsorted(self.hashes, key[order])
+            self.hashes, self.owners = np.insert(self.hashes, slot, key[order]), np.insert(self.owners, slot, number[order])
+        return number
 
 
 class Vocabulary:
@@ -110,7 +189,9 @@ class Vocabulary:
         if spec["model"]["type"] != "BPE" or spec.get("normalizer") is not None:
             raise ValueError("a byte-level BPE vocabulary without normalizer is needed")
         symbol = byte_symbols()
-        self.ids = {bytes(symbol[c] for c in token): i for token, i in spec["model"]["vocab"].items() if all(c in symbol for c in token)}
+        to_byte = {ord(c): b for c, b in symbol.items()}
+        known = {t: i for t, i in spec["model"]["vocab"].items() if symbol.keys() >= set(t)}
+        self.ids = {t.translate(to_byte).encode("latin-1"): i for t, i in known.items()}
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         size = 1 + max([*self.ids.values(), *self.special.values()])
         held = [b""] * size
@@ -123,10 +204,9 @@ class Vocabulary:
         self.left = np.full(size, -1, np.int64)
         self.right = np.full(size, -1, np.int64)
         self.merges: dict[tuple[int, int], tuple[int, int]] = {}
-        code = {c: bytes([b]) for c, b in symbol.items()}
         for r, pair in enumerate(spec["model"]["merges"]):
-            a, b = (self.ids[b"".join(code[c] for c in part)] for part in (pair if isinstance(pair, list) else pair.split(" ")))
-            made = self.ids[held[a] + held[b]]
+            first, second = pair if isinstance(pair, list) else pair.split(" ")
+            a, b, made = known[first], known[second], known[first + second]
             self.merges.setdefault((a, b), (r, made))
             if self.rank[made] < 0:
                 self.rank[made], self.left[made], self.right[made] = r, a, b
@@ -143,30 +223,30 @@ class Vocabulary:
         names, numbers = list(self.ids), np.array(list(self.ids.values()), np.int32)
         for at in range(0, len(names), MERGED_AT_ONCE):
             some = slice(at, at + MERGED_AT_ONCE)
-            for exact, i in zip(self.merge_many(pa.array(names[some], pa.binary())), numbers[some]):
-                self.sound[i] = exact == i.tobytes()
-        self.remembered: dict[bytes, bytes] = {}
-        self.remembered_bytes = 0
+            out, ids = self.merge_many(pa.array(names[some], pa.binary()))
+            self.sound[numbers[some]] = (np.diff(out) == 1) & (ids[out[:-1]] == numbers[some])
+        self.memory = WordMemory()
 
     def _trie(self) -> None:
-        nodes = {b"": 0}
-        edges = []
-        ends = [-1]
-        for token, i in sorted(self.ids.items(), key=lambda x: len(x[0])):
-            at = 0
-            for k in range(1, len(token) + 1):
-                part = token[:k]
-                to = nodes.get(part)
-                if to is None:
-                    to = nodes[part] = len(nodes)
-                    edges.append((at * 256 + token[k - 1], to))
-                    ends.append(-1)
-                at = to
-            ends[at] = i
-        edges.sort()
-        self.edge_keys = np.array([*(k for k, _ in edges), np.iinfo(np.int64).max], np.int64)
-        self.edge_nodes = np.array([*(n for _, n in edges), 0], np.int64)
-        self.node_token = np.array(ends, np.int64)
+        """Edges of the trie of all tokens, one level at a time; nodes are numbered by level, so that edges come sorted."""
+        data, offsets = tb.utf8_bytes(pa.array(list(self.ids), pa.binary()))
+        numbers = np.array(list(self.ids.values()), np.int64)
+        length = np.diff(offsets)
+        at = np.zeros(len(length), np.int64)
+        keys, size, ends = [], 1, [np.where(length == 0, numbers, -1).max(initial=-1, keepdims=True)]
+        for level in range(int(length.max(initial=0))):
+            live = np.flatnonzero(length > level)
+            edges, own = np.unique(at[live] * 256 + data[offsets[live] + level], return_inverse=True)
+            at[live] = size + own
+            keys.append(edges)
+            size += len(edges)
+            token = np.full(len(edges), -1, np.int64)
+            last = live[length[live] == level + 1]
+            token[at[last] - (size - len(edges))] = numbers[last]
+            ends.append(token)
+        self.edge_keys = np.concatenate([*keys, [np.iinfo(np.int64).max]])
+        self.edge_nodes = np.append(np.arange(1, size), 0)
+        self.node_token = np.concatenate(ends)
 
     def merge(self, word: bytes) -> list[int]:
         """The exact encoding of one word: lowest merge first, leftmost first among equals."""
@@ -192,16 +272,19 @@ class Vocabulary:
                 heapq.heappush(heap, (m[0], lead[k], ids[lead[k]], ids[k]))
         return [i for i in ids if i >= 0]
 
-    def merge_many(self, cells: pa.Array) -> list[bytes]:
+    def merge_many(self, cells: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Exact merging of many words in step: each round does the lowest, leftmost merge of every word at once.
 
-        Returns the ids of each word as packed 32-bit numbers. Words longer than ``LONG_WORD`` bytes are merged one by one.
+        Returns (offsets, ids). Words longer than ``LONG_WORD`` bytes are merged one by one.
         """
         data, offsets = tb.utf8_bytes(cells)
         length = np.diff(offsets)
-        out: list[bytes] = [b""] * len(cells)
+        found_rows, found_counts, found_ids = [], [], []
         for i in np.flatnonzero(length > LONG_WORD):
-            out[i] = np.array(self.merge(data[offsets[i] : offsets[i + 1]].tobytes()), np.int32).tobytes()
+            exact = self.merge(data[offsets[i] : offsets[i + 1]].tobytes())
+            found_rows.append(np.array([i]))
+            found_counts.append(np.array([len(exact)]))
+            found_ids.append(np.array(exact, np.int32))
         for low, high in zip(WORD_WIDTHS, WORD_WIDTHS[1:]):
             rows = np.flatnonzero((length > low) & (length <= high))
             if not len(rows):
@@ -239,11 +322,19 @@ class Vocabulary:
                 rank[live[led], lead[led]] = self.pair_rank(ids[live[led], lead[led]], ids[live[led], at[led]])
             held = ids[:, :-1]
             kept = held >= 0
-            ends = np.cumsum(kept.sum(axis=1)) * 4
-            packed = held[kept].astype(np.int32).tobytes()
-            for i, first, last in zip(rows.tolist(), [0, *ends[:-1].tolist()], ends.tolist()):
-                out[i] = packed[first:last]
-        return out
+            found_rows.append(rows)
+            found_counts.append(kept.sum(axis=1))
+            found_ids.append(held[kept].astype(np.int32))
+        counts = np.zeros(len(cells), np.int64)
+        if not found_rows:
+            return tb.offsets_of(counts), np.zeros(0, np.int32)
+        rows = np.concatenate(found_rows)
+        counts[rows] = np.concatenate(found_counts)
+        place = np.empty(len(cells), np.int64)  # where each word stands among those found; words without bytes take none
+        place[rows] = np.arange(len(rows))
+        some = np.flatnonzero(length)
+        _, ids = tb.ragged_take(tb.offsets_of(np.concatenate(found_counts)), np.concatenate(found_ids), place[some])
+        return tb.offsets_of(counts), ids
 
     def propose(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Greedy longest match for all words in step: (offsets, ids)."""
@@ -312,8 +403,12 @@ class Vocabulary:
             until_b[live[~one]], b[live[~one]] = ry[~one], self.left[y[~one]]
         return fine
 
-    def encode_words(self, cells: pa.Array) -> list[bytes]:
-        """Ids of distinct words, each as packed 32-bit numbers."""
+    def encode_cells(self, cells: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(offsets, ids) of distinct words."""
+        parts = [self._encode_some(cells.slice(at, WORDS_AT_ONCE)) for at in range(0, max(len(cells), 1), WORDS_AT_ONCE)]
+        return tb.offsets_of(np.concatenate([np.diff(out) for out, _ in parts])), np.concatenate([ids for _, ids in parts])
+
+    def _encode_some(self, cells: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         out, ids = self.propose(*tb.utf8_bytes(cells))
         bad = np.zeros(len(cells), bool)
         word = np.repeat(np.arange(len(cells)), np.diff(out))
@@ -322,29 +417,18 @@ class Vocabulary:
             inner = np.flatnonzero(word[1:] == word[:-1])
             keys, where = np.unique(ids[inner] * self.size + ids[inner + 1], return_inverse=True)
             bad[word[inner[~self.compatible(keys // self.size, keys % self.size)[where]]]] = True
-        packed = ids.astype(np.int32).tobytes()
-        place = (out * 4).tolist()
-        done = [packed[a:b] for a, b in zip(place, place[1:])]
         failing = np.flatnonzero(bad)
-        for i, exact in zip(failing.tolist(), self.merge_many(cells.take(pa.array(failing)))):
-            done[i] = exact
-        return done
-
-    def encode_distinct(self, cells: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of distinct words as (offsets, ids), with a memory of words seen in earlier batches."""
-        keys = cells.to_pylist()
-        new = [k for k in keys if k not in self.remembered]
-        size = sum(map(len, new)) * 3 + ENTRY * len(new)  # ids take about two bytes a byte of text
-        if self.remembered_bytes + size > REMEMBERED:
-            self.remembered, self.remembered_bytes, new = {}, 0, keys
-            size = sum(map(len, new)) * 3 + ENTRY * len(new)
-        if new:
-            self.remembered.update(zip(new, self.encode_words(pa.array(new, pa.binary()))))
-            self.remembered_bytes += size
-        parts = [self.remembered[k] for k in keys]
-        offsets = np.zeros(len(parts) + 1, np.int64)
-        np.cumsum([len(p) // 4 for p in parts], out=offsets[1:])
-        return offsets, np.frombuffer(b"".join(parts), np.int32)
+        if not len(failing):
+            return out, ids.astype(np.int32)
+        exact_out, exact = self.merge_many(cells.take(pa.array(failing)))
+        row = np.arange(len(cells))
+        row[failing] = len(cells) + np.arange(len(failing))  # the merged ones stand behind the proposals
+        return tb.ragged_take(np.concatenate([out, out[-1] + exact_out[1:]]), np.concatenate([ids.astype(np.int32), exact]), row)
+
+    def encode_words(self, cells: pa.Array) -> list[bytes]:
+        """Ids of distinct words, each as packed 32-bit numbers."""
+        out, ids = self.encode_cells(cells)
+        return [ids[a:b].tobytes() for a, b in zip(out, out[1:])]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of whole texts: (offsets, ids). Strings of special tokens become their ids, as in the library."""
@@ -360,8 +444,10 @@ class Vocabulary:
                     owner.append(i)
         cells, per_piece = split_words(pieces)
         coded = cells.dictionary_encode()
-        offsets, ids = self.encode_distinct(coded.dictionary)
-        word_at, flat = tb.ragged_take(offsets, ids, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64))
+        del cells
+        inside = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        number = self.memory.numbers(coded.dictionary, np.bincount(inside, minlength=len(coded.dictionary)), self.encode_cells)
+        word_at, flat = tb.ragged_take(self.memory.offsets, self.memory.ids, number[inside])
         ends = word_at[per_piece]
         if owner is not None:
             at = sorted(fixed)

@@ -97,12 +97,19 @@ def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[pa.Array]:
         at = upto
 
 
+def offsets_of(lengths: np.ndarray) -> np.ndarray:
+    """Offsets of a ragged array whose rows have these lengths."""
+    out = np.zeros(len(lengths) + 1, np.int64)
+    np.cumsum(lengths, out=out[1:])
+    return out
+
+
 def ragged_take(offsets: np.ndarray, values: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows of a ragged array in the given order: (offsets, values)."""
     lengths = (offsets[1:] - offsets[:-1])[rows]
-    out = np.zeros(len(rows) + 1, np.int64)
-    np.cumsum(lengths, out=out[1:])
-    at = np.arange(out[-1]) + np.repeat(offsets[:-1][rows] - out[:-1], lengths)
+    out = offsets_of(lengths)
+    at = np.arange(out[-1])
+    at += np.repeat(offsets[:-1][rows] - out[:-1], lengths)
     return out, values[at]
 
 

@@ -52,6 +52,38 @@ def test_proposals_that_pass_need_no_merging_and_failing_words_are_merged(vocabu
     assert [np.frombuffer(p, np.int32).tolist() for p in packed] == [vocabulary.merge(w) for w in words]
 
 
+def test_common_words_are_encoded_once_while_rare_ones_are_forgotten(vocabulary, library, monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 100_000)
+    seen = []
+    propose = vocabulary.propose
+
+    def watched(data, offsets):
+        seen.extend(data[a:b].tobytes() for a, b in zip(offsets, offsets[1:]))
+        return propose(data, offsets)
+
+    monkeypatch.setattr(vocabulary, "propose", watched)
+    common = [f" qx{a}{b}zv" for a in "abcdefghijklmn" for b in "abcdefghijklmn"]
+    letters = [chr(97 + i) for i in range(20)]
+    for k in range(20):
+        texts = ["".join(common) * 2, " ".join(f"wk{letters[k]}{a}{b}" for a in letters for b in letters)]
+        offsets, ids = vocabulary.encode(texts)
+        want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+        assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == want
+    assert max(seen.count(w.encode()) for w in common) == 1
+    assert vocabulary.memory.nbytes() < 150_000
+
+
+def test_words_of_one_hash_and_wide_spaces(vocabulary, library, monkeypatch):
+    monkeypatch.setattr(tb, "span_hashes", lambda data, starts, ends: np.full(len(starts), 7, np.uint64))
+    monkeypatch.setattr(vocabulary, "memory", bpe.WordMemory())
+    monkeypatch.setattr(bpe, "WORDS_AT_ONCE", 5)
+    texts = TRICKY + noise("ab \u3000\u00a0\u0085\u2003\n'sé日9½😀", 300) + ["\u3000x", "a\u00a0\u00a0b", "\u2003 \u2003z \u3000", "\u0085'll"]
+    for _ in range(2):  # the second time the memory holds words of the same hash and length
+        offsets, ids = vocabulary.encode(texts)
+        want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+        assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == want
+
+
 def test_decode_bytes_that_are_no_text_and_unknown_ids(vocabulary, library):
     half = library.encode("日", add_special_tokens=False).ids[:1]
     text = vocabulary.decode(np.array([0, 1, 3]), np.array([*half, -5, 10**6]))
