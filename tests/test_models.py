@@ -181,6 +181,64 @@ def test_benchmark_question_runs_every_method_and_keeps_seconds(spark, monkeypat
     assert {r["method"] for r in seconds} == set(methods.METHODS)
 
 
+def test_graphs_of_several_settings_equal_the_single_ones(pixels, monkeypatch):
+    def rows(df, *columns):
+        return [[r[c] for c in columns] for r in df.orderBy("region", "pixel_id").collect()]
+
+    wanted = [(5, "euclidean"), (9, "chebyshev"), (12, "euclidean")]
+    drawn = [(0, 5, 0.1, 2), (2, 12, 0.5, 2), (0, 5, 0.9, 2)]
+    edges, points = graph_embed.fuzzy_graphs(pixels, wanted)
+    for g, (k, metric) in enumerate(wanted):
+        one, start = graph_embed.fuzzy_graph(pixels, 3, k, metric)
+        weights = [{(r["region"], r["i"], r["j"]): r["w"] for r in df.collect()} for df in (edges.where(f"graph = {g}"), one)]
+        assert weights[0] == weights[1]
+        begun = [rows(df, "region", "pixel_id", "position") for df in (points.where(f"graph = {g}"), start)]
+        assert begun[0] == begun[1] and len(begun[0]) == 2 * 72
+    for most in (1 << 22, 72 * 12):  # every region in one task; the graph of most edges by joins
+        monkeypatch.setattr(graph_embed, "EDGES_IN_TASK", most)
+        images, seconds = graph_embed.embed_graphs(edges, points, 3, drawn)
+        assert len(seconds) == 3 and min(seconds) > 0
+        for picture, (graph, near, min_dist, epochs) in enumerate(drawn):
+            own = [df.where(f"graph = {graph}").drop("graph") for df in (edges, points)]
+            alone = graph_embed.embed_graph(*own, 3, near, min_dist, epochs)
+            got, want = (rows(df, "region", "pixel_id", "e0", "e1", "e2") for df in (images.where(f"picture = {picture}"), alone))
+            assert len(got) == 2 * 72 and np.allclose(got, want, atol=1e-6)
+
+
+def test_images_scored_together_equal_single_scores(spark, pixels):
+    normed = methods.normalize.tic(pixels)
+    drawn = methods.metrics.spectra_distances(methods.sampling.sample_pairs(normed, 100), normed)
+    images = {
+        name: normed.select("region", "y", "x", "pixel_id", *[(F.col("spectrum")[(i + turn) % 8] * 1000).cast("int").alias(f"c{i}") for i in range(3)])
+        for turn, name in enumerate(("b", "a", "c"))
+    }
+    images["c"] = images["c"].where("region = 1")
+    stacked = None
+    for name, image in images.items():
+        one = image.select(F.lit(name).alias("method"), "region", "pixel_id", "c0", "c1", "c2")
+        stacked = one if stacked is None else stacked.unionByName(one)
+    got = {(r["method"], r["region"], r["metric"]): r["value"] for r in methods.score_images(normed, stacked, 5, drawn).collect()}
+    want = {
+        (name, r["region"], r["metric"]): r["value"]
+        for name, image in images.items() for r in methods.score_image(normed, image, 100, 5, drawn=drawn).collect()
+        if name != "c" or r["region"] == 1
+    }
+    assert set(got) == set(want) and {(n, r) for n, r, _ in got} == {("a", 0), ("a", 1), ("b", 0), ("b", 1), ("c", 1)}
+    assert all(got[key] == pytest.approx(value, abs=1e-9, nan_ok=True) for key, value in want.items())
+
+
+def test_benchmark_searches_neighbours_once_a_metric(spark, pixels, monkeypatch):
+    searched = []
+    whole = graph_embed.knn
+    monkeypatch.setattr(graph_embed, "knn", lambda spectra, k, metric, *a: searched.append((k, metric)) or whole(spectra, k, metric, *a))
+    names = [n for n in methods.METHODS if n.startswith("UMAP") and ("n=15," in n or "n=50," in n)]
+    monkeypatch.setattr(methods, "METHODS", {n: methods._Umap(m.k, m.min_dist, m.metric, 2) for n, m in methods.METHODS.items() if n in names})
+    board = methods.benchmark(pixels, 8, names, None, 100, 5)
+    assert sorted(searched) == [(50, "chebyshev"), (50, "euclidean")]
+    seconds = {(r["method"], r["region"]): r["value"] for r in board.where("metric = 'seconds'").collect()}
+    assert set(seconds) == {(n, r) for n in names for r in (0, 1)} and min(seconds.values()) > 0
+
+
 def test_neighbour_scores_take_all_foreground_pixels(spark, pixels, monkeypatch):
     taken = []
     whole = methods.metrics.neighbour_ranks
