@@ -11,7 +11,9 @@ grow together: a Spark job reads the binned spectra once and works for every mod
   feature and bin, sums meet by ranges of features, and each range answers with its best split per node.
 * A node whose pixels fit ``CELLS`` codes is shipped to one task, which finishes its whole subtree by the same rule. A
   small study thus takes one job a round, a large one a job per level.
-* Margins are kept with the blocks and brought up to date every ``KEPT`` rounds; in between, a task adds the trees since.
+* Margins are kept with the blocks and brought up to date every ``KEPT`` rounds, more often in a large study (``WALKED``);
+  in between, a task adds the trees since.
+* A task holds several blocks and sums their histograms before they meet the others'.
 
 The driver holds trees (models * rounds * 2^(depth + 1) nodes) and split candidates, never pixels.
 """
@@ -30,14 +32,19 @@ from ionloom.functions.order_stats import order_bucket
 from ionloom.operators.neighbors import stack
 from ionloom.session import cut_lineage
 
+#: Pixels of a block, at most 2^13: see ``_block_sums``.
 BLOCK = 4096
 #: Codes (pixels * features) up to which one task finishes the subtree of a node.
-CELLS = 1 << 22
+CELLS = 1 << 24
 #: Bytes of histograms a task holds at once; models that need more go through several jobs.
 HELD = 128 << 20
 #: Bytes of histograms that meet in one group.
 RANGE = 4 << 20
 KEPT = 16
+#: Pixels * slots * rounds up to which jobs walk trees again instead of writing margins.
+WALKED = 1 << 22
+#: Blocks of a task at most, and tasks that meet without being merged first.
+HELD_BLOCKS, MET = 64, 32
 _ONE = 1 << 26
 _LEAST_GAIN = 1e-6
 
@@ -125,14 +132,15 @@ def _worth(g, h, unit: float, s: Settings):
 def best_splits(hist: np.ndarray, unit: float, s: Settings) -> tuple[np.ndarray, ...]:
     """Best split of each node from sums (nodes, features, bins, 3): gain, feature, cut, left sums (nodes, 3).
 
-    A split leaves ``child_weight`` of curvature and a pixel on either side. Ties go to the lower feature, then cut;
+    The counts may be left out where ``child_weight`` is above 0. A split leaves ``child_weight`` of curvature and a pixel on either side. Ties go to the lower feature, then cut;
     without a split the gain is 0.
     """
     left = hist.cumsum(axis=2)
     whole = left[:, :1, -1:, :]
     right = whole - left
     enough = np.minimum(left[..., 1], right[..., 1]) / unit >= s.child_weight
-    enough &= (left[..., 2] > 0) & (right[..., 2] > 0)
+    if hist.shape[-1] > 2:  # with a bound above 0 a side that reaches it has pixels
+        enough &= (left[..., 2] > 0) & (right[..., 2] > 0)
     gain = _worth(left[..., 0], left[..., 1], unit, s) + _worth(right[..., 0], right[..., 1], unit, s)
     gain = np.where(enough, gain - _worth(whole[..., 0], whole[..., 1], unit, s), 0.0)
     flat = gain.reshape(len(hist), -1)
@@ -155,32 +163,77 @@ def histograms(codes: np.ndarray, group: np.ndarray, g: np.ndarray, h: np.ndarra
     return out
 
 
+def _block_sums(columns: np.ndarray, rows, base: np.ndarray, g: np.ndarray, h: np.ndarray, groups: int, bins: int, out: np.ndarray) -> None:
+    """Add the sums of ``rows`` of a block of codes (features, rows) to out (groups, features, bins, 3)."""
+    size = groups * bins
+    # curvature (below 2^26 a row) and count share one whole number below 2^53 for up to 2^13 rows
+    both = h * float(1 << 14) + 1.0
+    for f in range(len(columns)):
+        at = base + (columns[f] if rows is None else columns[f].take(rows))
+        out[:, f, :, 0] += np.bincount(at, g, size).astype(np.int64).reshape(groups, bins)
+        packed = np.bincount(at, both, size).astype(np.int64).reshape(groups, bins)
+        out[:, f, :, 1] += packed >> 14
+        out[:, f, :, 2] += packed & ((1 << 14) - 1)
+
+
+def _sums_of(columns: np.ndarray, rows: np.ndarray, place: np.ndarray, g: np.ndarray, h: np.ndarray, groups: int, bins: int, planes: int) -> np.ndarray:
+    """``histograms`` of some rows of codes (features, rows), with counts if ``planes`` is 3."""
+    out = np.zeros((groups, len(columns), bins, planes), np.int64)
+    base, size = place * bins, groups * bins
+    weights = (g[rows].astype(float), h[rows].astype(float), None)[:planes]
+    for f in range(len(columns)):
+        at = base + columns[f].take(rows)
+        for plane, weight in enumerate(weights):
+            out[:, f, :, plane] = np.bincount(at, weight, size).astype(np.int64).reshape(groups, bins)
+    return out
+
+
 def grow(codes: np.ndarray, g: np.ndarray, h: np.ndarray, root: int, unit: float, s: Settings) -> list[tuple]:
-    """Rows (node, feature, cut, value, gain) of the subtree below heap node ``root``, level by level."""
+    """Rows (node, feature, cut, value, gain) of the subtree below heap node ``root``, level by level.
+
+    Of two children the one with fewer rows is summed, the other is what is left of their parent's sums.
+    """
     out: list[tuple] = []
-    at = np.full(len(codes), root)
-    level = [root]
+    columns = np.ascontiguousarray(codes.T)
+    planes = 2 if s.child_weight > 0 else 3
     depth = int(np.log2(root + 1))
     fit = max(1, (HELD >> 2) // (codes.shape[1] * s.bins * 24))
+    # (node, its rows, its sums or none): sums are kept for the nodes of one level
+    level: list[tuple] = [(root, np.arange(len(codes)), None)]
     while level:
-        following = []
+        following: list[tuple] = []
         for low in range(0, len(level), fit):
-            nodes = np.array(level[low : low + fit])
-            place = np.searchsorted(nodes, at)
-            mine = np.flatnonzero(nodes[np.minimum(place, len(nodes) - 1)] == at)
-            sums = histograms(codes[mine], place[mine], g[mine], h[mine], len(nodes), s.bins)
+            some = level[low : low + fit]
+            open_ = [x for x in some if x[2] is None]
+            if open_:
+                place = np.repeat(np.arange(len(open_)), [len(rows) for _, rows, _ in open_])
+                new = iter(_sums_of(columns, np.concatenate([rows for _, rows, _ in open_]), place, g, h, len(open_), s.bins, planes))
+            sums = np.stack([next(new) if x is None else x for _, _, x in some])
             gain, feature, cut, _ = best_splits(sums, unit, s)
             whole = sums[:, 0].sum(axis=1)
-            for i, node in enumerate(nodes.tolist()):
+            pairs, halves = [], []
+            for i, (node, rows, _) in enumerate(some):
                 if gain[i] > 0 and depth < s.depth:
                     out.append((node, int(feature[i]), int(cut[i]), 0.0, float(gain[i])))
-                    following += [2 * node + 1, 2 * node + 2]
+                    right = columns[feature[i]].take(rows) > cut[i]
+                    sides = [rows[~right], rows[right]]
+                    if depth + 1 == s.depth:  # a leaf needs only its own two sums
+                        for child, own in zip((2 * node + 1, 2 * node + 2), sides):
+                            out.append((child, -1, 0, float(leaf(g[own].sum(), h[own].sum(), unit, s)), 0.0))
+                    else:
+                        pairs.append((node, sides, int(len(sides[1]) < len(sides[0])), i))
+                        halves.append(sides[pairs[-1][2]])
                 else:
                     out.append((node, -1, 0, float(leaf(whole[i, 0], whole[i, 1], unit, s)), 0.0))
-            split = (gain[place[mine]] > 0) & (depth < s.depth)
-            rows, own = mine[split], place[mine][split]
-            at[rows] = 2 * at[rows] + 1 + (codes[rows, feature[own]] > cut[own])
-        level = sorted(following)
+            if pairs:
+                place = np.repeat(np.arange(len(pairs)), [len(rows) for rows in halves])
+                less = _sums_of(columns, np.concatenate(halves), place, g, h, len(pairs), s.bins, planes)
+                for (node, sides, side, i), own in zip(pairs, less):
+                    both = [own, sums[i] - own] if side == 0 else [sums[i] - own, own]
+                    # beyond one batch of nodes sums are worked out again rather than held
+                    keep = len(following) < fit
+                    following += [(2 * node + 1 + c, sides[c], both[c] if keep else None) for c in (0, 1)]
+        level = sorted(following, key=lambda x: x[0])
         depth += 1
     return out
 
@@ -235,8 +288,10 @@ def binned_blocks(rows: DataFrame, edges: list[np.ndarray], slots: int) -> DataF
                 })
 
     rows = rows.select("label", "train", "spectrum")
-    dealt = rows.repartition(max(1, -(-rows.count() // BLOCK)))  # every round works on the blocks where they lie
-    return cut_lineage(dealt.mapInPandas(pack, _BLOCKS))
+    # every round works on the blocks where they lie: about two tasks a core, so that few histograms meet
+    n = -(-rows.count() // BLOCK)
+    tasks = max(1, min(n, 2 * rows.sparkSession.sparkContext.defaultParallelism), -(-n // HELD_BLOCKS))
+    return cut_lineage(rows.repartition(tasks).mapInPandas(pack, _BLOCKS))
 
 
 def _opened(batch: pa.RecordBatch, features: int):
@@ -293,10 +348,12 @@ def fit(blocks: DataFrame, features: int, sizes: np.ndarray, task: Task, s: Sett
     cells = CELLS if cells is None else cells
     rows = np.zeros(task.models, np.int64)
     np.add.at(rows, task.takes.ravel(), np.repeat(sizes, task.takes.shape[1]))
+    tasks = blocks.rdd.getNumPartitions()
     done: list[Trees] = []
     since: list[Trees] = []
+    kept = max(1, min(KEPT, WALKED // max(1, int(sizes.sum()) * task.takes.shape[1])))
     for _ in range(s.rounds):
-        if len(since) == KEPT:
+        if len(since) >= kept:
             blocks, since = brought_up(blocks, features, since, task, s.step), []
         trees = Trees.empty(task.models, s.depth)
         large = {(m, 0): int(n) for m, n in enumerate(rows) if n}
@@ -308,7 +365,7 @@ def fit(blocks: DataFrame, features: int, sizes: np.ndarray, task: Task, s: Sett
             if not large:
                 break
             following = {}
-            for (model, node), (gain, feature, cut, left, whole) in _split_level(blocks, features, large, trees, since, task, s).items():
+            for (model, node), (gain, feature, cut, left, whole) in _split_level(blocks, tasks, features, large, trees, since, task, s).items():
                 if gain <= 0:
                     trees.value[model, node] = leaf(whole[0], whole[1], task.unit, s)
                     continue
@@ -348,7 +405,7 @@ def _training(batch, features: int, shared, step: float):
         yield codes, model, trees.nodes(codes, model), g, h
 
 
-def _split_level(blocks: DataFrame, features: int, large: dict, trees: Trees, since, task: Task, s: Settings) -> dict:
+def _split_level(blocks: DataFrame, tasks: int, features: int, large: dict, trees: Trees, since, task: Task, s: Settings) -> dict:
     """(model, node) -> (gain, feature, cut, left sums, whole sums), from histograms added up over all tasks."""
     keys = sorted(large)
     per_node = features * s.bins * 24
@@ -364,9 +421,17 @@ def _split_level(blocks: DataFrame, features: int, large: dict, trees: Trees, si
             total = np.zeros((len(some), features, s.bins, 3), np.int64)
             for batch in batches:
                 for codes, model, node, g, h in _training(batch, features, shared.value, s.step):
-                    group = number[model, node]
-                    row, slot = np.nonzero(group >= 0)
-                    total += histograms(codes[row], group[row, slot], g[row, slot], h[row, slot], len(some), s.bins)
+                    group, columns = number[model, node], np.ascontiguousarray(codes.T)
+                    for slot in range(group.shape[1]):
+                        own = group[:, slot]
+                        rows = np.flatnonzero(own >= 0)
+                        if len(rows):
+                            # nodes that these rows fall in, so that sums are no wider than needed
+                            here, place = np.unique(own[rows], return_inverse=True)
+                            found = np.zeros((len(here), features, s.bins, 3), np.int64)
+                            _block_sums(columns, None if len(rows) == len(own) else rows, place * s.bins, g[rows, slot].astype(float),
+                                        h[rows, slot].astype(float), len(here), s.bins, found)
+                            total[here] += found
             for f in range(0, features, wide):
                 yield pa.record_batch({
                     "f": pa.array([f], pa.int32()), "part": pa.array([0], pa.int32()),
@@ -393,7 +458,8 @@ def _split_level(blocks: DataFrame, features: int, large: dict, trees: Trees, si
             })
 
         partial = blocks.mapInArrow(sums, "f int, part int, sums binary").withColumn("part", F.spark_partition_id() % 32)
-        merged = partial.groupBy("f", "part").applyInArrow(merge, "f int, part int, sums binary")  # no group meets all tasks
+        # no group meets more than a bounded number of tasks
+        merged = partial.groupBy("f", "part").applyInArrow(merge, "f int, part int, sums binary") if tasks > MET else partial
         answers = merged.groupBy("f").applyInArrow(choose, "k int, gain double, feature int, cut int, sums array<long>")
         for r in answers.collect():  # ranges * nodes rows
             key = some[r["k"]]
@@ -437,8 +503,10 @@ def _finish(blocks: DataFrame, features: int, small: list, trees: Trees, since,
             "cut": pa.array(cut, pa.int32()), "value": pa.array(value, pa.float64()), "gain": pa.array(gain, pa.float64()),
         })
 
-    dealt = blocks.mapInArrow(deal, "model int, node int, codes binary, g binary, h binary")
-    grown = dealt.groupBy("model", "node").applyInArrow(build, "model int, node int, feature int, cut int, value double, gain double")
+    # a task a node, as far as tasks go: by size alone the planner would let a few grow all trees
+    tasks = min(len(small), int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    nodes = blocks.mapInArrow(deal, "model int, node int, codes binary, g binary, h binary").repartition(tasks, "model", "node")
+    grown = nodes.groupBy("model", "node").applyInArrow(build, "model int, node int, feature int, cut int, value double, gain double")
     for r in grown.collect():  # at most models * 2^(depth + 1) nodes
         at = r["model"], r["node"]
         trees.feature[at], trees.cut[at], trees.value[at], trees.gain[at] = r["feature"], r["cut"], r["value"], r["gain"]

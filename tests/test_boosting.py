@@ -153,3 +153,58 @@ def test_pixels_of_one_file_are_dealt_to_several_tasks(spark, monkeypatch):
     assert predicted.rdd.getNumPartitions() > 1
     got = {r["pixel_id"]: r["label"] for r in predicted.collect()}
     assert got == {i: i % 2 for i in range(80)} | {80: -1}
+
+
+def test_sums_of_a_block_and_of_the_smaller_children(monkeypatch):
+    rng = np.random.default_rng(5)
+    n = 1 << 13
+    codes = rng.integers(0, 16, (n, 3)).astype(np.uint8)
+    place = rng.integers(0, 4, n)
+    g, h = rng.integers(-(1 << 26), 1 << 26, n), np.full(n, 1 << 25)
+    out = np.zeros((4, 3, 16, 3), np.int64)
+    boosting._block_sums(np.ascontiguousarray(codes.T), None, place * 16, g.astype(float), h.astype(float), 4, 16, out)
+    assert (out == boosting.histograms(codes, place, g, h, 4, 16)).all()
+    out[:] = 0
+    boosting._block_sums(np.ascontiguousarray(codes.T), None, np.zeros(n, np.int64), g.astype(float), h.astype(float), 4, 16, out)
+    assert (out == boosting.histograms(codes, np.zeros(n, np.int64), g, h, 4, 16)).all()  # all rows in one node
+
+    summed = []
+    sums = boosting._sums_of
+    monkeypatch.setattr(boosting, "_sums_of", lambda columns, rows, *a: summed.append(len(rows)) or sums(columns, rows, *a))
+    for settings in (boosting.Settings(depth=5, bins=16, child_weight=0.0), boosting.Settings(depth=5, bins=16, child_weight=2.0, max_step=0.4)):
+        unit = float(1 << 22)
+        summed.clear()
+        made = boosting.grow(codes, g, h, 0, unit, settings)
+        whole = {}  # rows of each node, following the cuts
+        for node, feature, cut, value, gain in sorted(made):
+            rows = np.arange(n) if not node else whole[node]
+            hist = boosting.histograms(codes[rows], np.zeros(len(rows), np.int64), g[rows], h[rows], 1, 16)
+            best, at, place_, _ = (x[0] for x in boosting.best_splits(hist, unit, settings))
+            if feature < 0:
+                assert value == pytest.approx(float(boosting.leaf(g[rows].sum(), h[rows].sum(), unit, settings)))
+                assert best == 0 or node >= 2**settings.depth - 1
+            else:
+                assert (feature, cut) == (at, place_) and gain == pytest.approx(float(best))
+                right = codes[rows, feature] > cut
+                whole[2 * node + 1], whole[2 * node + 2] = rows[~right], rows[right]
+        assert sum(len(rows) for node, rows in whole.items() if node >= 2**settings.depth - 1) > 0
+        assert sum(summed) <= n + (settings.depth - 1) * n // 2
+
+
+def test_blocks_share_tasks_and_margins_are_written_as_the_study_grows(labelled, monkeypatch):
+    monkeypatch.setattr(boosting, "BLOCK", 8)
+    settings = boosting.Settings(rounds=5, depth=3, child_weight=1.0, bins=16)
+    written = []
+    whole = boosting.brought_up
+    monkeypatch.setattr(boosting, "brought_up", lambda blocks, features, since, *a: written.append((len(since), blocks.rdd.getNumPartitions())) or whole(blocks, features, since, *a))
+    found = []
+    for walked, met in ((1 << 22, 32), (1, 2)):
+        monkeypatch.setattr(boosting, "WALKED", walked)
+        monkeypatch.setattr(boosting, "MET", met)
+        monkeypatch.setattr(boosting, "CELLS", 300)
+        written.clear()
+        found.append(supervised.pixel_classifier(labelled, settings).rounds)
+        assert [w for w, _ in written] == ([5] if walked > 1 else [1] * 5)
+        assert all(tasks <= 2 * labelled.sparkSession.sparkContext.defaultParallelism < 100 for _, tasks in written)
+    for one, other in zip(*found):
+        assert (one.feature == other.feature).all() and (one.cut == other.cut).all() and np.array_equal(one.value, other.value)
