@@ -265,6 +265,27 @@ def test_rank_embedding_in_one_task_and_by_jobs(pixels, monkeypatch, fit, option
         assert np.allclose(found[0][0], other[0], atol=1e-7) and np.allclose(found[0][1], other[1], rtol=1e-9)
 
 
+@pytest.mark.parametrize("fit", [rank_embed.saliency_embed, rank_embed.spearman_embed, rank_embed.saliency_cluster_embed])
+def test_rank_embedding_takes_more_reference_points_than_the_driver_holds(pixels, monkeypatch, fit):
+    monkeypatch.setattr(rank_embed, "MAX_STATE_ROWS", 15)  # the two regions have more together, none has more alone
+    found = []
+    for cells in (1 << 30, 0):  # nothing of small regions is held by the driver; large regions follow each other
+        monkeypatch.setattr(rank_embed, "CELLS_IN_TASK", cells)
+        coordinates, losses = fit(pixels, points=15, epochs=3)
+        found.append((np.array([r[2:] for r in coordinates.orderBy("region", "pixel_id").collect()]), losses))
+    assert len(found[0][0]) == 2 * 72 and all(np.isfinite(x).all() for x, _ in found)
+    assert np.allclose(found[0][0], found[1][0], atol=1e-7) and np.allclose(found[0][1], found[1][1], rtol=1e-9)
+
+
+def test_blocks_of_many_regions_are_full(spark):
+    n, regions = 80, 9
+    rows = [(r, i, [0, 1], True, False, [], [0.0, 0.0, float(i)]) for r in range(regions) for i in range(n)]
+    table = spark.createDataFrame(rows, "region int, pixel_id long, input_rank array<int>, inside boolean, named boolean, clusters array<int>, p array<double>")
+    blocks = rank_embed._packed(table.drop("p").repartition(5), table.select("region", "pixel_id", "p"), 3)
+    sizes = [len(r["inside"]) for r in blocks.select("inside").collect()]
+    assert sorted(sizes) == [16] * regions + [64] * regions
+
+
 def test_hash_equals_the_one_of_spark(spark):
     rows = spark.createDataFrame([(5, -3, 7), (0, 0, 0), (-(1 << 62), 12345678901, -1)], "a long, b long, c long")
     got = rows.select("a", "b", "c", F.xxhash64("a", "b", "c").alias("h")).collect()
